@@ -63,7 +63,7 @@ def _closing(gap: int, keys: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = pa.Table.from_batches([batch])
+            rows = pa.table(batch.columns, names=batch.schema.names)  # all fields nullable
             rows = pa.concat_tables([held, rows]) if held is not None else rows
             change = np.zeros(rows.num_rows, bool)
             change[0] = True

@@ -32,14 +32,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SESSIONS_SQL = """
 WITH views AS (
-  SELECT DISTINCT entity_kind, entity_id, document_id, epoch_us(ts) AS at FROM (
+  SELECT DISTINCT entity_kind, entity_id, document_id, epoch_us(ts) AS us FROM (
     SELECT 'device' AS entity_kind, lower(trim(uuid)) AS entity_id, document_id, "timestamp" AS ts FROM page_views
     UNION ALL SELECT 'user', CAST(user_id AS VARCHAR), document_id, "timestamp" FROM page_views)
   WHERE entity_id IS NOT NULL AND ts IS NOT NULL),
-flagged AS (SELECT *, CASE WHEN at - lag(at) OVER w <= 1800000000 THEN 0 ELSE 1 END AS fresh
-  FROM views WINDOW w AS (PARTITION BY entity_kind, entity_id ORDER BY at, document_id)),
-numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY entity_kind, entity_id ORDER BY at, document_id) AS no FROM flagged),
-sessions AS (SELECT entity_kind, entity_id, min(at) AS start_us, max(at) AS end_us, max(at) - min(at) AS duration_us,
+flagged AS (SELECT *, CASE WHEN us - lag(us) OVER w <= 1800000000 THEN 0 ELSE 1 END AS fresh
+  FROM views WINDOW w AS (PARTITION BY entity_kind, entity_id ORDER BY us, document_id)),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY entity_kind, entity_id ORDER BY us, document_id) AS no FROM flagged),
+sessions AS (SELECT entity_kind, entity_id, min(us) AS start_us, max(us) AS end_us, max(us) - min(us) AS duration_us,
   count(*) AS n_events FROM numbered GROUP BY entity_kind, entity_id, no)
 """
 
@@ -71,8 +71,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CODE_SQL = r"coalesce(regexp_replace(regexp_replace(upper({}), '[\s_\-]+', '_', 'g'), '^_|_$', '', 'g'), 'NONE')"
 _FEATURES_SQL = f"""
 WITH events AS (SELECT DISTINCT customer_id, {_CODE_SQL.format("result")} || '|' || {_CODE_SQL.format("payment_method")} AS event_type,
-  epoch_us(created) AS at FROM payment_event WHERE customer_id IS NOT NULL AND epoch_us(created) < {AS_OF_US}),
-features AS (SELECT customer_id, event_type, count(*) AS n, max(at) AS latest_us FROM events GROUP BY ALL)
+  epoch_us(created) AS us FROM payment_event WHERE customer_id IS NOT NULL AND epoch_us(created) < {AS_OF_US}),
+features AS (SELECT customer_id, event_type, count(*) AS n, max(us) AS latest_us FROM events GROUP BY ALL)
 """
 
 # -- 3: attributes as known ------------------------------------------------------------------------------------
