@@ -88,3 +88,17 @@ def utc(df: DataFrame) -> DataFrame:
             for f in df.schema.fields
         )
     )
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], rows_per_salt: int = 20_000) -> DataFrame:
+    """Inner join in which keys crowded on the left are spread over as many salts as they have blocks of rows.
+
+    The right side is cut down to the keys that occur on the left, and repeated per salt. The list of crowded keys
+    has at most rows / rows_per_salt entries.
+    """
+    counts = left.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows_per_salt).cast("int").alias("_salts"))
+    spread = left.join(counts.where("_salts > 1"), keys, "left").withColumn(
+        "_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*left.columns), F.col("_salts")).cast("int"))
+    )
+    repeated = right.join(counts, keys).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+    return spread.drop("_salts").join(repeated.drop("_salts"), [*keys, "_salt"]).drop("_salt")
