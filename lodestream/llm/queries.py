@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import bpe
+from lodestream.llm import bpe, lookalike
 from lodestream.llm.nearest import nearest_in_time
 from lodestream.runtime import salted_join, table
 
@@ -64,11 +64,24 @@ def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(p8_ids(spark, sf_dir)).select("doc_id", "text")
 
 
+# -- 10: look-alike texts --------------------------------------------------------------------------------------
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.alike_pairs(table(spark, sf_dir, "documents"))
+
+
+def p10_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.consistent(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "consistent")
+
+
 QUERIES = {
     "p5_found": p5_found,
     "p5_nearest": p5_nearest,
     "p8_ids": p8_ids,
     "p8_decoded": p8_decoded,
+    "p10_found": p10_found,
+    "p10_consistent": p10_consistent,
 }
 
 ORACLE_SQL = {
