@@ -176,6 +176,15 @@ def encode(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", pat
     )
 
 
+def count_tokens(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = VOCABULARY, salts: int = 32) -> DataFrame:
+    """doc_id and n_tokens of each document with a text; the counts are summed before their shuffle."""
+    words = documents.select(
+        F.col(f"`{doc_id}`").alias("_doc"), F.explode(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(PATTERN), F.lit(0))).alias("word")
+    ).groupBy("_doc", "word").agg(F.count(F.lit(1)).alias("_n")).withColumn("salt", F.pmod(F.xxhash64("_doc"), F.lit(salts)).cast("int"))
+    sizes = dictionary(words, path).select("word", "salt", F.size("ids").alias("_size"))
+    return words.join(sizes, ["word", "salt"]).groupBy("_doc").agg(F.sum(F.col("_n") * F.col("_size")).alias("n_tokens")).withColumnRenamed("_doc", doc_id)
+
+
 def decode(encoded: DataFrame, ids: str = "ids", path: str = VOCABULARY, into: str = "text") -> DataFrame:
     """encoded with the column into: the text of the pieces of ids, put together as bytes. Null ids give null."""
     pieces = {rank: piece.hex() for piece, rank in load_ranks(path).items()}

@@ -99,10 +99,10 @@ def visible(text: str) -> str:
 
 
 def tokens(text: str) -> Iterator[tuple[str, bool]]:
-    """Runs of letters with their marks (True), and all else (False)."""
+    """Runs of letters of the four scripts with their marks (True), and all else (False)."""
     start, word = 0, False
     for i, c in enumerate(text):
-        is_word = c.isalpha() or (word and unicodedata.combining(c) != 0)
+        is_word = (c.isalpha() and script(c) != "") or (word and unicodedata.combining(c) != 0)
         if is_word != word:
             if i > start:
                 yield text[start:i], word
@@ -114,7 +114,7 @@ def tokens(text: str) -> Iterator[tuple[str, bool]]:
 def bigrams_of(token: str) -> Iterator[tuple[str, str]]:
     """Bigrams of the base letters of a token that is in one script beyond doubt, with "" for both ends."""
     letters = [c for c in token if not unicodedata.combining(c)]
-    if len({script(c) for c in letters}) == 1 and script(letters[0]) and any(c not in CLASS for c in letters):
+    if len({script(c) for c in letters}) == 1 and any(c not in CLASS for c in letters):
         yield from zip(["", *letters], [*letters, ""], strict=True)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import bpe, lookalike
+from lodestream.llm import bpe, lookalike, mixing
 from lodestream.llm.nearest import nearest_in_time
 from lodestream.runtime import salted_join, table
 
@@ -64,6 +64,23 @@ def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(p8_ids(spark, sf_dir)).select("doc_id", "text")
 
 
+# -- 9: mixing -------------------------------------------------------------------------------------------------
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").where("source IS NOT NULL")
+    sizes = documents.select("doc_id", "source").join(bpe.count_tokens(documents), "doc_id")
+    return mixing.mix(sizes, table(spark, sf_dir, "mix_target"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(_mixture(spark, sf_dir), table(spark, sf_dir, "mix_target"))
+
+
 # -- 10: look-alike texts --------------------------------------------------------------------------------------
 
 
@@ -80,6 +97,8 @@ QUERIES = {
     "p5_nearest": p5_nearest,
     "p8_ids": p8_ids,
     "p8_decoded": p8_decoded,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_consistent": p10_consistent,
 }
