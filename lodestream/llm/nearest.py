@@ -14,11 +14,11 @@ so disorder in the table costs neither lateness nor rows, and the state holds on
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -57,11 +57,28 @@ def match_nearest(left: pd.DataFrame, right: pd.DataFrame, tolerance: int, chunk
     return np.where((code >= 0) & (np.minimum(before, after) <= tolerance), pick, -1)
 
 
+def _pack(left: pd.DataFrame, right: pd.DataFrame) -> bytes:
+    """Buffers of both sides as one compressed Arrow message."""
+    both = pd.concat([left.assign(side=0), right.assign(side=1)], ignore_index=True)
+    schema = pa.schema([("entity", pa.string()), ("chunk", pa.int64()), ("at", pa.int64()), ("id", pa.string()), ("side", pa.int8())])
+    rows = pa.Table.from_pandas(both.sort_values(["side", "entity", "at"]), schema, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(held: bytes) -> tuple[pd.DataFrame, pd.DataFrame]:
+    both = pa.ipc.open_stream(held).read_pandas()
+    names = ["entity", "chunk", "at", "id"]
+    return both.loc[both["side"] == 0, names], both.loc[both["side"] == 1, names]
+
+
 def _join(tolerance: int, chunk_us: int, keep_unmatched: bool):
     names = ["entity", "chunk", "at", "id"]
 
     def over(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = [pickle.loads(state.get[0])] if state.exists else []
+        held = [_unpack(bytes(state.get[0]))] if state.exists else []
         for batch in batches:
             batch = batch[batch["side"] < 2]
             held.append((batch.loc[batch["side"] == 0, names], batch.loc[batch["side"] == 1, names]))
@@ -90,7 +107,7 @@ def _join(tolerance: int, chunk_us: int, keep_unmatched: bool):
             if state.exists:
                 state.remove()
             return
-        state.update((pickle.dumps((left, right), pickle.HIGHEST_PROTOCOL),))
+        state.update((_pack(left, right),))
         wake = left["at"].min() + tolerance if len(left) else right["at"].max() + tolerance
         state.setTimeoutTimestamp(int(min(max(wake, mark), END_US - 10_000) // 1000 + 2))
 
@@ -151,7 +168,7 @@ def nearest_in_time(
     session.conf.set("spark.sql.session.timeZone", "UTC")
     work = shared_path(spark, "nearest")
     both = side_rows(left, entity, left_time, left_id, 0, tolerance_us, chunk_us).unionByName(side_rows(right, entity, right_time, right_id, 1, tolerance_us, chunk_us))
-    both.write.parquet(f"{work}/rows")
+    both.write.option("compression", "zstd").parquet(f"{work}/rows")
     rows = session.read.schema(_STAGED).parquet(f"{work}/rows")
     n = rows.count()  # from the files' footers
     slices = -(-n // rows_per_slice) or 1
@@ -166,7 +183,7 @@ def nearest_in_time(
         if cuts:
             low, high = (cuts[k - 1] if k else None), (cuts[k] if k < len(cuts) else None)
             part = rows.where(" AND ".join([*([f"at >= {low}"] if low is not None else []), *([f"at < {high}"] if high is not None else [])]))
-            part.write.mode("append").parquet(inbox)
+            part.write.mode("append").option("compression", "zstd").parquet(inbox)
         if k == len(cuts):  # the end of time, so that all that waits is emitted
             end.coalesce(1).write.mode("append").parquet(inbox)
         query = (
