@@ -5,6 +5,7 @@ All arithmetic is guarded, so nothing raises under ANSI rules where the language
 
 from __future__ import annotations
 
+import contextvars
 import datetime as dt
 import decimal
 import math
@@ -14,11 +15,42 @@ from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import functions as spark_functions
 
 from lodestream import types as t
 from lodestream.expr.timefmt import has_offset, java_pattern
 
+_typing = contextvars.ContextVar("typing", default=False)
+
+
+class _Shape:
+    """Stands for a column while only types are wanted, so that declaring needs no session."""
+
+    def __getattr__(self, name: str) -> Callable[..., _Shape]:
+        if name.startswith("__"):
+            raise AttributeError(name)
+        return lambda *_, **__: self
+
+    def _same(self, *_: Any) -> _Shape:
+        return self
+
+    __add__ = __radd__ = __sub__ = __rsub__ = __mul__ = __rmul__ = __truediv__ = __rtruediv__ = __mod__ = __rmod__ = _same
+    __eq__ = __ne__ = __lt__ = __le__ = __gt__ = __ge__ = __and__ = __rand__ = __or__ = __ror__ = __invert__ = __neg__ = __getitem__ = _same
+    __hash__ = object.__hash__
+
+
+SHAPE = _Shape()
+
+
+class _Functions:
+    """Spark's functions, or shapes while only types are wanted."""
+
+    def __getattr__(self, name: str) -> Any:
+        return (lambda *_, **__: SHAPE) if _typing.get() else getattr(spark_functions, name)
+
+
+F: Any = _Functions()
+
 UNITS_US = {"week": 604_800_000_000, "day": 86_400_000_000, "hour": 3_600_000_000, "minute": 60_000_000, "second": 1_000_000, "millisecond": 1_000, "microsecond": 1}
 UNITS_US["year"] = 365 * UNITS_US["day"]
 
@@ -63,7 +95,11 @@ class Expr:
     # -- analysis and evaluation ------------------------------------------------------------------------------
 
     def typeof(self, schema: dict[str, Any]) -> t.DType:
-        return self.resolve(Scope({k: t.dtype(v) for k, v in schema.items()})).dtype
+        token = _typing.set(True)
+        try:
+            return self.resolve(Scope({k: t.dtype(v) for k, v in schema.items()}, column=lambda _: SHAPE)).dtype
+        finally:
+            _typing.reset(token)
 
     def matches_type(self, want: Any, schema: dict[str, Any]) -> bool:
         return t.casts(self.typeof(schema), t.dtype(want))
@@ -438,7 +474,7 @@ class Case(Expr):
         for c in conditions:
             if c.dtype != t.Null and t.required(c.dtype) != t.Bool:
                 raise t.TypeError_(f"a condition is bool, not {c.dtype}")
-        values = [v.resolve(scope) for _, v in self.branches] + [(self.default or Lit(None)).resolve(scope)]
+        values = [v.resolve(scope) for _, v in self.branches] + [(Lit(None) if self.default is None else self.default).resolve(scope)]
         out = values[0].dtype
         for v in values[1:]:
             common = t.join(out, v.dtype)
@@ -619,8 +655,8 @@ def _real(name: str, f: Callable[[Column], Column]):
     FUNCTIONS[name] = call
 
 
-for _name, _f in {"sqrt": F.sqrt, "sin": F.sin, "cos": F.cos, "tan": F.tan, "arcsin": F.asin, "arccos": F.acos, "arctan": F.atan}.items():
-    _real(f"num.{_name}", _f)
+for _name, _f in {"sqrt": "sqrt", "sin": "sin", "cos": "cos", "tan": "tan", "arcsin": "asin", "arccos": "acos", "arctan": "atan"}.items():
+    _real(f"num.{_name}", lambda c, _f=_f: getattr(F, _f)(c))
 
 
 @function("num.log")
@@ -731,13 +767,13 @@ def _string(name: str, out: t.DType, f: Callable[..., Column]):
     FUNCTIONS[f"str.{name}"] = call
 
 
-_string("lower", t.Str, F.lower)
-_string("upper", t.Str, F.upper)
+_string("lower", t.Str, lambda *c: F.lower(*c))
+_string("upper", t.Str, lambda *c: F.upper(*c))
 _string("len", t.Int, lambda x: F.char_length(x).cast("bigint"))
-_string("contains", t.Bool, F.contains)
-_string("startswith", t.Bool, F.startswith)
-_string("endswith", t.Bool, F.endswith)
-_string("concat", t.Str, F.concat)
+_string("contains", t.Bool, lambda *c: F.contains(*c))
+_string("startswith", t.Bool, lambda *c: F.startswith(*c))
+_string("endswith", t.Bool, lambda *c: F.endswith(*c))
+_string("concat", t.Str, lambda *c: F.concat(*c))
 _string("to_int", t.Int, lambda x: x.cast("bigint"))
 
 
@@ -849,13 +885,13 @@ def _time(scope: Scope, args: list[Expr]) -> Typed:
 
 
 _PARTS: dict[str, Callable[[Column], Column]] = {
-    "year": F.year,
-    "month": F.month,
-    "week": F.weekofyear,
-    "day": F.dayofmonth,
-    "hour": F.hour,
-    "minute": F.minute,
-    "second": F.second,
+    "year": lambda c: F.year(c),
+    "month": lambda c: F.month(c),
+    "week": lambda c: F.weekofyear(c),
+    "day": lambda c: F.dayofmonth(c),
+    "hour": lambda c: F.hour(c),
+    "minute": lambda c: F.minute(c),
+    "second": lambda c: F.second(c),
     "millisecond": lambda c: F.floor(F.pmod(F.unix_micros(c), F.lit(1_000_000)) / 1000),
     "microsecond": lambda c: F.pmod(F.unix_micros(c), F.lit(1_000_000)),
 }

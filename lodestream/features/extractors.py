@@ -8,10 +8,9 @@ from __future__ import annotations
 
 import threading
 from collections.abc import Callable
-from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -196,29 +195,39 @@ def _python(df: DataFrame, e: Extractor, featuresets: dict[str, Featureset], his
         fields = {n: f"_{d.name}_{n}" for n in [*d.schema.values, d.schema.ts]}
         joined = lookup_join(joined, history(d), d, [by[k] for k in d.schema.keys], AT, fields, env, found=f"_{d.name}_found")
         held.append((d.name, by, fields))
-    fn, cls, ins, outs = e.fn, None, list(e.inputs), list(e.outputs)
-    made = T.StructType([*df.schema.fields, *(T.StructField(o, kinds[o].spark(), True) for o in outs if o not in df.columns)])
-    names = [f.name for f in made.fields]
+    fn, ins, outs = e.fn, list(e.inputs), list(e.outputs)
+    # names without dots on the way to Python and back
+    plain = {c: f"c{i}" for i, c in enumerate(joined.columns)}
+    kept = [plain[c] for c in df.columns if c not in outs]
+    made = T.StructType([T.StructField(plain[f.name], f.dataType, True) for f in df.schema.fields if f.name not in outs])
+    for i, o in enumerate(outs):
+        made = made.add(f"o{i}", kinds[o].spark(), True)
     short = [o.split(".")[-1] for o in outs]
+    at, arguments = plain[AT], [plain[i] for i in ins]
+    lookups = [(name, {k: plain[c] for k, c in by.items()}, {n: plain[c] for n, c in fields.items()}, plain[f"_{name}_found"]) for name, by, fields in held]
+    times = [t.required(kinds[o]) == t.Datetime for o in outs]
 
     def over(batches):
         for pdf in batches:
             pdf = pdf.reset_index(drop=True)
-            _local.lookups = {name: ({k: pdf[c] for k, c in by.items()}, pdf[list(fields.values())].set_axis(list(fields), axis=1), pdf[f"_{name}_found"]) for name, by, fields in held}
+            _local.lookups = {name: ({k: pdf[c] for k, c in by.items()}, pdf[list(fields.values())].set_axis(list(fields), axis=1), pdf[found]) for name, by, fields, found in lookups}
             try:
-                got = fn(cls, pdf[AT].dt.tz_localize("UTC"), *(pdf[i] for i in ins))
+                got = fn(None, pdf[at].dt.tz_localize("UTC"), *(pdf[i] for i in arguments))
             finally:
                 _local.lookups = {}
             columns = [got] if isinstance(got, pd.Series) else [got[s] if s in got.columns else got[o] for s, o in zip(short, outs, strict=True)]
-            for o, c in zip(outs, columns, strict=True):
+            result = pdf[kept].copy()
+            for i, (o, c) in enumerate(zip(outs, columns, strict=True)):
                 if len(c) != len(pdf):
                     raise ValueError(f"{o}: {len(c)} values for {len(pdf)} rows")
-                pdf[o] = list(c)
-                if t.required(kinds[o]) == t.Datetime:
-                    pdf[o] = pd.to_datetime(pdf[o], utc=True).dt.tz_localize(None)
-            yield pdf[names]
-
-    out = joined.mapInPandas(over, made)
+                result[f"o{i}"] = list(c)
+                if times[i]:
+                    result[f"o{i}"] = pd.to_datetime(result[f"o{i}"], utc=True).dt.tz_localize(None)
+            yield result
+
+    ran = joined.select(*(F.col(f"`{c}`").alias(p) for c, p in plain.items())).mapInPandas(over, made)
+    names = {p: c for c, p in plain.items()}
+    out = ran.select(*(F.col(c).alias(names[c]) for c in kept), *(F.col(f"o{i}").alias(o) for i, o in enumerate(outs)))
     for o in outs:
         rule = t.required(kinds[o]).constraint(F.col(f"`{o}`"))
         bad = F.lit(False) if kinds[o].optional else F.col(f"`{o}`").isNull()
@@ -246,6 +255,3 @@ def _key_inputs(d: Dataset, e: Extractor, kinds: dict[str, t.DType]) -> dict[str
             left.remove(fitting[0])
     return by
 
-
-def row_window() -> Any:
-    return Window.orderBy(ROW)

@@ -117,7 +117,7 @@ class List(DType):
         return cls(dtype(of))
 
     def spark(self) -> T.DataType:
-        return T.ArrayType(self.of.spark(), self.of.optional)
+        return T.ArrayType(self.of.spark(), True)  # what may be null is known to the types, not to Spark
 
     def constraint(self, c: Column) -> Column | None:
         if self.of.constraint(F.lit(None)) is None:
@@ -142,7 +142,7 @@ class Dict(DType):
         return cls(dtype(of))
 
     def spark(self) -> T.DataType:
-        return T.MapType(T.StringType(), self.of.spark(), self.of.optional)
+        return T.MapType(T.StringType(), self.of.spark(), True)
 
     def __str__(self) -> str:
         return f"dict[str, {self.of}]"
@@ -156,7 +156,7 @@ class Embedding(DType):
         return cls(dim)
 
     def spark(self) -> T.DataType:
-        return T.ArrayType(T.DoubleType(), False)
+        return T.ArrayType(T.DoubleType(), True)
 
     def constraint(self, c: Column) -> Column | None:
         return (F.size(c) == self.dim) & F.forall(c, lambda x: x.isNotNull())
@@ -171,7 +171,7 @@ class Struct(DType):
     fields: tuple[tuple[str, DType], ...]
 
     def spark(self) -> T.DataType:
-        return T.StructType([T.StructField(n, t.spark(), t.optional) for n, t in self.fields])
+        return T.StructType([T.StructField(n, t.spark(), True) for n, t in self.fields])
 
     def get(self, name: str) -> DType | None:
         return dict(self.fields).get(name)
