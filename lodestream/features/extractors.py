@@ -173,6 +173,10 @@ def _list_lookup(df: DataFrame, e: Extractor, history: Callable[[Dataset], DataF
 _local = threading.local()
 
 
+def hold_lookups(lookups: dict) -> None:
+    _local.lookups = lookups
+
+
 def prefetched(d: Dataset, ts: pd.Series, keys: dict[str, pd.Series], fields: list[str] | None) -> tuple[pd.DataFrame, pd.Series]:
     held = getattr(_local, "lookups", {}).get(d.name)
     if held is None:
@@ -210,11 +214,11 @@ def _python(df: DataFrame, e: Extractor, featuresets: dict[str, Featureset], his
     def over(batches):
         for pdf in batches:
             pdf = pdf.reset_index(drop=True)
-            _local.lookups = {name: ({k: pdf[c] for k, c in by.items()}, pdf[list(fields.values())].set_axis(list(fields), axis=1), pdf[found]) for name, by, fields, found in lookups}
+            hold_lookups({name: ({k: pdf[c] for k, c in by.items()}, pdf[list(fields.values())].set_axis(list(fields), axis=1), pdf[found]) for name, by, fields, found in lookups})
             try:
                 got = fn(None, pdf[at].dt.tz_localize("UTC"), *(pdf[i] for i in arguments))
             finally:
-                _local.lookups = {}
+                hold_lookups({})
             columns = [got] if isinstance(got, pd.Series) else [got[s] if s in got.columns else got[o] for s, o in zip(short, outs, strict=True)]
             result = pdf[kept].copy()
             for i, (o, c) in enumerate(zip(outs, columns, strict=True)):
