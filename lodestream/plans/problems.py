@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -208,8 +208,10 @@ vehicles AS (SELECT vehicle_id, p[2] AS lat, p[3] AS lon FROM v)
 # -- 7: rolling totals -----------------------------------------------------------------------------------------
 
 
-def _cents(column: str) -> F.Column:
-    return F.when(~F.isnan(column), F.round(F.col(column) * 100).cast("long"))
+def _cents(column: str) -> Column:
+    """Hundredths; null for NaN, infinities and what no amount can be."""
+    c = F.when(F.abs(column) < 1e15, F.col(column))
+    return F.round(c * 100).cast("long")
 
 
 def _trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
