@@ -27,9 +27,9 @@ from lodestream.runtime import micros, shared_path
 from lodestream.streaming.entity_features import STATE_CONF
 
 HOUR_US = 3_600_000_000
-#: Watermarks are kept within what nanoseconds can hold; END_US stands for the end of time.
-START_US, END_US = -8_520_336_000_000_000, 7_258_118_400_000_000  # 1700-01-01, 2200-01-01
-_STAGED = "entity string, chunk bigint, at bigint, side int, id string, ts timestamp"
+DAY_MS = 86_400_000
+NEVER, ALWAYS = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+_STAGED = "entity string, chunk bigint, at bigint, side int, id string"
 
 
 def match_nearest(left: pd.DataFrame, right: pd.DataFrame, tolerance: int, chunk_us: int) -> np.ndarray:
@@ -74,19 +74,22 @@ def _unpack(held: bytes) -> tuple[pd.DataFrame, pd.DataFrame]:
     return both.loc[both["side"] == 0, names], both.loc[both["side"] == 1, names]
 
 
-def _join(tolerance: int, chunk_us: int, keep_unmatched: bool):
+def _join(tolerance: int, chunk_us: int, keep_unmatched: bool, cuts: list[int] | None):
+    """The stateful operator. The watermark is a time; or, if cuts are given, the number of slices that have come, in days."""
     names = ["entity", "chunk", "at", "id"]
 
     def over(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = [_unpack(bytes(state.get[0]))] if state.exists else []
         for batch in batches:
-            batch = batch[batch["side"] < 2]
             held.append((batch.loc[batch["side"] == 0, names], batch.loc[batch["side"] == 1, names]))
         left = pd.concat([h[0] for h in held], ignore_index=True) if held else pd.DataFrame(columns=names)
         right = pd.concat([h[1] for h in held], ignore_index=True) if held else pd.DataFrame(columns=names)
-        mark = state.getCurrentWatermarkMs() * 1000
-        if mark >= END_US:
-            mark = np.iinfo(np.int64).max
+        now = state.getCurrentWatermarkMs()
+        if cuts is None:
+            mark = now * 1000
+        else:
+            done = now // DAY_MS
+            mark = NEVER + tolerance if done == 0 else cuts[done - 1] if done <= len(cuts) else ALWAYS
         ready = (left["at"] < mark - tolerance).to_numpy(bool)
         if ready.any():
             right = right.sort_values(["entity", "chunk", "at", "id"], ignore_index=True)
@@ -101,27 +104,37 @@ def _join(tolerance: int, chunk_us: int, keep_unmatched: bool):
             result.loc[~found, "gap_us"] = pd.NA
             yield result if keep_unmatched else result[found]
             left = left[~ready]
-        oldest = min([mark, *([left["at"].min()] if len(left) else [])])
+        oldest = min([int(mark), *([int(left["at"].min())] if len(left) else [])])
         right = right[right["at"] >= oldest - tolerance]
         if not len(left) and not len(right):
             if state.exists:
                 state.remove()
             return
         state.update((_pack(left, right),))
-        wake = left["at"].min() + tolerance if len(left) else right["at"].max() + tolerance
-        state.setTimeoutTimestamp(int(min(max(wake, mark), END_US - 10_000) // 1000 + 2))
+        wake = int(left["at"].min() if len(left) else right["at"].max()) + tolerance
+        state.setTimeoutTimestamp(max(wake // 1000 + 2, now + 1) if cuts is None else now + 1)
 
     return over
 
 
-def join_stream(staged: DataFrame, tolerance_us: int, chunk_us: int, buckets: int, lateness: str = "0 seconds", keep_unmatched: bool = False) -> DataFrame:
-    """The streaming join over a stream of staged rows: left_id, right_id, gap_us (right minus left time)."""
+def join_stream(
+    staged: DataFrame, tolerance_us: int, chunk_us: int, buckets: int, lateness: str = "0 seconds", keep_unmatched: bool = False, cuts: list[int] | None = None
+) -> DataFrame:
+    """The streaming join over a stream of staged rows: left_id, right_id, gap_us (right minus left time).
+
+    Event time is the rows' own; or, if cuts are given, the number of the slice between cuts that a row is in.
+    """
+    if cuts is None:
+        ts = F.timestamp_micros("at")
+    else:
+        ts = F.timestamp_seconds((F.lit(1) + sum((F.when(F.col("at") >= c, 1).otherwise(0) for c in cuts), F.lit(0))) * 86_400)
     return (
-        staged.withWatermark("ts", lateness)
+        staged.withColumn("ts", ts)
+        .withWatermark("ts", lateness)
         .withColumn("bucket", F.pmod(F.xxhash64("entity", "chunk"), F.lit(buckets)).cast("int"))
         .groupBy("bucket")
         .applyInPandasWithState(
-            _join(tolerance_us, chunk_us, keep_unmatched), "left_id string, right_id string, gap_us bigint", "held binary", "append", GroupStateTimeout.EventTimeTimeout
+            _join(tolerance_us, chunk_us, keep_unmatched, cuts), "left_id string, right_id string, gap_us bigint", "held binary", "append", GroupStateTimeout.EventTimeTimeout
         )
     )
 
@@ -133,7 +146,7 @@ def side_rows(rows: DataFrame, entity: str, time: str, row_id: str, side: int, t
     chunks = F.array(chunk(at)) if side == 0 else F.array_distinct(F.array(chunk(at - tolerance_us), chunk(at), chunk(at + tolerance_us)))
     return rows.select(
         F.col(f"`{entity}`").cast("string").alias("entity"), chunks.alias("_chunks"), at.alias("at"), F.lit(side).alias("side"), F.col(f"`{row_id}`").cast("string").alias("id")
-    ).where("entity IS NOT NULL AND at IS NOT NULL AND id IS NOT NULL").select("entity", F.explode("_chunks").alias("chunk"), "at", "side", "id", F.timestamp_micros(F.greatest(F.lit(START_US), F.least(F.lit(END_US - 1), "at"))).alias("ts"))
+    ).where("entity IS NOT NULL AND at IS NOT NULL AND id IS NOT NULL").select("entity", F.explode("_chunks").alias("chunk"), "at", "side", "id")
 
 
 def nearest_in_time(
@@ -177,17 +190,14 @@ def nearest_in_time(
     if cuts:
         inbox = f"{work}/inbox"
     buckets = min(1 << 16, max(32, n // rows_per_bucket // slices))
-    end = session.sql("SELECT CAST(NULL AS string) entity, -1L chunk, -1L at, 2 side, CAST(NULL AS string) id, TIMESTAMP '2200-01-01 00:00:00' ts")
     cuts = sorted(set(cuts))
     for k in range(len(cuts) + 1):
         if cuts:
             low, high = (cuts[k - 1] if k else None), (cuts[k] if k < len(cuts) else None)
             part = rows.where(" AND ".join([*([f"at >= {low}"] if low is not None else []), *([f"at < {high}"] if high is not None else [])]))
             part.write.mode("append").option("compression", "zstd").parquet(inbox)
-        if k == len(cuts):  # the end of time, so that all that waits is emitted
-            end.coalesce(1).write.mode("append").parquet(inbox)
         query = (
-            join_stream(session.readStream.schema(_STAGED).parquet(inbox), tolerance_us, chunk_us, buckets, keep_unmatched=keep_unmatched)
+            join_stream(session.readStream.schema(_STAGED).parquet(inbox), tolerance_us, chunk_us, buckets, keep_unmatched=keep_unmatched, cuts=cuts)
             .writeStream.format("parquet")
             .outputMode("append")
             .option("path", out)
