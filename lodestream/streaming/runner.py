@@ -24,8 +24,11 @@ from lodestream.runtime import micros, shared_path
 from lodestream.streaming.entity_features import STATE_CONF
 from lodestream.streaming.files import delete, exists
 
+#: The end of time, for replays. Event time is taken a century later than it is, since Spark's watermark starts at
+#: 1970 and rows before it would be late; times count as no earlier than 1870 and no later than END for the watermark only.
 END = "2200-01-01 00:00:00"
 END_US = 7_258_118_400_000_000
+CENTURY_US = 3_155_760_000_000_000
 
 
 def stateful_session(spark: SparkSession) -> SparkSession:
@@ -141,13 +144,12 @@ def in_event_order(stream: DataFrame, keys: list[str], ts: str, disorder: str, s
         held, memory = pickle.loads(state.get[0]) if state.exists else (None, None)
         came = list(batches)
         rows = pd.concat([x for x in [held, *came] if x is not None and len(x)], ignore_index=True) if held is not None or came else pd.DataFrame()
-        mark = state.getCurrentWatermarkMs() * 1000
-        if mark >= END_US:
-            mark = 2**62
+        now = state.getCurrentWatermarkMs()
+        mark = 2**62 if now * 1000 >= END_US else now * 1000 - CENTURY_US
         if len(rows):
             at = rows[ts].astype("datetime64[us]").astype("int64")
-            ready = rows[at < mark].sort_values(ts, kind="stable", ignore_index=True)
-            held = rows[at >= mark]
+            ready = rows[(at < mark) & (at < END_US)].sort_values(ts, kind="stable", ignore_index=True)
+            held = rows[(at >= mark) & (at < END_US)]
         else:
             ready, held = rows, rows
         out, memory, wake = step(key, ready, memory, mark)
@@ -159,10 +161,12 @@ def in_event_order(stream: DataFrame, keys: list[str], ts: str, disorder: str, s
                 state.remove()
             return
         state.update((pickle.dumps((held if len(held) else None, memory)),))
-        if next_at and mark < END_US:
-            state.setTimeoutTimestamp(min(max(min(next_at), mark), END_US - 10_000) // 1000 + 2)
+        if next_at and mark < 2**62:
+            state.setTimeoutTimestamp(min(max((min(next_at) + CENTURY_US) // 1000 + 2, now + 1), END_US // 1000 - 10))
 
-    watermarked = stream.withWatermark(ts, f"{t.duration_us(disorder)} microseconds")
+    us = F.unix_micros(F.col(ts))
+    event_time = F.when(us >= END_US, F.lit(END_US)).otherwise(F.greatest(F.lit(1), F.least(us + CENTURY_US, F.lit(END_US - 1))))
+    watermarked = stream.withColumn("_mark", F.timestamp_micros(event_time)).withWatermark("_mark", f"{t.duration_us(disorder)} microseconds")
     return watermarked.groupBy(*keys).applyInPandasWithState(over, schema, "held binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
