@@ -128,7 +128,7 @@ def run(df: DataFrame, order: list[Extractor], featuresets: dict[str, Featureset
             df = df.withColumn(e.outputs[0], _with_default(F.col(f"`{e.inputs[0]}`").cast(e.dtype.spark()), e))
         elif e.kind == "expr":
             fs = featuresets[e.featureset]
-            scope = Scope({n: f.dtype for n, f in fs.features.items()}, lambda n, fs=fs: F.col(f"`{fs.name}.{n}`"), now=F.col(AT))
+            scope = Scope({n: f.dtype for n, f in fs.features.items()}, lambda n, fs=fs: F.col(f"`{fs._name}.{n}`"), now=F.col(AT))
             df = df.withColumn(e.outputs[0], _with_default(e.source.resolve(scope).column.cast(e.dtype.spark()), e))
         elif e.kind == "lookup":
             same = [j for j in range(i, len(order)) if order[j].kind == "lookup" and order[j].deps == e.deps and order[j].inputs == e.inputs and j not in done]
@@ -178,15 +178,15 @@ def hold_lookups(lookups: dict) -> None:
 
 
 def prefetched(d: Dataset, ts: pd.Series, keys: dict[str, pd.Series], fields: list[str] | None) -> tuple[pd.DataFrame, pd.Series]:
-    held = getattr(_local, "lookups", {}).get(d.name)
+    held = getattr(_local, "lookups", {}).get(d._name)
     if held is None:
-        raise FeatureError(f"{d.name} can be looked up only in an extractor that names it in deps")
+        raise FeatureError(f"{d._name} can be looked up only in an extractor that names it in deps")
     by, values, found = held
     if set(keys) != set(d.schema.keys):
-        raise FeatureError(f"{d.name} is looked up by {sorted(d.schema.keys)}, not {sorted(keys)}")
+        raise FeatureError(f"{d._name} is looked up by {sorted(d.schema.keys)}, not {sorted(keys)}")
     for k, s in keys.items():
         if not pd.Series(s).reset_index(drop=True).astype(object).equals(by[k].reset_index(drop=True).astype(object)):
-            raise FeatureError(f"{d.name} is looked up by a {k} that is not an input of the extractor")
+            raise FeatureError(f"{d._name} is looked up by a {k} that is not an input of the extractor")
     names = fields or [c for c in values.columns]
     return values[names].reset_index(drop=True), found.reset_index(drop=True)
 
@@ -196,9 +196,9 @@ def _python(df: DataFrame, e: Extractor, featuresets: dict[str, Featureset], his
     joined, held = df, []
     for d in e.deps:
         by = _key_inputs(d, e, kinds)
-        fields = {n: f"_{d.name}_{n}" for n in [*d.schema.values, d.schema.ts]}
-        joined = lookup_join(joined, history(d), d, [by[k] for k in d.schema.keys], AT, fields, env, found=f"_{d.name}_found")
-        held.append((d.name, by, fields))
+        fields = {n: f"_{d._name}_{n}" for n in [*d.schema.values, d.schema.ts]}
+        joined = lookup_join(joined, history(d), d, [by[k] for k in d.schema.keys], AT, fields, env, found=f"_{d._name}_found")
+        held.append((d._name, by, fields))
     fn, ins, outs = e.fn, list(e.inputs), list(e.outputs)
     # names without dots on the way to Python and back
     plain = {c: f"c{i}" for i, c in enumerate(joined.columns)}
@@ -254,7 +254,7 @@ def _key_inputs(d: Dataset, e: Extractor, kinds: dict[str, t.DType]) -> dict[str
         if k not in by:
             fitting = [i for i in left if t.same(t.required(kinds[i]), kind)]
             if not fitting:
-                raise FeatureError(f"{e.name} has no input for the key {k} of {d.name}")
+                raise FeatureError(f"{e.name} has no input for the key {k} of {d._name}")
             by[k] = fitting[0]
             left.remove(fitting[0])
     return by

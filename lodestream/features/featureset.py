@@ -76,14 +76,14 @@ def extractor(fn: Callable | None = None, *, deps: list[Dataset] | None = None,
 
 class Featureset:
     def __init__(self, cls: type):
-        self.name, self.cls, self.meta = cls.__name__, cls, getattr(cls, "__meta__", {})
+        self._name, self.cls, self.meta = cls.__name__, cls, getattr(cls, "__meta__", {})
         self.version = 1
         hints = typing.get_type_hints(cls)
         self.features: dict[str, Feature] = {}
         for n, h in hints.items():
-            if n in ("extractors", "features", "name"):
+            if n in ("cls", "extractors", "features", "meta", "version") or n.startswith("_"):
                 raise FeatureError(f"{n!r} is no name of a feature")
-            self.features[n] = Feature(self.name, n, t.dtype(h))
+            self.features[n] = Feature(self._name, n, t.dtype(h))
         self.extractors: list[Extractor] = []
         for n, f in self.features.items():
             made = vars(cls).get(n)
@@ -102,8 +102,8 @@ class Featureset:
                 ins = tuple(self._feature(x).fqn for x in getattr(fn, "__inputs__", ()))
                 outs = tuple(self._own(x) for x in getattr(fn, "__outputs__", ()))
                 if not outs:
-                    raise FeatureError(f"extractor {self.name}.{n} has no outputs")
-                self.extractors.append(Extractor(n, "python", ins, outs, self.name, env, version, fn=fn, deps=deps))
+                    raise FeatureError(f"extractor {self._name}.{n} has no outputs")
+                self.extractors.append(Extractor(n, "python", ins, outs, self._name, env, version, fn=fn, deps=deps))
         made_by: dict[tuple[str, Any], str] = {}
         for e in self.extractors:
             for o in e.outputs:
@@ -115,7 +115,7 @@ class Featureset:
     def _own(self, x: Any) -> str:
         name = x.name if isinstance(x, Feature) else x
         if name not in self.features:
-            raise FeatureError(f"{self.name} has no feature {name!r}")
+            raise FeatureError(f"{self._name} has no feature {name!r}")
         return self.features[name].fqn
 
     def _feature(self, x: Any) -> Feature:
@@ -124,7 +124,7 @@ class Featureset:
         return self.features[self._own(x).split(".")[1]]
 
     def _extractor(self, f: Feature, made: FeatureDef) -> Extractor:
-        base = Extractor(f"{f.name}", "", (), (f.fqn,), self.name, made.env, made.version, made.source, made.default, f.dtype)
+        base = Extractor(f"{f.name}", "", (), (f.fqn,), self._name, made.env, made.version, made.source, made.default, f.dtype)
         source = made.source
         if made.default is not NO_DEFAULT and f.dtype.optional and made.default is not None and not isinstance(source, Expr):
             raise FeatureError(f"{f} has a default and can't be optional")
@@ -143,34 +143,34 @@ class Featureset:
                 kind = t.required(kind)
             if not t.casts(kind, f.dtype):
                 raise FeatureError(f"{f} is {f.dtype}, not {kind}")
-            return replace(base, kind="expr", inputs=tuple(f"{self.name}.{n}" for n in sorted(source.references())))
+            return replace(base, kind="expr", inputs=tuple(f"{self._name}.{n}" for n in sorted(source.references())))
         if isinstance(source, FieldRef):
             d = source.dataset
             if d.index is None or not d.schema.keyed:
-                raise FeatureError(f"{d.name} has no index to look {f} up in")
+                raise FeatureError(f"{d._name} has no index to look {f} up in")
             if source.name in d.schema.keys:
                 raise FeatureError(f"{source} is a key")
             for k in d.schema.keys:
                 if k not in self.features:
-                    raise FeatureError(f"{f} is looked up by {k}, which is no feature of {self.name}")
+                    raise FeatureError(f"{f} is looked up by {k}, which is no feature of {self._name}")
             keys = {k: self.features[k].dtype for k in d.schema.keys}
             have = source.dtype if made.default is not NO_DEFAULT else t.optional(source.dtype)
             have = t.required(have) if made.default is not NO_DEFAULT else have
             listed = [k for k, kind in keys.items() if isinstance(kind, t.List) and t.same(kind.of, d.schema.keys[k])]
             if listed:
                 if len(listed) != len(keys):
-                    raise FeatureError(f"{f}: all keys of {d.name} are lists, or none is")
+                    raise FeatureError(f"{f}: all keys of {d._name} are lists, or none is")
                 if not t.promotes(t.List(have), f.dtype):
                     raise FeatureError(f"{f} is {f.dtype}, not {t.List(have)}")
                 kind = "list_lookup"
             else:
                 for k, want in d.schema.keys.items():
                     if not t.same(t.required(keys[k]), want):
-                        raise FeatureError(f"{self.name}.{k} is {keys[k]}, not {want} as the key of {d.name}")
+                        raise FeatureError(f"{self._name}.{k} is {keys[k]}, not {want} as the key of {d._name}")
                 if not t.promotes(have, f.dtype):
                     raise FeatureError(f"{f} is {f.dtype}, not {have} as {source}")
                 kind = "lookup"
-            return replace(base, kind=kind, inputs=tuple(f"{self.name}.{k}" for k in d.schema.keys), deps=(d,))
+            return replace(base, kind=kind, inputs=tuple(f"{self._name}.{k}" for k in d.schema.keys), deps=(d,))
         if isinstance(source, Featureset):
             return self._extractor(f, replace(made, source=source.features.get(f.name) or _missing(source, f)))
         raise FeatureError(f"{f} can't be made from {source!r}")
@@ -180,14 +180,14 @@ class Featureset:
             raise AttributeError(name)
         if name in self.features:
             return self.features[name]
-        raise AttributeError(f"{self.name} has no feature {name!r}")
+        raise AttributeError(f"{self._name} has no feature {name!r}")
 
     def __repr__(self) -> str:
-        return f"<featureset {self.name}>"
+        return f"<featureset {self._name}>"
 
 
 def _missing(source: Featureset, f: Feature):
-    raise FeatureError(f"{source.name} has no feature {f.name!r}")
+    raise FeatureError(f"{source._name} has no feature {f.name!r}")
 
 
 def featureset(cls: type) -> Featureset:

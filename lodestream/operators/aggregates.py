@@ -598,27 +598,32 @@ def aggregate_asof(
 def aggregate_windows(
     df: DataFrame, keys: list[str], ts: str, window: Any, specs: list[Spec], types: dict[str, t.DType], order: list[str] | None = None, field: str = "window"
 ) -> DataFrame:
-    """One row per key and window: keys, the window as a struct (begin, end), ts (its end), and the fields."""
+    """One row per key and window: keys, the window as a struct (begin, end), ts (its end), and the fields.
+
+    Tumbling and hopping windows come once they are over, as with aggregate(): also the first without rows after one
+    with rows, with the empty values. Without specs the windows with rows come alone.
+    """
     rows = _prepared(df, keys, ts, specs, order, None)
-    rank = F.struct(F.col("_t").alias("t"), F.col("_o").alias("o"))
-    live = F.lit(True)
-    names = [f"_p{i}_{j}" for i, s in enumerate(specs) for j in range(len(s.parts(live, rank)))]
-    aggregates = [p.alias(n) for p, n in zip([p for s in specs for p in s.parts(live, rank)], names, strict=True)]
     if isinstance(window, t.Session):
-        grouped = rows.groupBy(*keys, F.session_window(F.timestamp_micros("_t"), f"{window.gap_us} microseconds").alias("_w")).agg(
-            F.min("_t").alias("_a"), (F.max("_t") + 1).alias("_z"), *aggregates
-        )
+        rank = F.struct(F.col("_t").alias("t"), F.col("_o").alias("o"))
+        parts = [[p.alias(f"_p{i}_{j}") for j, p in enumerate(s.parts(F.lit(True), rank))] for i, s in enumerate(specs)]
+        sessions = F.session_window(F.timestamp_micros("_t"), f"{window.gap_us} microseconds").alias("_w")
+        values = rows.groupBy(*keys, sessions).agg(F.min("_t").alias("_a"), (F.max("_t") + 1).alias("_z"), *(p for ps in parts for p in ps))
+        out = [
+            s.finish([F.col(f"_p{i}_{j}") for j in range(len(parts[i]))], F.col("_z")).cast(t.required(s.result(types.get(s.of))).spark()).alias(s.into_field) for i, s in enumerate(specs)
+        ]
     else:
         if window.us is None:
             raise ValueError("a window that is a key can't be forever")
-        grouped = rows.withColumn("_z", F.explode(window_ends(F.col("_t"), window))).groupBy(*keys, "_z").agg(*([*aggregates] or [F.count(F.lit(1)).alias("_n")])).withColumn("_a", F.col("_z") - window.us)
-    out, k = [], 0
-    for s in specs:
-        n = len(s.parts(live, rank))
-        out.append(s.finish([F.col(x) for x in names[k : k + n]], F.col("_z")).cast(t.required(s.result(types.get(s.of))).spark()).alias(s.into_field))
-        k += n
+        if specs:
+            values = _discrete(rows, keys, specs, types, window)
+        else:
+            frontier = rows.agg((F.max("_t") - window.lookback_us).alias("_frontier"))
+            values = rows.select(*keys, F.explode(window_ends(F.col("_t"), window)).alias("_t")).distinct().crossJoin(F.broadcast(frontier)).where("_t <= _frontier")
+        values = values.select("*", (F.col("_t") - window.us).alias("_a"), F.col("_t").alias("_z"))
+        out = [_q(s.into_field) for s in specs]
     made = F.struct(F.timestamp_micros("_a").alias("begin"), F.timestamp_micros("_z").alias("end"))
-    return grouped.select(*map(_q, keys), made.alias(field), F.timestamp_micros("_z").alias(ts), *out)
+    return values.select(*map(_q, keys), made.alias(field), F.timestamp_micros("_z").alias(ts), *out)
 
 
 def bucketize(at: Column, window: Any) -> Column:

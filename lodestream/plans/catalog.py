@@ -57,7 +57,7 @@ def frames(spark: SparkSession, sf_dir: str) -> Callable[[Dataset], DataFrame]:
             return utc(table(spark, sf_dir, "events")).withColumn(SEQ, F.col("event_id"))
         if d is Orders:
             return utc(table(spark, sf_dir, "orders")).withColumn(SEQ, F.col("o_orderkey"))
-        raise ValueError(d.name)
+        raise ValueError(d._name)
 
     return frame
 
@@ -358,14 +358,17 @@ def agg_session_key(spark, sf_dir):
     return _window_shown(node(n, spark, sf_dir))
 
 
-@query(f"""SELECT user_id, z AS ts, z - {DAY} AS w_begin, z AS w_end, count(*) AS n, max(value) AS high FROM
-(SELECT user_id, value, unnest(range((us // {6 * HOUR}) * {6 * HOUR} + {6 * HOUR}, (us // {6 * HOUR}) * {6 * HOUR} + {6 * HOUR} + {DAY}, {6 * HOUR})) AS z FROM (SELECT *, epoch_us(ts) AS us FROM events)) GROUP BY user_id, z""")
+@query(
+    _discrete_sql(f"unnest(range((us // {6 * HOUR}) * {6 * HOUR} + {6 * HOUR}, (us // {6 * HOUR}) * {6 * HOUR} + {6 * HOUR} + {DAY}, {6 * HOUR}))", 6 * HOUR).replace(
+        "SELECT user_id, ts, n, round(total, 6) AS total, round(mean, 6) AS mean, low, high, round(dev, 6) AS dev FROM", f"SELECT user_id, ts, ts - {DAY} AS w_begin, ts AS w_end, n, high FROM"
+    )
+)
 def agg_hopping_key(spark, sf_dir):
     n = Events.groupby("user_id", window=Hopping("1d", "6h")).aggregate(n=agg.Count(), high=agg.Max("value", default=0.0))
     return _window_shown(node(n, spark, sf_dir))
 
 
-@query(f"SELECT DISTINCT user_id, (epoch_us(ts) // {DAY} + 1) * {DAY} AS ts, (epoch_us(ts) // {DAY}) * {DAY} AS w_begin, (epoch_us(ts) // {DAY} + 1) * {DAY} AS w_end FROM events")
+@query(f"SELECT DISTINCT user_id, (epoch_us(ts) // {DAY} + 1) * {DAY} AS ts, (epoch_us(ts) // {DAY}) * {DAY} AS w_begin, (epoch_us(ts) // {DAY} + 1) * {DAY} AS w_end FROM events WHERE (epoch_us(ts) // {DAY} + 1) * {DAY} <= (SELECT epoch_us(max(ts)) FROM events)")
 def agg_window_keys(spark, sf_dir):
     return _window_shown(node(Events.groupby("user_id", window=Tumbling("1d")).aggregate(), spark, sf_dir))
 

@@ -570,14 +570,18 @@ class FieldRef:
         return self.dataset.schema.type_of(self.name)
 
     def __str__(self) -> str:
-        return f"{self.dataset.name}.{self.name}"
+        return f"{self.dataset._name}.{self.name}"
+
+
+#: Names that datasets use themselves.
+RESERVED = {"aggregate_node", "cls", "expectations", "frame", "index", "meta", "pipeline_for", "pipelines", "schema", "sinks", "sources", "terminal", "version"}
 
 
 class Dataset(Node):
     """A declared dataset; also the input node of pipelines."""
 
     def __init__(self, cls: type, version: int, history: str, index: bool, offline: bool, online: bool):
-        self.name, self.version, self.history_us, self.cls = cls.__name__, version, t.duration_us(history), cls
+        self._name, self.version, self.history_us, self.cls = cls.__name__, version, t.duration_us(history), cls
         self.index = Index(online=online or index, offline=offline or index) if index or offline or online else None
         self.meta: dict[str, Any] = getattr(cls, "__meta__", {})
         self.sources: list[Any] = list(getattr(cls, "__sources__", []))
@@ -585,13 +589,13 @@ class Dataset(Node):
         hints = typing.get_type_hints(cls)
         keys, values, erase, marked, times = {}, {}, [], [], []
         for name, hint in hints.items():
-            if "." in name or name.startswith("_"):
+            if "." in name or name.startswith("_") or name in RESERVED:
                 raise SchemaError(f"{name!r} is no name of a field")
             kind, f = t.dtype(hint), vars(cls).get(name)
             f = f if isinstance(f, Field) else Field()
             if f.timestamp:
                 if kind != t.Datetime:
-                    raise SchemaError(f"the timestamp {name} of {self.name} is {kind}, not datetime")
+                    raise SchemaError(f"the timestamp {name} of {self._name} is {kind}, not datetime")
                 marked.append(name)
             elif f.key:
                 keys[name] = kind
@@ -600,15 +604,15 @@ class Dataset(Node):
                 values[name] = kind
                 times += [name] if kind == t.Datetime else []
         if len(marked) > 1:
-            raise SchemaError(f"{self.name} has several timestamps")
+            raise SchemaError(f"{self._name} has several timestamps")
         if not marked:
             if len(times) != 1:
-                raise SchemaError(f"{self.name} needs a field marked as its timestamp")
+                raise SchemaError(f"{self._name} needs a field marked as its timestamp")
             marked = times
             values.pop(times[0])
-        self.schema = Schema(keys, values, marked[0], tuple(erase), name=self.name)
+        self.schema = Schema(keys, values, marked[0], tuple(erase), name=self._name)
         if (offline or online or index) and not keys:
-            raise SchemaError(f"{self.name} has no keys to index")
+            raise SchemaError(f"{self._name} has no keys to index")
         self.pipelines: list[Pipeline] = []
         for member in vars(cls).values():
             if isinstance(member, PipelineDef):
@@ -617,24 +621,24 @@ class Dataset(Node):
         for p in self.pipelines:
             for e in p.env or [None]:
                 if e in envs:
-                    raise SchemaError(f"{self.name} has several pipelines for environment {e}")
+                    raise SchemaError(f"{self._name} has several pipelines for environment {e}")
                 envs.add(e)
         self.terminal = any(p.terminal for p in self.pipelines)
         self.expectations = [m.__expectations__ for m in vars(cls).values() if hasattr(m, "__expectations__")]
         if self.expectations and self.terminal:
-            raise SchemaError(f"{self.name} is terminal and takes no expectations")
+            raise SchemaError(f"{self._name} is terminal and takes no expectations")
 
     def _traced(self, made: PipelineDef) -> Pipeline:
         for d in made.inputs:
             if not isinstance(d, Dataset):
-                raise SchemaError(f"input {d!r} of {self.name}.{made.fn.__name__} is no dataset")
+                raise SchemaError(f"input {d!r} of {self._name}.{made.fn.__name__} is no dataset")
             if d.terminal:
-                raise SchemaError(f"{d.name} is terminal and can't be an input")
+                raise SchemaError(f"{d._name} is terminal and can't be an input")
         node = made.fn(self.cls, *made.inputs)
         if not isinstance(node, Node):
-            raise SchemaError(f"{self.name}.{made.fn.__name__} gives no dataset")
+            raise SchemaError(f"{self._name}.{made.fn.__name__} gives no dataset")
         if why := node.schema.matches(self.schema):
-            raise SchemaError(f"{self.name}.{made.fn.__name__} does not give the schema of {self.name}: {why}")
+            raise SchemaError(f"{self._name}.{made.fn.__name__} does not give the schema of {self._name}: {why}")
         return Pipeline(made.fn.__name__, made.inputs, node, made.env, node.schema.terminal)
 
     def __getattr__(self, name: str) -> Any:
@@ -642,7 +646,7 @@ class Dataset(Node):
             raise AttributeError(name)
         if name in self.schema.fields:
             return FieldRef(self, name)
-        raise AttributeError(f"{self.name} has no field {name!r}")
+        raise AttributeError(f"{self._name} has no field {name!r}")
 
     def frame(self, frames):
         return frames(self)
@@ -653,7 +657,7 @@ class Dataset(Node):
     def pipeline_for(self, env: str | None) -> Pipeline | None:
         fitting = [p for p in self.pipelines if selected(p.env, env)]
         if len(fitting) > 1:
-            raise SchemaError(f"several pipelines of {self.name} for environment {env}")
+            raise SchemaError(f"several pipelines of {self._name} for environment {env}")
         return fitting[0] if fitting else None
 
     def aggregate_node(self, env: str | None = None) -> Aggregate | None:
@@ -667,7 +671,7 @@ class Dataset(Node):
         return prefetched(self, ts, keys, fields)
 
     def __repr__(self) -> str:
-        return f"<dataset {self.name}>"
+        return f"<dataset {self._name}>"
 
 
 @dataclass(frozen=True)
@@ -762,9 +766,9 @@ def index(x: Dataset | None = None, *, type: str = "primary", online: bool = Tru
 
     def add(d: Dataset) -> Dataset:
         if not d.schema.keyed:
-            raise SchemaError(f"{d.name} has no keys to index")
+            raise SchemaError(f"{d._name} has no keys to index")
         if d.index is not None:
-            raise SchemaError(f"{d.name} has an index already")
+            raise SchemaError(f"{d._name} has an index already")
         d.index = Index(online, offline is not None)
         return d
 

@@ -402,14 +402,14 @@ def source(conn: Connector, disorder: str, cdc: str, every: str | None = None, s
 
 def check_source(d: Dataset, s: Source) -> None:
     if d.pipelines:
-        raise ConnectorError(f"{d.name} comes from a pipeline and takes no source")
+        raise ConnectorError(f"{d._name} comes from a pipeline and takes no source")
     if s.cdc == "append" and d.schema.keyed:
-        raise ConnectorError(f"cdc append is for data without keys; {d.name} is keyed")
+        raise ConnectorError(f"cdc append is for data without keys; {d._name} is keyed")
     if s.cdc in ("upsert", "debezium") and not d.schema.keyed:
-        raise ConnectorError(f"cdc {s.cdc} is for keyed data; {d.name} has no keys")
+        raise ConnectorError(f"cdc {s.cdc} is for keyed data; {d._name} has no keys")
     for name in s.preproc:
         if name not in d.schema.fields:
-            raise ConnectorError(f"preproc makes {name}, which is no field of {d.name}")
+            raise ConnectorError(f"preproc makes {name}, which is no field of {d._name}")
 
 
 def sample_columns(s: Source, d: Dataset) -> list[str]:
@@ -495,12 +495,12 @@ def conform(df: DataFrame, d: Dataset, on_error: str = "raise") -> DataFrame:
     for name, kind in d.schema.fields.items():
         if name not in df.columns:
             if not kind.optional:
-                raise ConnectorError(f"{d.name} needs the field {name}")
+                raise ConnectorError(f"{d._name} needs the field {name}")
             columns.append(F.lit(None).cast(kind.spark()).alias(name))
             continue
         have = df.schema[name].dataType
         if not _fits(have, t.required(kind).spark()):
-            raise ConnectorError(f"{d.name}.{name} is {kind}, not {have.simpleString()}")
+            raise ConnectorError(f"{d._name}.{name} is {kind}, not {have.simpleString()}")
         c = F.col(f"`{name}`").cast(kind.spark())
         columns.append(c.alias(name))
         value = F.col(f"`{name}`")
@@ -515,7 +515,7 @@ def conform(df: DataFrame, d: Dataset, on_error: str = "raise") -> DataFrame:
     broken = F.coalesce(*(F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for name, bad in checks))
     if on_error == "raise":
         first = next(iter(d.schema.fields))
-        checked = F.when(broken.isNotNull(), F.raise_error(F.concat(F.lit(f"{d.name}: a value breaks the type of "), broken))).otherwise(F.lit(None).cast("string"))
+        checked = F.when(broken.isNotNull(), F.raise_error(F.concat(F.lit(f"{d._name}: a value breaks the type of "), broken))).otherwise(F.lit(None).cast("string"))
         kind = d.schema.fields[first].spark()
         return out.withColumn(first, F.when(checked.isNull(), F.col(f"`{first}`")).otherwise(F.lit(None).cast(kind)))
     marked = out.withColumn("_broken", broken)
@@ -602,7 +602,7 @@ def decode_messages(raw: DataFrame, d: Dataset, encoding: Any) -> DataFrame:
     options = {"mode": "FAILFAST"}
     if isinstance(encoding, Avro):
         return raw.select(from_avro(F.col("value"), encoding.url, options).alias("_v")).select("_v.*")
-    return raw.select(from_protobuf(F.col("value"), d.name, encoding.url, options).alias("_v")).select("_v.*")
+    return raw.select(from_protobuf(F.col("value"), d._name, encoding.url, options).alias("_v")).select("_v.*")
 
 
 def bounds(df: DataFrame, d: Dataset, s: Source) -> DataFrame:

@@ -67,7 +67,7 @@ def sink(conn: Connector, cdc: str | None = None, every: str | None = None, how:
     def attach(x: Any) -> Any:
         if isinstance(x, Dataset):
             if x.sources or not x.pipelines:
-                raise ConnectorError(f"{x.name} is a source dataset and takes no sink")
+                raise ConnectorError(f"{x._name} is a source dataset and takes no sink")
             x.sinks.append(made)
         else:
             x.__sinks__ = [*getattr(x, "__sinks__", []), made]

@@ -113,8 +113,8 @@ class Workspace:
         if not message:
             raise WorkspaceError("a commit needs a message")
         b = self.branch
-        new_d = {d.name: d for d in datasets or []}
-        new_f = {f.name: f for f in featuresets or []}
+        new_d = {d._name: d for d in datasets or []}
+        new_f = {f._name: f for f in featuresets or []}
         all_d = {**b.datasets, **new_d} if incremental else new_d
         all_f = {**b.featuresets, **new_f} if incremental else new_f
         changes: dict[str, list[str]] = {"added": [], "changed": [], "removed": []}
@@ -134,17 +134,17 @@ class Workspace:
                 check_source(d, s)
             for p in d.pipelines:
                 for i in p.inputs:
-                    if i.name not in all_d:
-                        raise WorkspaceError(f"{d.name} needs {i.name}, which is not committed")
+                    if i._name not in all_d:
+                        raise WorkspaceError(f"{d._name} needs {i._name}, which is not committed")
             d.pipeline_for(env)
         for f in all_f.values():
             for e in f.extractors:
                 for d in e.deps:
-                    if d.name not in all_d:
-                        raise WorkspaceError(f"{f.name}.{e.name} needs {d.name}, which is not committed")
+                    if d._name not in all_d:
+                        raise WorkspaceError(f"{f._name}.{e.name} needs {d._name}, which is not committed")
                 for i in [*e.inputs]:
                     if i.split(".")[0] not in all_f:
-                        raise WorkspaceError(f"{f.name}.{e.name} needs {i}, which is not committed")
+                        raise WorkspaceError(f"{f._name}.{e.name} needs {i}, which is not committed")
         check_cycles(all_f)
         if preview:
             return changes
@@ -175,23 +175,23 @@ class Workspace:
 
     def log_frame(self, d: Dataset, df: DataFrame | pd.DataFrame, source: Source | None = None) -> None:
         """Rows for a dataset, past a source's preproc, where and sample if one is given."""
-        if d.name not in self.branch.datasets:
-            raise WorkspaceError(f"{d.name} is not committed")
+        if d._name not in self.branch.datasets:
+            raise WorkspaceError(f"{d._name} is not committed")
         if d.pipelines:
-            raise WorkspaceError(f"{d.name} comes from a pipeline")
+            raise WorkspaceError(f"{d._name} comes from a pipeline")
         b, now = self.branch, time.time()
         if source is not None and source.bounded:
-            last = b.last_log.get(d.name, b.created.get(d.name, now))
+            last = b.last_log.get(d._name, b.created.get(d._name, now))
             if now - last >= t.duration_us(source.idleness) / 1e6:
                 return  # the source has ended
-        b.last_log[d.name] = now
+        b.last_log[d._name] = now
         if isinstance(df, pd.DataFrame):
             df = self._from_pandas(df, d, source)
         rows = ingest(df, d, source)
         # the order of arrival: of the batch, then of the row within it
         self._seq += 1
         rows = rows.withColumn(SEQ, F.lit(self._seq << 44).cast("bigint") + F.monotonically_increasing_id() % (1 << 44))
-        b.logged.setdefault(d.name, []).append(staged(rows, f"log-{d.name}"))
+        b.logged.setdefault(d._name, []).append(staged(rows, f"log-{d._name}"))
         b.materialized.clear()
 
     def ingest_sources(self) -> None:
@@ -222,17 +222,17 @@ class Workspace:
         try:
             return self.spark.createDataFrame(values, T.StructType(fields))
         except Exception as e:
-            raise SchemaError(f"rows don't have the types of {d.name}: {e}") from e
+            raise SchemaError(f"rows don't have the types of {d._name}: {e}") from e
 
     # -- frames -----------------------------------------------------------------------------------------------
 
     def frame(self, d: Dataset) -> DataFrame:
         """The dataset's rows, with the hidden columns of frames."""
         b = self.branch
-        if d.name not in b.datasets:
-            raise WorkspaceError(f"{d.name} is not committed")
-        if d.name in b.materialized:
-            return b.materialized[d.name]
+        if d._name not in b.datasets:
+            raise WorkspaceError(f"{d._name} is not committed")
+        if d._name in b.materialized:
+            return b.materialized[d._name]
         p: Pipeline | None = d.pipeline_for(b.env)
         if p is not None:
             rows = p.node.frame(self.frame)
@@ -242,7 +242,7 @@ class Workspace:
             order = [*d.schema.fields, *([VALID_TO] if VALID_TO in rows.columns else []), SEQ]
             rows = rows.select(*(F.col(f"`{c}`") for c in order))
         else:
-            parts = b.logged.get(d.name, [])
+            parts = b.logged.get(d._name, [])
             if parts:
                 rows = parts[0]
                 for more in parts[1:]:
@@ -254,15 +254,15 @@ class Workspace:
                 rows = validity(rows, list(d.schema.keys), d.schema.ts, [SEQ])
                 if "_deleted" in rows.columns:
                     rows = rows.where("NOT coalesce(_deleted, false)").drop("_deleted")
-        for keys in b.erased.get(d.name, []):
+        for keys in b.erased.get(d._name, []):
             names = list(d.schema.erase_keys)
             rows = rows.join(keys, names, "left_anti")
         return rows
 
     def materialize(self, d: Dataset) -> DataFrame:
         """Write the dataset once, so that plans that use it start from there."""
-        self.branch.materialized[d.name] = staged(self.frame(d), f"dataset-{d.name}")
-        return self.branch.materialized[d.name]
+        self.branch.materialized[d._name] = staged(self.frame(d), f"dataset-{d._name}")
+        return self.branch.materialized[d._name]
 
     def inspect(self, d: Dataset, n: int = 10) -> DataFrame:
         """The latest n rows."""
@@ -271,11 +271,11 @@ class Workspace:
     def erase(self, d: Dataset, erase_keys: pd.DataFrame | DataFrame | list[dict]) -> None:
         """Remove the rows of these values of the erase keys, now and later."""
         if not d.schema.erase_keys:
-            raise WorkspaceError(f"{d.name} has no erase keys")
+            raise WorkspaceError(f"{d._name} has no erase keys")
         keys = erase_keys if isinstance(erase_keys, DataFrame) else self.spark.createDataFrame(pd.DataFrame(erase_keys))
         if set(keys.columns) != set(d.schema.erase_keys):
-            raise WorkspaceError(f"erasing from {d.name} takes {list(d.schema.erase_keys)}")
-        self.branch.erased.setdefault(d.name, []).append(keys.distinct())
+            raise WorkspaceError(f"erasing from {d._name} takes {list(d.schema.erase_keys)}")
+        self.branch.erased.setdefault(d._name, []).append(keys.distinct())
         self.branch.materialized.clear()
 
     # -- data out ---------------------------------------------------------------------------------------------
@@ -284,11 +284,11 @@ class Workspace:
         """keys with the fields as of timestamps (a column's name, or one time per key, or None for now), and the name of
         the column that tells whether there was a row."""
         if d.index is None:
-            raise WorkspaceError(f"{d.name} has no index")
+            raise WorkspaceError(f"{d._name} has no index")
         if timestamps is None and not d.index.online:
-            raise WorkspaceError(f"{d.name} has no online index")
+            raise WorkspaceError(f"{d._name} has no online index")
         if timestamps is not None and not d.index.offline:
-            raise WorkspaceError(f"{d.name} has no offline index")
+            raise WorkspaceError(f"{d._name} has no offline index")
         if not isinstance(keys, DataFrame):
             rows = [{**k, **({AT: _utc(ts)} if timestamps is not None else {})} for k, ts in zip(keys, timestamps if timestamps is not None else keys, strict=True)]
             from pyspark.sql import types as T
@@ -300,7 +300,7 @@ class Workspace:
         else:
             missing = [k for k in d.schema.keys if k not in keys.columns]
             if missing:
-                raise WorkspaceError(f"{d.name} is looked up by {missing} too")
+                raise WorkspaceError(f"{d._name} is looked up by {missing} too")
             asked = keys.withColumn(AT, F.col(timestamps)) if timestamps is not None else keys
         if AT not in asked.columns:
             asked = asked.withColumn(AT, F.current_timestamp())
@@ -386,22 +386,22 @@ class Workspace:
     def lineage(self) -> dict[str, list[str]]:
         """What each dataset, featureset and feature is made from."""
         b = self.branch
-        out = {d.name: sorted({i.name for p in d.pipelines for i in p.inputs}) for d in b.datasets.values()}
+        out = {d._name: sorted({i._name for p in d.pipelines for i in p.inputs}) for d in b.datasets.values()}
         for fs in b.featuresets.values():
             for e in fs.extractors:
                 for o in e.outputs:
-                    out[o] = sorted({*e.inputs, *(d.name for d in e.deps)})
+                    out[o] = sorted({*e.inputs, *(d._name for d in e.deps)})
         return out
 
     def xray(self, datasets: list[Dataset | str] | None = None, properties: list[str] | None = None) -> list[dict[str, Any]]:
         """Properties of datasets: name, keyed, fields, version, sources, pipelines, terminal, index, meta."""
-        names = None if datasets is None else {d if isinstance(d, str) else d.name for d in datasets}
+        names = None if datasets is None else {d if isinstance(d, str) else d._name for d in datasets}
         rows = []
         for d in self.branch.datasets.values():
-            if names is not None and d.name not in names:
+            if names is not None and d._name not in names:
                 continue
             row = {
-                "name": d.name,
+                "name": d._name,
                 "keyed": d.schema.keyed,
                 "fields": {n: str(k) for n, k in d.schema.fields.items()},
                 "version": d.version,
@@ -447,7 +447,7 @@ def _signature(x: Any) -> Any:
 
 def _node_signature(node: Any) -> str:
     if isinstance(node, Dataset):
-        return node.name
+        return node._name
     own = {k: v for k, v in vars(node).items() if isinstance(v, (str, int, list, tuple, type(None))) and k != "schema"}
     code = [v.__code__.co_code.hex() for v in vars(node).values() if hasattr(v, "__code__")]
     exprs = [str(v) for v in vars(node).values() if hasattr(v, "references")] + [f"{k}={v}" for x in vars(node).values() if isinstance(x, dict) for k, v in x.items()]
