@@ -100,7 +100,9 @@ def fold_ids(word: Column, ranks: Column) -> Column:
         ).otherwise(F.array().cast("array<int>"))
         steps = F.when(size > 1, F.sequence(F.lit(2), F.greatest(size, F.lit(2)))).otherwise(F.array().cast("array<int>"))
         merged = F.aggregate(steps, F.struct(parts.alias("parts"), pairs.alias("pairs")), lambda state, _: _merge(bound, state), lambda state: state["parts"])
-        return F.transform(merged, lambda piece: _rank_of(bound, piece))
+        folded = F.transform(merged, lambda piece: _rank_of(bound, piece))
+        # a word that is a piece merges to itself (so it is for every piece of the vocabulary, as a test makes sure)
+        return _bind(_rank_of(bound, word), lambda known: F.when(known.isNotNull(), F.array(known)).otherwise(folded))
 
     return _bind(ranks, whole)
 
@@ -145,16 +147,17 @@ def _long_ids(path: str):
 
 
 def dictionary(words: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """word, salt and ids of each distinct (word, salt)."""
+    """word, salt and ids of each distinct (word, salt); each distinct word is merged once."""
+    salted = words.where("word IS NOT NULL").select("word", "salt").distinct()
     piece = F.col("word").cast("binary")
     size = F.octet_length("word")
-    return (
-        words.where("word IS NOT NULL")
-        .select("word", "salt")
+    merged = (
+        salted.select("word")
         .distinct()
         .withColumn("_long", _long_ids(path)(F.when(size > FOLD_BYTES, piece)))
-        .select("word", "salt", F.when(size > FOLD_BYTES, F.col("_long")).otherwise(fold_ids(F.when(size <= FOLD_BYTES, piece), rank_literal(path))).alias("ids"))
+        .select("word", F.when(size > FOLD_BYTES, F.col("_long")).otherwise(fold_ids(F.when(size <= FOLD_BYTES, piece), rank_literal(path))).alias("ids"))
     )
+    return salted.join(merged, "word")
 
 
 def encode(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = VOCABULARY, salts: int = 32) -> DataFrame:

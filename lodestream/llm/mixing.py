@@ -116,6 +116,7 @@ def mix(sizes: DataFrame, target: DataFrame, total_tokens: int | None = None, se
     greatest weight and repeats count; null max_repeats is 1; empty tables give an empty mixture.
     """
     spark = sizes.sparkSession
+    sizes = staged(sizes.select("doc_id", "source", "n_tokens"), "sizes")  # what made them is not made again at each level
     plans = [p for p in plan(sizes, target, total_tokens) if p["rate"] > 0]
     rates = spark.createDataFrame([(p["source"], p["rate"], max(1, -(-p["documents"] // group_size))) for p in plans], "source string, rate double, nodes bigint")
     nodes = max((-(-p["documents"] // group_size) for p in plans), default=1)

@@ -70,3 +70,8 @@ def test_empty_table_and_null_ids(spark):
     assert bpe.encode(docs(spark, []).limit(0)).collect() == []
     df = spark.createDataFrame([(None, None), (5, "x")], "doc_id bigint, text string")
     assert sorted((r.doc_id or 0, len(r.ids)) for r in bpe.encode(df).collect()) == [(0, 0), (5, 1)]
+
+
+def test_every_piece_merges_to_itself():
+    ranks = bpe.load_ranks()
+    assert all(bpe.heap_ids(piece, ranks) == [rank] for piece, rank in ranks.items())
