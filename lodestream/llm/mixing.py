@@ -154,12 +154,11 @@ def shares(mixture: DataFrame, target: DataFrame) -> DataFrame:
     used = mixture.groupBy("source").agg(
         F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("copies").alias("most_copies")
     )
-    total = used.agg(F.sum("tokens").alias("_all"))
-    rows = _targets(target).join(used, "source", "left").crossJoin(F.broadcast(total))  # one row beside one row per source
-    return rows.select(
+    total = used.agg(F.sum("tokens")).scalar()
+    return _targets(target).join(used, "source", "left").select(
         "source",
         "target_weight",
         "max_repeats",
         *(F.coalesce(c, F.lit(0)).alias(c) for c in ("tokens", "documents", "most_copies")),
-        F.coalesce(F.col("tokens") / F.col("_all"), F.lit(0.0)).alias("share"),
+        F.coalesce(F.col("tokens") / total, F.lit(0.0)).alias("share"),
     )
