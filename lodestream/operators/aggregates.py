@@ -511,20 +511,20 @@ def _discrete(rows: DataFrame, keys: list[str], specs: list[Spec], types: dict[s
     if isinstance(window, t.Session):
         sessions = rows.groupBy(*keys, F.session_window(F.timestamp_micros("_t"), f"{window.gap_us} microseconds")).agg(F.max("_t").alias("_last"), *aggregates)
         return finished(sessions.withColumn("_t", F.col("_last") + 1))
-    frontier = rows.agg((F.max("_t") - window.lookback_us).alias("_frontier"))
+    frontier = rows.agg(F.max("_t") - window.lookback_us).scalar()
     if window.us is None:
         # never over: visible from the next stride on, running up over the strides
         ends = rows.withColumn("_at", F.element_at(window_ends(F.col("_t"), window), 1))
         used = list(dict.fromkeys(s.of for s in specs if s.of))
         moved = ends.select(*keys, F.col("_at").alias("_t"), "_o", *map(_q, used))
         values = _continuous(moved, keys, [_with_window(s, t.Continuous()) for s in specs], types, None)
-        return values.crossJoin(F.broadcast(frontier)).where("_t <= _frontier").drop("_frontier")
+        return values.where(F.col("_t") <= frontier)
     ended = rows.withColumn("_at", F.explode(window_ends(F.col("_t"), window)))
     values = finished(ended.groupBy(*keys, "_at").agg(*aggregates).withColumnRenamed("_at", "_t"))
-    values = values.crossJoin(F.broadcast(frontier)).where("_t <= _frontier")  # the frontier is one row
-    over = values.select(*keys, (F.col("_t") + window.stride_us).alias("_t"), "_frontier").where("_t <= _frontier").join(values.select(*keys, "_t"), [*keys, "_t"], "left_anti")
+    values = values.where(F.col("_t") <= frontier)
+    over = values.select(*keys, (F.col("_t") + window.stride_us).alias("_t")).where(F.col("_t") <= frontier).join(values.select(*keys, "_t"), [*keys, "_t"], "left_anti")
     empties = over.select(*keys, "_t", *(s.empty(types.get(s.of)).cast(t.required(s.result(types.get(s.of))).spark()).alias(s.into_field) for s in specs))
-    return values.drop("_frontier").unionByName(empties)
+    return values.unionByName(empties)
 
 
 def _with_window(s: Spec, window: Any) -> Spec:
@@ -618,8 +618,8 @@ def aggregate_windows(
         if specs:
             values = _discrete(rows, keys, specs, types, window)
         else:
-            frontier = rows.agg((F.max("_t") - window.lookback_us).alias("_frontier"))
-            values = rows.select(*keys, F.explode(window_ends(F.col("_t"), window)).alias("_t")).distinct().crossJoin(F.broadcast(frontier)).where("_t <= _frontier")
+            frontier = rows.agg(F.max("_t") - window.lookback_us).scalar()
+            values = rows.select(*keys, F.explode(window_ends(F.col("_t"), window)).alias("_t")).distinct().where(F.col("_t") <= frontier)
         values = values.select("*", (F.col("_t") - window.us).alias("_a"), F.col("_t").alias("_z"))
         out = [_q(s.into_field) for s in specs]
     made = F.struct(F.timestamp_micros("_a").alias("begin"), F.timestamp_micros("_z").alias("end"))
