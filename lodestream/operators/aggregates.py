@@ -365,6 +365,14 @@ def _until(window: Any, start: Column, valid_to: Column | None) -> Column:
     return F.lit(None).cast("bigint") if not ends else ends[0] if len(ends) == 1 else F.least(*ends)
 
 
+def _reach(s: Spec) -> int | None:
+    """How long after its time a row may still count; None for ever."""
+    reach = s.window.us + SECOND_US if s.window.us is not None else None
+    if isinstance(s, ExpDecaySum):
+        reach = min(reach, s.reach_us) if reach is not None else s.reach_us
+    return reach
+
+
 def run_up(deltas: DataFrame, keys: list[str], columns: list[str], bucket_us: int = BUCKET_US) -> DataFrame:
     """Running sums of columns by time _t (one row per key and time), in two steps through buckets."""
     deltas = deltas.withColumn("_b", F.floor(F.col("_t") / F.lit(bucket_us)))
@@ -417,21 +425,27 @@ def _continuous(rows: DataFrame, keys: list[str], specs: list[Spec], types: dict
         used = list(dict.fromkeys(s.of for s in slow))
         base = rows.select(*keys, "_t", "_o", *(["_end"] if has_end else []), *map(_q, used), F.lit(True).alias("_row"))
         asked = points.select(*keys, "_t").distinct() if points is not None else rows.select(*keys, F.explode(moments).alias("_t")).where("_t IS NOT NULL").distinct()
-        both = base.unionByName(asked.withColumn("_row", F.lit(False)), allowMissingColumns=True)
+        # frames of bounded windows reach back into the bucket before at most: rows near a bucket's end are given to
+        # both, and no key is framed as a whole; frames without a bound go over the whole key
+        reaches = [r for r in (_reach(s) for s in slow) if r is not None]
+        width = max([BUCKET_US, *reaches])
+        own = F.floor(F.col("_t") / F.lit(width))
+        spill = F.col("_t") + F.lit(max(reaches, default=0)) >= (own + 1) * width
+        buckets = F.when(spill, F.array(own, own + 1)).otherwise(F.array(own)) if reaches else F.array(own)
+        spread = base.withColumn("_home", own).withColumn("_b", F.explode(buckets)).withColumn("_own", F.col("_b") == F.col("_home")).drop("_home")
+        both = spread.unionByName(asked.withColumns({"_row": F.lit(False), "_b": own, "_own": F.lit(True)}), allowMissingColumns=True)
         out = []
         for s in slow:
-            reach = s.window.us + SECOND_US if s.window.us is not None else None
-            if isinstance(s, ExpDecaySum):
-                reach = min(reach, s.reach_us) if reach is not None else s.reach_us
-            low = Window.unboundedPreceding if reach is None else -(reach - 1)
-            frame = Window.partitionBy(*keys).orderBy("_t").rangeBetween(low, 0)
+            reach = _reach(s)
+            partition = [*keys, "_b"] if reach is not None else keys
+            frame = Window.partitionBy(*partition).orderBy("_t").rangeBetween(Window.unboundedPreceding if reach is None else -(reach - 1), 0)
+            counts = F.col("_row") if reach is not None else F.col("_row") & F.col("_own")
             rank = F.struct(F.col("_t").alias("t"), F.col("_o").alias("o"))
             if not has_end:
-                got = [p.over(frame) for p in s.parts(F.col("_row"), rank)]
-                out.append((s, got))
+                out.append((s, [p.over(frame) for p in s.parts(counts, rank)]))
             else:
                 # rows may end before the frame does: take the frame's rows, drop those that ended, and aggregate
-                live = F.collect_list(F.when(F.col("_row"), F.struct(rank.alias("r"), _q(s.of).alias("v"), F.col("_end").alias("e")))).over(frame)
+                live = F.collect_list(F.when(counts, F.struct(rank.alias("r"), _q(s.of).alias("v"), F.col("_end").alias("e")))).over(frame)
                 out.append((s, [live]))
         if not has_end:
             valued = both.select(*keys, "_t", "_row", *(p.alias(f"_p{i}_{j}") for i, (_, ps) in enumerate(out) for j, p in enumerate(ps))).where("NOT _row")

@@ -19,14 +19,40 @@ def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def validity(df: DataFrame, keys: list[str], ts: str, order: list[str] | None = None) -> DataFrame:
+def _meet(left: DataFrame, right: DataFrame, columns: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal columns, nulls equal to each other; right's other columns are added to left's."""
+    names = {c: f"_j{i}" for i, c in enumerate(columns)}
+    renamed = right.select(*(_q(c).alias(names.get(c, c)) for c in right.columns))
+    same = reduce(lambda a, b: a & b, [_q(c).eqNullSafe(F.col(n)) for c, n in names.items()])
+    return left.join(renamed, same, how).drop(*names.values())
+
+
+def next_time(df: DataFrame, keys: list[str], at: str, into: str, bucket_us: int = DAY_US) -> DataFrame:
+    """df with the next time of its key's rows in the column into (microseconds; null for the last).
+
+    Rows are ordered within time buckets of a key, and buckets among themselves, of which a key has at most
+    span / bucket_us: no key is ordered as a whole.
+    """
+    rows = df.withColumn("_nb", F.floor(_q(at) / F.lit(bucket_us)))
+    buckets = Window.partitionBy(*map(_q, keys)).orderBy("_nb")
+    firsts = rows.groupBy(*map(_q, keys), "_nb").agg(F.min(_q(at)).alias("_first")).withColumn("_later", F.lead("_first").over(buckets))
+    later = firsts.where("_later IS NOT NULL").drop("_first")
+    within = Window.partitionBy(*map(_q, keys), "_nb").orderBy(_q(at))
+    ahead = rows.withColumn(into, F.lead(_q(at)).over(within))
+    met = _meet(ahead, later, [*keys, "_nb"], "left")
+    return met.select(*map(_q, df.columns), F.coalesce(_q(into), F.col("_later")).alias(into))
+
+
+def validity(df: DataFrame, keys: list[str], ts: str, order: list[str] | None = None, bucket_us: int = DAY_US) -> DataFrame:
     """An upsert history: each row with _valid_to, the time of its key's next row (null while it is current).
 
-    Of rows of one key at the same time the last by order stays.
+    Of rows of one key at the same time the last by order stays; rows without time don't.
     """
     at_once = Window.partitionBy(*map(_q, keys), _q(ts)).orderBy(*(_q(c).desc() for c in order or [ts]))
-    history = Window.partitionBy(*map(_q, keys)).orderBy(_q(ts))
-    return df.withColumn("_rn", F.row_number().over(at_once)).where("_rn = 1").drop("_rn").withColumn(VALID_TO, F.lead(_q(ts)).over(history))
+    rows = df.where(_q(ts).isNotNull()).withColumn("_rn", F.row_number().over(at_once)).where("_rn = 1").drop("_rn").withColumn("_at_us", micros(df, ts))
+    made = next_time(rows, keys, "_at_us", "_next_us", bucket_us)
+    kind = df.schema[ts].dataType
+    return made.withColumn(VALID_TO, F.timestamp_micros("_next_us").cast(kind)).drop("_at_us", "_next_us")
 
 
 def asof_join(
@@ -90,54 +116,75 @@ def asof_join(
     return met.select("_l.*", *(F.col(f"_m.v{i}").alias(name) for i, name in enumerate(fields.values())), *extra)
 
 
+FAR = 2**62
+
+
 def history_join(
-    left: DataFrame, right: DataFrame, on: list[tuple[str, str]], left_ts: str, right_ts: str, fields: dict[str, str], how: str = "left", order: list[str] | None = None
+    left: DataFrame,
+    right: DataFrame,
+    on: list[tuple[str, str]],
+    left_ts: str,
+    right_ts: str,
+    fields: dict[str, str],
+    how: str = "left",
+    order: list[str] | None = None,
+    bucket_us: int = DAY_US,
 ) -> DataFrame:
     """Join of two histories (with _valid_to): a row for each common part of their intervals, from ts to _valid_to.
 
     Half-open intervals; parts of no length don't count. how "left" also gives the parts of left intervals in which
-    no right row is valid, with nulls. Right rows join on all their keys.
+    no right row is valid, with nulls. Right rows join on all their keys, and a key's intervals don't overlap.
+
+    A common part begins where the later of its two intervals does. So it is found by an as-of join of the left rows
+    with the right ones at their start, or of the right rows with the left ones before their start, and never by
+    comparing all intervals of a key.
     """
-    keys = [f"_k{i}" for i in range(len(on))]
-    far = F.lit(2**62)
+    pairs = [(f"_k{i}", f"_k{i}") for i in range(len(on))]
+    keys = [k for k, _ in pairs]
     lefts = left.select(
         *(_q(le).alias(k) for (le, _), k in zip(on, keys, strict=True)),
         F.struct(*(_q(c) for c in left.columns if c not in (left_ts, VALID_TO))).alias("_l"),
         micros(left, left_ts).alias("_from"),
-        F.coalesce(micros(left, VALID_TO), far).alias("_to"),
+        F.coalesce(micros(left, VALID_TO), F.lit(FAR)).alias("_to"),
     ).where("_from < _to")
     rights = right.select(
         *(_q(r).alias(k) for (_, r), k in zip(on, keys, strict=True)),
         F.struct(*(_q(c).alias(f"v{i}") for i, c in enumerate(fields))).alias("_r"),
         micros(right, right_ts).alias("_rfrom"),
-        F.coalesce(micros(right, VALID_TO), far).alias("_rto"),
+        F.coalesce(micros(right, VALID_TO), F.lit(FAR)).alias("_rto"),
     ).where("_rfrom < _rto")
-    same = reduce(lambda a, b: a & b, [lefts[k] == rights[k] for k in keys])
-    met = lefts.join(rights, same & (lefts["_from"] < rights["_rto"]) & (rights["_rfrom"] < lefts["_to"]), "left" if how == "left" else "inner").select(
-        *(lefts[k] for k in keys), "_l", "_from", "_to", "_r", F.greatest("_from", "_rfrom").alias("_a"), F.least("_to", "_rto").alias("_z")
+    rights = next_time(rights, keys, "_rfrom", "_rnext", bucket_us)
+    packed = rights.withColumn("_p", F.struct("_r", "_rfrom", "_rto", "_rnext"))
+    at_start = asof_join(lefts, packed, pairs, "_from", "_rfrom", {"_p": "_p"}, how="left", bucket_us=bucket_us)
+    later = asof_join(packed, lefts.withColumn("_q", F.struct("_l", "_from", "_to")), pairs, "_rfrom", "_from", {"_q": "_q"}, high_us=-1, how="inner", bucket_us=bucket_us)
+    piece = lambda lo, hi, r, nxt: F.struct(lo.alias("s"), hi.alias("e"), r.alias("r"), nxt.alias("n"))
+    covered = F.col("_p").isNotNull() & (F.col("_p._rto") > F.col("_from"))
+    starts = at_start.where(covered).select(
+        "_l", "_to", piece(F.col("_from"), F.least("_to", "_p._rto"), F.col("_p._r"), F.col("_p._rnext")).alias("_x")
+    )
+    inside = later.where("_q._to > _rfrom").select(
+        F.col("_q._l").alias("_l"), F.col("_q._to").alias("_to"), piece(F.col("_rfrom"), F.least("_q._to", "_rto"), F.col("_r"), F.col("_rnext")).alias("_x")
     )
-    hit = met.where("_r IS NOT NULL").select("_l", F.col("_a").alias("_start"), F.col("_z").alias("_end"), "_r")
-    rows = hit
+    hits = starts.unionByName(inside)
     if how == "left":
-        # the parts before, between and after the right rows that were met
-        per_left = Window.partitionBy("_l", "_from").orderBy("_a")
-        gaps = met.select(
-            "_l",
-            F.when(F.col("_r").isNull(), F.array(F.struct(F.col("_from").alias("s"), F.col("_to").alias("e"))))
-            .otherwise(
-                F.concat(
-                    F.array(F.struct(F.coalesce(F.lag("_z").over(per_left), F.col("_from")).alias("s"), F.col("_a").alias("e"))),
-                    F.when(F.lead("_a").over(per_left).isNull(), F.array(F.struct(F.col("_z").alias("s"), F.col("_to").alias("e")))).otherwise(F.array().cast("array<struct<s:bigint,e:bigint>>")),
-                )
-            )
-            .alias("_g"),
-        ).select("_l", F.explode("_g").alias("_g")).where("_g.s < _g.e")
-        rows = hit.unionByName(gaps.select("_l", F.col("_g.s").alias("_start"), F.col("_g.e").alias("_end")), allowMissingColumns=True)
+        # after a right row that ended, until the next one or the left row's end
+        after = F.struct(F.col("_x.e").alias("s"), F.least("_to", F.coalesce("_x.n", F.lit(FAR))).alias("e"))
+        ended = hits.select("_l", after.alias("_g"))
+        # at the left row's start, until the next right row: that after the last one, or the key's first
+        firsts = rights.groupBy(*keys).agg(F.min("_rfrom").alias("_first"))
+        bare = at_start.where(~covered)
+        met = _meet(bare, firsts, keys, "left")
+        ahead = F.when(F.col("_p").isNotNull(), F.col("_p._rnext")).otherwise(F.col("_first"))
+        before = met.select("_l", F.struct(F.col("_from").alias("s"), F.least("_to", F.coalesce(ahead, F.lit(FAR))).alias("e")).alias("_g"))
+        gaps = ended.unionByName(before).where("_g.s < _g.e")
+        rows = hits.select("_l", "_x.s", "_x.e", "_x.r").unionByName(gaps.select("_l", "_g.s", "_g.e"), allowMissingColumns=True)
+    else:
+        rows = hits.select("_l", "_x.s", "_x.e", "_x.r")
     return rows.select(
         "_l.*",
-        F.timestamp_micros("_start").alias(left_ts),
-        *(F.col(f"_r.v{i}").alias(name) for i, name in enumerate(fields.values())),
-        F.when(F.col("_end") < far, F.timestamp_micros("_end")).alias(VALID_TO),
+        F.timestamp_micros("s").alias(left_ts),
+        *(F.col(f"r.v{i}").alias(name) for i, name in enumerate(fields.values())),
+        F.when(F.col("e") < FAR, F.timestamp_micros("e")).alias(VALID_TO),
     )
 
 
@@ -165,7 +212,9 @@ def first_rows(df: DataFrame, keys: list[str], ts: str, order: list[str] | None
     return df.groupBy(*map(_q, keys)).agg(F.min_by(F.struct(*map(_q, columns)), rank).alias("_f")).select(*map(_q, keys), "_f.*").select(*map(_q, df.columns))
 
 
-def dedup(df: DataFrame, by: list[str], ts: str, window_us: int | None = None, gap_us: int | None = None, order: list[str] | None = None) -> DataFrame:
+def dedup(
+    df: DataFrame, by: list[str], ts: str, window_us: int | None = None, gap_us: int | None = None, order: list[str] | None = None, bucket_us: int = DAY_US
+) -> DataFrame:
     """The last row of those equal in by and time; or in by within a tumbling window, or within a session.
 
     A new session begins when at least gap_us have passed since the last row of the same by.
@@ -173,12 +222,19 @@ def dedup(df: DataFrame, by: list[str], ts: str, window_us: int | None = None, g
     rank = F.struct(_q(ts), *map(_q, order or []))
     everything = F.struct(*map(_q, df.columns))
     if gap_us is not None:
-        per = Window.partitionBy(*map(_q, by)).orderBy(_q(ts), *map(_q, order or []))
-        at = micros(df, ts)
-        marked = df.withColumn("_at", at).withColumn("_new", (F.col("_at") - F.lag("_at").over(per) >= F.lit(gap_us)).cast("int"))
-        numbered = marked.withColumn("_no", F.sum(F.coalesce("_new", F.lit(0))).over(per.rowsBetween(Window.unboundedPreceding, 0)))
+        # sessions are numbered within time buckets and over the buckets, so no value of by is ordered as a whole
+        rows = df.withColumn("_at", micros(df, ts)).where("_at IS NOT NULL").withColumn("_b", F.floor(F.col("_at") / F.lit(bucket_us)))
+        within = Window.partitionBy(*map(_q, by), "_b").orderBy("_at", *map(_q, order or []))
+        over = Window.partitionBy(*map(_q, by)).orderBy("_b")
+        lasts = rows.groupBy(*map(_q, by), "_b").agg(F.max("_at").alias("_end")).withColumn("_before", F.lag("_end").over(over)).drop("_end")
+        met = _meet(rows, lasts, [*by, "_b"])
+        fresh = F.col("_at") - F.coalesce(F.lag("_at").over(within), F.col("_before")) >= F.lit(gap_us)
+        flagged = met.withColumn("_new", F.coalesce(fresh.cast("int"), F.lit(0)))
+        numbered = flagged.withColumn("_run", F.sum("_new").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+        counts = numbered.groupBy(*map(_q, by), "_b").agg(F.sum("_new").alias("_n"))
+        counts = counts.withColumn("_base", F.coalesce(F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+        source = _meet(numbered, counts, [*by, "_b"]).withColumn("_no", F.col("_run") + F.col("_base"))
         grouping = [*map(_q, by), F.col("_no")]
-        source = numbered
     else:
         source = df.withColumn("_no", micros(df, ts) if window_us is None else F.floor(micros(df, ts) / F.lit(window_us)))
         grouping = [*map(_q, by), F.col("_no")]
