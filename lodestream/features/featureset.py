@@ -81,7 +81,7 @@ class Featureset:
         hints = typing.get_type_hints(cls)
         self.features: dict[str, Feature] = {}
         for n, h in hints.items():
-            if n in ("cls", "extractors", "features", "meta", "version") or n.startswith("_"):
+            if n in ("cls", "expectations", "extractors", "features", "meta", "version") or n.startswith("_"):
                 raise FeatureError(f"{n!r} is no name of a feature")
             self.features[n] = Feature(self._name, n, t.dtype(h))
         self.extractors: list[Extractor] = []
@@ -104,6 +104,9 @@ class Featureset:
                 if not outs:
                     raise FeatureError(f"extractor {self._name}.{n} has no outputs")
                 self.extractors.append(Extractor(n, "python", ins, outs, self._name, env, version, fn=fn, deps=deps))
+        self.expectations = [m.__expectations__ for m in vars(cls).values() if hasattr(m, "__expectations__")]
+        if len(self.expectations) > 1:
+            raise FeatureError(f"{self._name} has several suites of expectations")
         made_by: dict[tuple[str, Any], str] = {}
         for e in self.extractors:
             for o in e.outputs:

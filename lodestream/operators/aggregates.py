@@ -373,6 +373,28 @@ def _reach(s: Spec) -> int | None:
     return reach
 
 
+def _bounded_list(s: Spec, both: DataFrame, keys: list[str], has_end: bool) -> tuple[DataFrame, Column] | None:
+    """For lists of the first or last values over all time: both, with what the list needs of each row, and the column of
+    rows to make it from, of at most limit rows at any time. None for other aggregates, whose frames hold what they must.
+
+    Only the first limit rows of a key can be in its list of first values. The last ones at a time are those of the rows
+    before it, so each row carries them, and a time takes them from its last row.
+    """
+    if not isinstance(s, LastK) or s.window.us is not None or has_end or s.dedup:
+        return None
+    rank = F.struct(F.col("_t").alias("t"), F.col("_o").alias("o"))
+    counts = F.col("_row") & F.col("_own") & (_q(s.of).isNotNull() if s.dropnull else F.lit(True))
+    entry = F.struct(rank.alias("r"), _q(s.of).alias("v"))
+    name = f"_list_{s.into_field}"
+    in_order = Window.partitionBy(*keys, counts).orderBy("_t", "_o")
+    until = Window.partitionBy(*keys).orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
+    if isinstance(s, FirstK):
+        marked = both.withColumn(name, F.when(counts & (F.row_number().over(in_order) <= s.limit), entry))
+        return marked, F.collect_list(name).over(until)
+    carried = both.withColumn(name, F.when(counts, F.struct(rank.alias("r"), F.collect_list(entry).over(in_order.rowsBetween(1 - s.limit, 0)).alias("l"))))
+    return carried, F.coalesce(F.max_by(F.col(name)["l"], F.col(name)["r"]).over(until), F.array())
+
+
 def run_up(deltas: DataFrame, keys: list[str], columns: list[str], bucket_us: int = BUCKET_US) -> DataFrame:
     """Running sums of columns by time _t (one row per key and time), in two steps through buckets."""
     deltas = deltas.withColumn("_b", F.floor(F.col("_t") / F.lit(bucket_us)))
@@ -436,6 +458,10 @@ def _continuous(rows: DataFrame, keys: list[str], specs: list[Spec], types: dict
         both = spread.unionByName(asked.withColumns({"_row": F.lit(False), "_b": own, "_own": F.lit(True)}), allowMissingColumns=True)
         out = []
         for s in slow:
+            if (short := _bounded_list(s, both, keys, has_end)) is not None:
+                both, listed = short
+                out.append((s, [listed]))
+                continue
             reach = _reach(s)
             partition = [*keys, "_b"] if reach is not None else keys
             frame = Window.partitionBy(*partition).orderBy("_t").rangeBetween(Window.unboundedPreceding if reach is None else -(reach - 1), 0)

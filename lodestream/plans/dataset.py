@@ -574,7 +574,7 @@ class FieldRef:
 
 
 #: Names that datasets use themselves.
-RESERVED = {"aggregate_node", "cls", "expectations", "frame", "index", "meta", "pipeline_for", "pipelines", "schema", "sinks", "sources", "terminal", "version"}
+RESERVED = {"aggregate_node", "cls", "expectations", "frame", "index", "meta", "on_demand", "pipeline_for", "pipelines", "schema", "sinks", "sources", "terminal", "version"}
 
 
 class Dataset(Node):
@@ -625,6 +625,11 @@ class Dataset(Node):
                 envs.add(e)
         self.terminal = any(p.terminal for p in self.pipelines)
         self.expectations = [m.__expectations__ for m in vars(cls).values() if hasattr(m, "__expectations__")]
+        if len(self.expectations) > 1:
+            raise SchemaError(f"{self._name} has several suites of expectations")
+        self.on_demand = next((m.__on_demand__ for m in vars(cls).values() if hasattr(m, "__on_demand__")), None)
+        if self.on_demand and not keys:
+            raise SchemaError(f"{self._name} has no keys to compute rows for on demand")
         if self.expectations and self.terminal:
             raise SchemaError(f"{self._name} is terminal and takes no expectations")
 
@@ -733,6 +738,18 @@ def inputs(*what: Any) -> Callable:
     return add
 
 
+def on_demand(expires_after: str) -> Callable:
+    """Method decorator: computes missing rows of a keyed dataset from their keys, to be kept for a time. Declared and
+    checked only, as with lookups that find nothing."""
+    us = t.duration_us(expires_after)
+
+    def add(fn: Callable) -> Callable:
+        fn.__on_demand__ = (fn, us)
+        return fn
+
+    return add
+
+
 def outputs(*what: Any) -> Callable:
     def add(fn: Callable) -> Callable:
         fn.__outputs__ = what

@@ -268,6 +268,14 @@ class Workspace:
         """The latest n rows."""
         return self.frame(d).select(*(F.col(f"`{c}`") for c in d.schema.fields)).orderBy(F.col(f"`{d.schema.ts}`").desc()).limit(n)
 
+    def check(self, d: Dataset) -> DataFrame:
+        """The report of the dataset's expectations."""
+        from lodestream.quality.expectations import report
+
+        if not d.expectations:
+            raise WorkspaceError(f"{d._name} has no expectations")
+        return report(self.frame(d), d.expectations[0](d.cls))
+
     def erase(self, d: Dataset, erase_keys: pd.DataFrame | DataFrame | list[dict]) -> None:
         """Remove the rows of these values of the erase keys, now and later."""
         if not d.schema.erase_keys:
@@ -280,9 +288,13 @@ class Workspace:
 
     # -- data out ---------------------------------------------------------------------------------------------
 
-    def lookup(self, d: Dataset, keys: DataFrame | list[dict[str, Any]], fields: list[str] | None = None, timestamps: Any = None) -> tuple[DataFrame, str]:
+    def lookup(self, d: Dataset | str, keys: DataFrame | pd.DataFrame | list[dict[str, Any]], fields: list[str] | None = None, timestamps: Any = None) -> tuple[DataFrame, str]:
         """keys with the fields as of timestamps (a column's name, or one time per key, or None for now), and the name of
         the column that tells whether there was a row."""
+        if isinstance(d, str):
+            if d not in self.branch.datasets:
+                raise WorkspaceError(f"{d} is not committed")
+            d = self.branch.datasets[d]
         if d.index is None:
             raise WorkspaceError(f"{d._name} has no index")
         if timestamps is None and not d.index.online:
@@ -290,13 +302,15 @@ class Workspace:
         if timestamps is not None and not d.index.offline:
             raise WorkspaceError(f"{d._name} has no offline index")
         if not isinstance(keys, DataFrame):
-            rows = [{**k, **({AT: _utc(ts)} if timestamps is not None else {})} for k, ts in zip(keys, timestamps if timestamps is not None else keys, strict=True)]
             from pyspark.sql import types as T
 
+            given = keys.to_dict("records") if isinstance(keys, pd.DataFrame) else keys
+            times = [None] * len(given) if timestamps is None else [_utc(x) for x in timestamps]
             schema = T.StructType([T.StructField(k, kind.spark()) for k, kind in d.schema.keys.items()])
             if timestamps is not None:
                 schema = schema.add(AT, "timestamp")
-            asked = self.spark.createDataFrame([tuple(r[f.name] for f in schema.fields) for r in rows], schema)
+            rows = [(*(_plain(k[n]) for n in d.schema.keys), *([at] if timestamps is not None else [])) for k, at in zip(given, times, strict=True)]
+            asked = self.spark.createDataFrame(rows, schema)
         else:
             missing = [k for k in d.schema.keys if k not in keys.columns]
             if missing:

@@ -21,7 +21,7 @@ from tests.conftest import at
 
 hook = cn.Webhook("hook")
 
-#: Page views of three users over six days, by hours since 2023-05-01.
+#: Page views of three users over six days, by hours since 2023-05-01.
 PAGES = {
     1: [(0, 1340752), (16, 270496), (18, 1489031), (37, 822645), (38, 2199213), (61, 2033088), (62, 2116336), (63, 1465801), (48, 2153138)],
     2: [(14, 2350281), (16, 1207801), (18, 1977577), (37, 2110816), (61, 2536701), (85, 2202635), (110, 911894), (111, 1421886), (112, 2137996)],
@@ -451,6 +451,61 @@ def test_branches_commits_and_the_rest_of_the_workspace(spark):
         w.get_secret("a")
 
 
+def test_lookups_with_pandas_keys(spark):
+    w = workspace(spark, [UserInfo])
+    base = users(w)
+    keys = pd.DataFrame({"user_id": [1, 2]})
+    df, found = w.lookup(UserInfo, keys, ["name"], pd.Series([base, base + timedelta(days=9)]))
+    assert sorted((r.user_id, r.name, r[found]) for r in df.collect()) == [(1, "Ann", True), (2, "Bo", True)]
+    assert sorted(r.name for r in w.lookup("UserInfo", keys)[0].collect()) == ["Anna", "Bo"]
+    with pytest.raises(WorkspaceError):
+        w.lookup("Nothing", keys)
+
+
+def test_lists_over_all_time(spark):
+    @dataset
+    class Notes:
+        k: int
+        v: Optional[int]
+        ts: datetime
+
+    @dataset(index=True)
+    class Kept:
+        k: int = field(key=True)
+        last: list[Optional[int]]
+        last_known: list[int]
+        first: list[Optional[int]]
+        first_once: list[Optional[int]]
+        low: int
+        high: int
+        ts: datetime
+
+        @pipeline
+        @inputs(Notes)
+        def p(cls, e):
+            return e.groupby("k").aggregate(
+                last=LastK(of="v", limit=2),
+                last_known=LastK(of="v", limit=2, dropnull=True),
+                first=FirstK(of="v", limit=2),
+                first_once=FirstK(of="v", limit=2, dedup=True),
+                low=Min(of="v", default=0),
+                high=Max(of="v", default=0),
+            )
+
+    w = workspace(spark, [Notes, Kept])
+    base = at("2024-01-01")
+    rows = [(1, None, 0), (1, 5, 1), (1, 5, 26), (1, None, 50), (1, -3, 50), (2, 7, 3)]
+    w.log_frame(Notes, pd.DataFrame({"k": [r[0] for r in rows], "v": pd.array([r[1] for r in rows], "Int64"), "ts": [base + timedelta(hours=r[2]) for r in rows]}))
+    got = sorted((r.k, r.ts.day * 24 + r.ts.hour - 24, r.last, r.last_known, r.first, r.first_once, r.low, r.high) for r in w.frame(Kept).collect())
+    assert got == [
+        (1, 0, [None], [], [None], [None], 0, 0),
+        (1, 1, [5, None], [5], [None, 5], [None, 5], 5, 5),
+        (1, 26, [5, 5], [5, 5], [None, 5], [None, 5], 5, 5),
+        (1, 50, [-3, None], [-3, 5], [None, 5], [None, 5], -3, 5),
+        (2, 3, [7], [7], [7], [7], 7, 7),
+    ]
+
+
 def test_decimals_dates_and_structs(spark):
     @t.struct
     class Place:
@@ -551,7 +606,7 @@ def test_declarations_that_are_refused():
             ts: datetime
 
 
-def test_environments_meta_and_expectations():
+def test_environments_meta_and_expectations(spark):
     @meta(owner="a@b.c", tags=["x"])
     @dataset
     class Out:
@@ -574,6 +629,11 @@ def test_environments_meta_and_expectations():
             return [expect_column_values_to_be_between("user_id", 0, 9)]
 
     assert Out.pipeline_for("prod").name == "one" and Out.pipeline_for("dev").name == "two" and Out.pipeline_for("x") is None
+    assert Out.expectations[0](None)[0].columns == ("user_id",)
     assert Out.meta["owner"] == "a@b.c" and len(Out.expectations) == 1
     with pytest.raises(ValueError):
         meta(owner="nobody")
+    w = Workspace(spark)
+    w.commit("m", [AppEvents, Out], env="prod")
+    w.log_frame(AppEvents, pd.DataFrame({"user_id": [1, 5, 50], "page_id": [1, 2, 3], "timestamp": [at("2024-01-01")] * 3}))
+    assert [(r.n_ok, r.n_rows, r.success) for r in w.check(Out).collect()] == [(1, 2, False)]
