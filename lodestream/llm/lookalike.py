@@ -14,6 +14,7 @@ alphabets and is the only thing collected.
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -98,22 +99,29 @@ def visible(text: str) -> str:
     return unicodedata.normalize("NFD", plain)
 
 
-def tokens(text: str) -> Iterator[tuple[str, bool]]:
-    """Runs of letters of the four scripts with their marks (True), and all else (False)."""
-    start, word = 0, False
-    for i, c in enumerate(text):
-        is_word = (c.isalpha() and script(c) != "") or (word and unicodedata.combining(c) != 0)
-        if is_word != word:
-            if i > start:
-                yield text[start:i], word
-            start, word = i, is_word
-    if start < len(text):
-        yield text[start:], word
+def _ranges(points: list[int]) -> str:
+    """A regular expression's class of code points."""
+    out: list[list[int]] = []
+    for o in points:
+        if out and out[-1][1] == o - 1:
+            out[-1][1] = o
+        else:
+            out.append([o, o])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
+_LETTERS = _ranges([o for o in range(0x590) if chr(o).isalpha() and script(chr(o))])
+_MARKS = _ranges([o for o in range(0x20000) if unicodedata.combining(chr(o))])
+#: A token: letters of the four scripts with their marks.
+TOKEN = re.compile(f"[{_LETTERS}][{_LETTERS}{_MARKS}]*")
+_MARK = re.compile(f"[{_MARKS}]")
+#: All spellings of a look have one key: the first letter of each class stands for the class.
+_LOOK = {ord(c): group[0] for c, group in CLASS.items()}
 
 
 def bigrams_of(token: str) -> Iterator[tuple[str, str]]:
     """Bigrams of the base letters of a token that is in one script beyond doubt, with "" for both ends."""
-    letters = [c for c in token if not unicodedata.combining(c)]
+    letters = _MARK.sub("", token)
     if len({script(c) for c in letters}) == 1 and any(c not in CLASS for c in letters):
         yield from zip(["", *letters], [*letters, ""], strict=True)
 
@@ -122,17 +130,21 @@ def count_bigrams(documents: DataFrame, text: str = "text") -> dict[tuple[str, s
     """Bigram counts over all texts, bounded by the square of the alphabets of the four scripts."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list] = {}
+        tokens: Counter = Counter()
         counts: Counter = Counter()
+
+        def settle() -> None:
+            for token, n in tokens.items():
+                for pair in bigrams_of(token):
+                    counts[pair] += n
+            tokens.clear()
+
         for batch in batches:
             for value in batch.column(0).to_pylist():
-                for token, word in tokens(visible(value)):
-                    if word:
-                        if (pairs := known.get(token)) is None:
-                            if len(known) > 100_000:
-                                known.clear()
-                            pairs = known[token] = list(bigrams_of(token))
-                        counts.update(pairs)
+                tokens.update(TOKEN.findall(visible(value)))
+                if len(tokens) > 200_000:
+                    settle()
+        settle()
         if counts:
             yield pa.RecordBatch.from_pydict({"a": [a for a, _ in counts], "b": [b for _, b in counts], "n": list(counts.values())})
 
@@ -149,42 +161,50 @@ class Speller:
             starts[a] += n
         self.score = {pair: math.log((n + 0.5) / (starts[pair[0]] + 100)) for pair, n in counts.items()}
         self.unseen = {a: math.log(0.5 / (n + 100)) for a, n in starts.items()}
+        self.steps: dict[tuple[str, str], float] = {}
         self.known: dict[str, str] = {}
 
     def step(self, a: str, b: str) -> float:
-        change = SWITCH if a and b and script(a) != script(b) else 0.0
-        return self.score.get((a, b), self.unseen.get(a, math.log(0.5 / 100))) - change
+        if (found := self.steps.get((a, b))) is None:
+            change = SWITCH if a and b and script(a) != script(b) else 0.0
+            found = self.steps[a, b] = self.score.get((a, b), self.unseen.get(a, math.log(0.5 / 100))) - change
+        return found
 
     def token(self, token: str) -> str:
         """The best path through the token's lattice; of equal paths that of the first letters in their classes."""
-        letters = [i for i, c in enumerate(token) if not unicodedata.combining(c)]
+        letters = [i for i, c in enumerate(token) if not _MARK.match(c)]
         choices = [CLASS.get(token[i], token[i]) for i in letters]
-        if all(len(c) == 1 for c in choices):
-            return token
-        paths = {"": (0.0, "")}
-        for choice in choices:
-            paths = {
-                b: max(((s + self.step(a, b), p + b) for a, (s, p) in paths.items()), key=lambda x: round(x[0], 9)) for b in choice
-            }
-        best = max(((s + self.step(a, ""), p) for a, (s, p) in paths.items()), key=lambda x: round(x[0], 9))[1]
-        out = list(token)
-        for i, c in zip(letters, best, strict=True):
-            out[i] = c
+        step = self.step
+        scores, back = {"": 0.0}, []
+        for choice in [*choices, ("",)]:
+            new, came = {}, {}
+            for b in choice:
+                best, best_a = -math.inf, ""
+                for a, s in scores.items():
+                    if (v := s + step(a, b)) > best + 1e-9:
+                        best, best_a = v, a
+                new[b], came[b] = best, best_a
+            scores = new
+            back.append(came)
+        out, at = list(token), ""
+        for came, i in zip(reversed(back), [None, *reversed(letters)], strict=True):
+            if i is not None:
+                out[i] = at
+            at = came[at]
         return "".join(out)
 
+    def spell(self, match: re.Match) -> str:
+        token = match[0]
+        if (found := self.known.get(token)) is None:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            look = token.translate(_LOOK)
+            found = self.known[token] = self.known[look] = self.known.get(look) or self.token(look)
+        return found
+
     def text(self, text: str) -> str:
-        parts = []
-        for part, word in tokens(visible(text)):
-            if word:
-                # one key for all spellings of a look: the class's first letter stands for the class
-                look = "".join(CLASS[c][0] if c in CLASS else c for c in part)
-                if (spelt := self.known.get(look)) is None:
-                    if len(self.known) > 200_000:
-                        self.known.clear()
-                    spelt = self.known[look] = self.token(look)
-                part = spelt
-            parts.append(part)
-        return unicodedata.normalize("NFC", "".join(parts))
+        plain = TOKEN.sub(self.spell, visible(text))
+        return plain if plain.isascii() else unicodedata.normalize("NFC", plain)
 
 
 def consistent(documents: DataFrame, text: str = "text", into: str = "consistent", counts: dict | None = None) -> DataFrame:

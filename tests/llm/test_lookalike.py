@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestream.llm.lookalike import CLASS, LOOK_ALIKES, Speller, alike_pairs, bigrams_of, consistent, count_bigrams, tokens, visible
+from lodestream.llm.lookalike import CLASS, LOOK_ALIKES, TOKEN, Speller, alike_pairs, bigrams_of, consistent, count_bigrams, visible
 
 #: Each line looks the same throughout.
 SAME = [
@@ -19,10 +19,9 @@ DIFFERENT = [["cap", "Cap", "càp", "cap.", "cap ;", "c ap", "pac"], ["12", "13"
 def speller(texts):
     counts = {}
     for text in texts:
-        for token, word in tokens(visible(text)):
-            if word:
-                for pair in bigrams_of(token):
-                    counts[pair] = counts.get(pair, 0) + 1
+        for token in TOKEN.findall(visible(text)):
+            for pair in bigrams_of(token):
+                counts[pair] = counts.get(pair, 0) + 1
     return Speller(counts)
 
 
