@@ -1,9 +1,9 @@
 """Encoding of a corpus with a public byte-level BPE vocabulary, in Spark expressions.
 
-A text is cut into words by the vocabulary's pattern (JVM regular expression). The distinct words are encoded once
-and joined back by word, so the merges run over a dictionary and not over the corpus. Both sides of that join
-carry a salt taken from the document: a word that makes up a third of all words is met by many tasks, and encoded
-once per salt. A word's merges are a fold over its byte array: the state holds the parts and the ranks of
+A text is cut into words by the vocabulary's pattern (JVM regular expression). Words that are pieces of the vocabulary,
+which is most of a text, have their id at once. The distinct other words are merged once each and joined back by word,
+so the merges run over a dictionary and not over the corpus. Both sides of that join carry a salt taken from the
+document: a word that makes up a third of all words is met by many tasks. A word's merges are a fold over its byte array: the state holds the parts and the ranks of
 neighbouring pairs, every step joins the leftmost pair of least rank and looks up the ranks of the two new pairs.
 The rank map is a literal: an array of small maps by CRC-32 of the piece, since Spark searches a map linearly.
 
@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestream.runtime import staged
+
 #: Where the vocabulary lies unless a path is given.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 FOLD_BYTES = 256
@@ -148,11 +150,15 @@ def _long_ids(path: str):
 
 def dictionary(words: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """word, salt and ids of each distinct (word, salt); each distinct word is merged once."""
-    salted = words.where("word IS NOT NULL").select("word", "salt").distinct()
+    salted = words.select("word", "salt").distinct()
+    spark = words.sparkSession
+    # a small table of costly rows: spread over all cores, which its size in bytes would not do
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     piece = F.col("word").cast("binary")
     size = F.octet_length("word")
     merged = (
         salted.select("word")
+        .repartition(tasks, "word")
         .distinct()
         .withColumn("_long", _long_ids(path)(F.when(size > FOLD_BYTES, piece)))
         .select("word", F.when(size > FOLD_BYTES, F.col("_long")).otherwise(fold_ids(F.when(size <= FOLD_BYTES, piece), rank_literal(path))).alias("ids"))
@@ -160,32 +166,40 @@ def dictionary(words: DataFrame, path: str = VOCABULARY) -> DataFrame:
     return salted.join(merged, "word")
 
 
+def _looked_up(documents: DataFrame, doc_id: str, text: str, path: str, salts: int) -> DataFrame:
+    """Written once: _doc, _key (the text's hash), salt, base (a word's id, or -1) and pending (pos and word of those)."""
+    words = F.regexp_extract_all(F.col(f"`{text}`"), F.lit(PATTERN), F.lit(0))
+    found = _bind(rank_literal(path), lambda ranks: F.transform("_words", lambda w: F.coalesce(_rank_of(ranks, w.cast("binary")), F.lit(-1))))
+    rows = documents.select(F.col(f"`{doc_id}`").alias("_doc"), F.xxhash64(F.col(f"`{text}`")).alias("_key"), words.alias("_words"))
+    rows = rows.withColumn("base", found)
+    pending = F.filter(F.transform("_words", lambda w, i: F.struct(i.alias("pos"), F.when(F.get("base", i) < 0, w).alias("word"))), lambda p: p["word"].isNotNull())
+    return staged(rows.select("_doc", "_key", F.pmod(F.xxhash64("_doc", "_key"), F.lit(salts)).cast("int").alias("salt"), "base", pending.alias("pending")), "words")
+
+
 def encode(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = VOCABULARY, salts: int = 32) -> DataFrame:
     """doc_id and ids (array<int>), one row per document; special tokens' strings are ordinary text.
 
     Defined results: null and empty texts get an empty list; any other text, however long, gets the ids of its
-    whole; doc_id should be unique and not null (rows with equal ids are put together, rows with a null id form one row);
+    whole; doc_id should be unique: repeated rows give one row, different texts of one doc_id (or of null) a row each;
     other columns are ignored, whatever their names. An empty table gives an empty result.
     """
-    words = documents.select(
-        F.col(f"`{doc_id}`").alias("_doc"),
-        F.posexplode_outer(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(PATTERN), F.lit(0))).alias("pos", "word"),
-    ).withColumn("salt", F.pmod(F.xxhash64("_doc"), F.lit(salts)).cast("int"))
-    return (
-        words.join(dictionary(words, path), ["word", "salt"], "left")
-        .groupBy("_doc")
-        .agg(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids"))).alias("_parts"))
-        .select(F.col("_doc").alias(doc_id), F.flatten(F.transform(F.array_sort("_parts"), lambda p: p["ids"])).alias("ids"))
-    )
+    rows = _looked_up(documents, doc_id, text, path, salts)
+    words = rows.select("_doc", "_key", "salt", F.inline("pending"))
+    merged = words.join(dictionary(words, path), ["word", "salt"]).select("_doc", "_key", F.struct("pos", "ids").alias("part"))
+    parts = rows.select("_doc", "_key", "base").unionByName(merged, allowMissingColumns=True).groupBy("_doc", "_key").agg(F.max("base").alias("base"), F.collect_set("part").alias("parts"))
+    known = F.filter(F.transform("base", lambda r, i: F.struct(i.alias("pos"), F.when(r >= 0, F.array(r)).alias("ids"))), lambda p: p["ids"].isNotNull())
+    whole = F.transform(F.array_sort(F.concat(known, "parts")), lambda p: p["ids"])
+    plain = F.when(F.size("parts") == 0, F.col("base")).otherwise(F.flatten(whole))
+    return parts.select(F.col("_doc").alias(doc_id), F.coalesce(plain, F.array().cast("array<int>")).alias("ids"))
 
 
 def count_tokens(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = VOCABULARY, salts: int = 32) -> DataFrame:
-    """doc_id and n_tokens of each document with a text; the counts are summed before their shuffle."""
-    words = documents.select(
-        F.col(f"`{doc_id}`").alias("_doc"), F.explode(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(PATTERN), F.lit(0))).alias("word")
-    ).groupBy("_doc", "word").agg(F.count(F.lit(1)).alias("_n")).withColumn("salt", F.pmod(F.xxhash64("_doc"), F.lit(salts)).cast("int"))
-    sizes = dictionary(words, path).select("word", "salt", F.size("ids").alias("_size"))
-    return words.join(sizes, ["word", "salt"]).groupBy("_doc").agg(F.sum(F.col("_n") * F.col("_size")).alias("n_tokens")).withColumnRenamed("_doc", doc_id)
+    """doc_id and n_tokens of each document with a text; repeated rows give one row, as in encode()."""
+    rows = _looked_up(documents, doc_id, text, path, salts).dropDuplicates(["_doc", "_key"])
+    words = rows.select("_doc", "_key", "salt", F.inline("pending"))
+    merged = words.join(dictionary(words, path).select("word", "salt", F.size("ids").alias("n")), ["word", "salt"]).select("_doc", "_key", "n")
+    known = rows.where("size(base) > 0").select("_doc", "_key", F.size(F.filter("base", lambda r: r >= 0)).alias("n"))
+    return known.unionByName(merged).groupBy("_doc", "_key").agg(F.sum("n").alias("n_tokens")).select(F.col("_doc").alias(doc_id), "n_tokens")
 
 
 def decode(encoded: DataFrame, ids: str = "ids", path: str = VOCABULARY, into: str = "text") -> DataFrame:

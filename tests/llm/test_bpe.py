@@ -68,8 +68,10 @@ def test_round_trip_counts_and_hot_words(spark):
 
 def test_empty_table_and_null_ids(spark):
     assert bpe.encode(docs(spark, []).limit(0)).collect() == []
-    df = spark.createDataFrame([(None, None), (5, "x")], "doc_id bigint, text string")
-    assert sorted((r.doc_id or 0, len(r.ids)) for r in bpe.encode(df).collect()) == [(0, 0), (5, 1)]
+    rows = [(None, None), (5, "x"), (5, "x"), (6, "zqx zqx"), (6, "zqx zqx"), (7, "x"), (7, "qzy")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.doc_id or 0, bytes(b for i in r.ids for b in {v: k for k, v in bpe.load_ranks().items()}[i]).decode()) for r in bpe.encode(df).collect())
+    assert got == [(0, ""), (5, "x"), (6, "zqx zqx"), (7, "qzy"), (7, "x")]
 
 
 def test_every_piece_merges_to_itself():
