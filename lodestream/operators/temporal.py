@@ -127,7 +127,7 @@ def history_join(
     right_ts: str,
     fields: dict[str, str],
     how: str = "left",
-    order: list[str] | None = None,
+    overlapping: bool = False,
     bucket_us: int = DAY_US,
 ) -> DataFrame:
     """Join of two histories (with _valid_to): a row for each common part of their intervals, from ts to _valid_to.
@@ -135,12 +135,72 @@ def history_join(
     Half-open intervals; parts of no length don't count. how "left" also gives the parts of left intervals in which
     no right row is valid, with nulls. Right rows join on all their keys, and a key's intervals don't overlap.
 
-    A common part begins where the later of its two intervals does. So it is found by an as-of join of the left rows
-    with the right ones at their start, or of the right rows with the left ones before their start, and never by
-    comparing all intervals of a key.
+    A common part begins where the later of its two intervals does. So each row needs the last row of the other side
+    before it and the next right row after it, and never all intervals of its key. These are found in one order of both
+    sides within time buckets; what reaches into a bucket from others is carried over one row per (key, bucket).
     """
-    pairs = [(f"_k{i}", f"_k{i}") for i in range(len(on))]
-    keys = [k for k, _ in pairs]
+    if overlapping:
+        return _overlap_join(left, right, on, left_ts, right_ts, fields, how)
+    keys = [f"_k{i}" for i in range(len(on))]
+    lefts = left.select(
+        *(_q(le).alias(k) for (le, _), k in zip(on, keys, strict=True)),
+        micros(left, left_ts).alias("_t"),
+        F.struct(F.struct(*(_q(c) for c in left.columns if c not in (left_ts, VALID_TO))).alias("v"), F.coalesce(micros(left, VALID_TO), F.lit(FAR)).alias("to")).alias("_l"),
+    ).where("_t < _l.to")
+    rights = right.select(
+        *(_q(r).alias(k) for (_, r), k in zip(on, keys, strict=True)),
+        micros(right, right_ts).alias("_t"),
+        F.struct(F.struct(*(_q(c).alias(f"v{i}") for i, c in enumerate(fields))).alias("v"), F.coalesce(micros(right, VALID_TO), F.lit(FAR)).alias("to")).alias("_r"),
+    ).where("_t < _r.to")
+    rows = lefts.unionByName(rights, allowMissingColumns=True).withColumn("_b", F.floor(F.col("_t") / F.lit(bucket_us)))
+    is_right = F.col("_r").isNotNull()
+    spots = rows.groupBy(*keys, "_b").agg(
+        F.max_by("_l", F.when(~is_right, F.col("_t"))).alias("_pl"), F.max_by("_r", F.when(is_right, F.col("_t"))).alias("_pr"), F.min(F.when(is_right, F.col("_t"))).alias("_nx")
+    )
+    buckets = Window.partitionBy(*keys).orderBy("_b")
+    before, behind = buckets.rowsBetween(Window.unboundedPreceding, -1), buckets.rowsBetween(1, Window.unboundedFollowing)
+    around = spots.select(
+        *keys, "_b", F.last("_pl", ignorenulls=True).over(before).alias("_pl"), F.last("_pr", ignorenulls=True).over(before).alias("_pr"), F.first("_nx", ignorenulls=True).over(behind).alias("_nx")
+    )
+    # at one time right rows come first: a left row sees the right row of its time, a right row only earlier left rows
+    within = Window.partitionBy(*keys, "_b").orderBy("_t", ~is_right)
+    past, ahead = within.rowsBetween(Window.unboundedPreceding, -1), within.rowsBetween(1, Window.unboundedFollowing)
+    seen = rows.select(
+        *keys, "_b", "_t", "_l", "_r",
+        F.last("_l", ignorenulls=True).over(past).alias("_wl"),
+        F.last("_r", ignorenulls=True).over(past).alias("_wr"),
+        F.first(F.when(is_right, F.col("_t")), ignorenulls=True).over(ahead).alias("_wn"),
+    )
+    met = _meet(seen, around, [*keys, "_b"]).select(
+        "_t",
+        F.coalesce("_l", "_wl", "_pl").alias("_l"),
+        F.coalesce("_r", "_wr", "_pr").alias("_r"),
+        F.coalesce("_wn", "_nx", F.lit(FAR)).alias("_n"),
+    )
+    both = F.col("_l").isNotNull() & F.col("_r").isNotNull() & (F.col("_l.to") > F.col("_t")) & (F.col("_r.to") > F.col("_t"))
+    end = F.least("_l.to", "_r.to")
+    hit = F.when(both, F.struct(F.col("_t").alias("s"), end.alias("e"), F.col("_r.v").alias("r")))
+    parts = F.array(hit)
+    if how == "left":
+        # where no right row is valid: after the common part, or from the left row's start, until the next right row
+        start = F.when(both, end).otherwise(F.col("_t"))
+        stop = F.least("_l.to", "_n")
+        lonely = F.col("_l").isNotNull() & (F.col("_l.to") > F.col("_t")) & (start < stop)
+        gap = F.when(lonely, F.struct(start.alias("s"), stop.alias("e"), F.lit(None).cast(rights.schema["_r"].dataType["v"].dataType).alias("r")))
+        parts = F.array(hit, gap)
+    out = met.select("_l", F.explode(parts).alias("_x")).where("_x IS NOT NULL")
+    return out.select(
+        "_l.v.*",
+        F.timestamp_micros("_x.s").alias(left_ts),
+        *(F.col(f"_x.r.v{i}").alias(name) for i, name in enumerate(fields.values())),
+        F.when(F.col("_x.e") < FAR, F.timestamp_micros("_x.e")).alias(VALID_TO),
+    )
+
+
+def _overlap_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], left_ts: str, right_ts: str, fields: dict[str, str], how: str) -> DataFrame:
+    """history_join for left rows that are valid at once: an equi-join on the keys with a test for common time, the gaps
+    filled per left row."""
+    keys = [f"_k{i}" for i in range(len(on))]
     lefts = left.select(
         *(_q(le).alias(k) for (le, _), k in zip(on, keys, strict=True)),
         F.struct(*(_q(c) for c in left.columns if c not in (left_ts, VALID_TO))).alias("_l"),
@@ -148,42 +208,26 @@ def history_join(
         F.coalesce(micros(left, VALID_TO), F.lit(FAR)).alias("_to"),
     ).where("_from < _to")
     rights = right.select(
-        *(_q(r).alias(k) for (_, r), k in zip(on, keys, strict=True)),
+        *(_q(r).alias(f"{k}r") for (_, r), k in zip(on, keys, strict=True)),
         F.struct(*(_q(c).alias(f"v{i}") for i, c in enumerate(fields))).alias("_r"),
         micros(right, right_ts).alias("_rfrom"),
         F.coalesce(micros(right, VALID_TO), F.lit(FAR)).alias("_rto"),
     ).where("_rfrom < _rto")
-    rights = next_time(rights, keys, "_rfrom", "_rnext", bucket_us)
-    packed = rights.withColumn("_p", F.struct("_r", "_rfrom", "_rto", "_rnext"))
-    at_start = asof_join(lefts, packed, pairs, "_from", "_rfrom", {"_p": "_p"}, how="left", bucket_us=bucket_us)
-    later = asof_join(packed, lefts.withColumn("_q", F.struct("_l", "_from", "_to")), pairs, "_rfrom", "_from", {"_q": "_q"}, high_us=-1, how="inner", bucket_us=bucket_us)
-    piece = lambda lo, hi, r, nxt: F.struct(lo.alias("s"), hi.alias("e"), r.alias("r"), nxt.alias("n"))
-    covered = F.col("_p").isNotNull() & (F.col("_p._rto") > F.col("_from"))
-    starts = at_start.where(covered).select(
-        "_l", "_to", piece(F.col("_from"), F.least("_to", "_p._rto"), F.col("_p._r"), F.col("_p._rnext")).alias("_x")
-    )
-    inside = later.where("_q._to > _rfrom").select(
-        F.col("_q._l").alias("_l"), F.col("_q._to").alias("_to"), piece(F.col("_rfrom"), F.least("_q._to", "_rto"), F.col("_r"), F.col("_rnext")).alias("_x")
-    )
-    hits = starts.unionByName(inside)
+    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"{k}r") for k in keys])
+    common = same & (F.col("_from") < F.col("_rto")) & (F.col("_rfrom") < F.col("_to"))
+    met = lefts.join(rights, common, "left" if how == "left" else "inner").select("_l", "_from", "_to", "_r", F.greatest("_from", "_rfrom").alias("s"), F.least("_to", "_rto").alias("e"))
+    out = met.where("_r IS NOT NULL").select("_l", "s", "e", "_r")
     if how == "left":
-        # after a right row that ended, until the next one or the left row's end
-        after = F.struct(F.col("_x.e").alias("s"), F.least("_to", F.coalesce("_x.n", F.lit(FAR))).alias("e"))
-        ended = hits.select("_l", after.alias("_g"))
-        # at the left row's start, until the next right row: that after the last one, or the key's first
-        firsts = rights.groupBy(*keys).agg(F.min("_rfrom").alias("_first"))
-        bare = at_start.where(~covered)
-        met = _meet(bare, firsts, keys, "left")
-        ahead = F.when(F.col("_p").isNotNull(), F.col("_p._rnext")).otherwise(F.col("_first"))
-        before = met.select("_l", F.struct(F.col("_from").alias("s"), F.least("_to", F.coalesce(ahead, F.lit(FAR))).alias("e")).alias("_g"))
-        gaps = ended.unionByName(before).where("_g.s < _g.e")
-        rows = hits.select("_l", "_x.s", "_x.e", "_x.r").unionByName(gaps.select("_l", "_g.s", "_g.e"), allowMissingColumns=True)
-    else:
-        rows = hits.select("_l", "_x.s", "_x.e", "_x.r")
-    return rows.select(
+        per_left = Window.partitionBy("_l", "_from").orderBy("s")
+        pair = lambda a, b: F.struct(a.alias("s"), b.alias("e"))
+        ahead = pair(F.coalesce(F.lag("e").over(per_left), F.col("_from")), F.col("s"))
+        last = F.when(F.lead("s").over(per_left).isNull(), pair(F.col("e"), F.col("_to")))
+        gaps = met.select("_l", F.when(F.col("_r").isNull(), F.array(pair(F.col("_from"), F.col("_to")))).otherwise(F.array(ahead, last)).alias("_g"))
+        out = out.unionByName(gaps.select("_l", F.explode("_g").alias("_g")).where("_g.s < _g.e").select("_l", "_g.s", "_g.e"), allowMissingColumns=True)
+    return out.select(
         "_l.*",
         F.timestamp_micros("s").alias(left_ts),
-        *(F.col(f"r.v{i}").alias(name) for i, name in enumerate(fields.values())),
+        *(F.col(f"_r.v{i}").alias(name) for i, name in enumerate(fields.values())),
         F.when(F.col("e") < FAR, F.timestamp_micros("e")).alias(VALID_TO),
     )
 

@@ -409,7 +409,9 @@ class Join(Node):
         left, right = self.left.frame(frames), self.right.frame(frames)
         fields = {n: n for n in self.chosen}
         if self.schema.keyed:
-            return temporal.history_join(left, right, self.pairs, self.schema.ts, self.right.schema.ts, fields, self.how, [SEQ])
+            # left rows of one join key follow each other only if their own keys are part of it
+            overlapping = not set(self.schema.keys) <= {a for a, _ in self.pairs}
+            return temporal.history_join(left, right, self.pairs, self.schema.ts, self.right.schema.ts, fields, self.how, overlapping)
         return temporal.asof_join(left, right, self.pairs, self.schema.ts, self.right.schema.ts, fields, self.low, self.high, self.how, [SEQ])
 
 

@@ -24,17 +24,60 @@ GAPS = {(k, n, None, f, z) for k, names in ((1, "ABBC"), (2, "DEEF")) for n, f,
 }
 
 
+@pytest.mark.parametrize("overlapping", [False, True])
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_histories_joined_by_common_intervals(spark, how):
+def test_histories_joined_by_common_intervals(spark, how, overlapping):
     left = timed(spark, LEFT, f"id int, name string, ts bigint, {VALID_TO} bigint", "ts", VALID_TO)
     right = timed(spark, RIGHT, f"cust int, value string, ts bigint, {VALID_TO} bigint", "ts", VALID_TO)
-    got = micro(tp.history_join(left, right, [("id", "cust")], "ts", "ts", {"value": "value"}, how), "ts", VALID_TO).select("id", "name", "value", "ts", VALID_TO)
+    got = micro(tp.history_join(left, right, [("id", "cust")], "ts", "ts", {"value": "value"}, how, overlapping), "ts", VALID_TO).select("id", "name", "value", "ts", VALID_TO)
     assert {tuple(r) for r in got.collect()} == (MET | GAPS if how == "left" else MET)
     none = right.limit(0)
-    rows = tp.history_join(left, none, [("id", "cust")], "ts", "ts", {"value": "value"}, how).collect()
+    rows = tp.history_join(left, none, [("id", "cust")], "ts", "ts", {"value": "value"}, how, overlapping).collect()
     assert len(rows) == (6 if how == "left" else 0)
 
 
+def brute_histories(left, right, how):
+    """Moment by moment."""
+    out = set()
+    for i, k, a, z in left:
+        moments = [t for t in range(a, z)]
+        at = {t: next((v for k2, v, f, e in right if k2 == k and f <= t < e), None) for t in moments}
+        start = 0
+        for n in range(1, len(moments) + 1):
+            if n == len(moments) or at[moments[n]] != at[moments[start]]:
+                if how == "left" or at[moments[start]] is not None:
+                    out.add((i, at[moments[start]], moments[start], moments[n - 1] + 1))
+                start = n
+    return out
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_random_histories_against_brute_force(spark, how):
+    rng = np.random.default_rng(17)
+
+    def history(n, keys):
+        rows, count = [], 0
+        for k in range(keys):
+            at = int(rng.integers(-20, 5))
+            for _ in range(n):
+                at += int(rng.integers(0, 6))
+                end = at + int(rng.integers(1, 15))
+                rows.append((count, k, at, end))
+                at, count = end, count + 1
+        return rows
+
+    left, right = history(8, 4), history(10, 4)
+    many = [(100 + i, k, a + s, z + s) for i, k, a, z in left for s in (0, 3)]
+    many = [(n, *r[1:]) for n, r in enumerate(many)]
+    b = timed(spark, [(k, f"v{i}", a, z) for i, k, a, z in right], f"k int, v string, ts bigint, {VALID_TO} bigint", "ts", VALID_TO)
+    r = [(k, f"v{i}", a, z) for i, k, a, z in right]
+    for rows, overlapping in ((left, False), (left, True), (many, True)):
+        a = timed(spark, rows, f"i int, k int, ts bigint, {VALID_TO} bigint", "ts", VALID_TO)
+        for bucket in (5, 10_000):
+            got = micro(tp.history_join(a, b, [("k", "k")], "ts", "ts", {"v": "v"}, how, overlapping, bucket), "ts", VALID_TO)
+            assert {(x.i, x.v, x.ts, x[VALID_TO]) for x in got.collect()} == brute_histories(rows, r, how)
+
+
 def brute_asof(left, right, low, high):
     out = []
     for i, k, s in left:
