@@ -48,9 +48,22 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_made: list[str] = []
+
+
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; clean() deletes what was written there."""
+    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all that this program has written below the shared folder. Frames made from it can't be read any more."""
+    for path in _made:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    _made.clear()
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
