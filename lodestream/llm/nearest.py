@@ -25,6 +25,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestream.runtime import micros, shared_path
 from lodestream.streaming.entity_features import STATE_CONF
+from lodestream.streaming.files import delete
 
 HOUR_US = 3_600_000_000
 DAY_MS = 86_400_000
@@ -206,4 +207,6 @@ def nearest_in_time(
             .start()
         )
         query.awaitTermination()
+    for part in {"rows", "inbox", "checkpoint"}:
+        delete(spark, f"{work}/{part}")  # the pairs are all that is needed from here
     return spark.read.schema("left_id string, right_id string, gap_us bigint").parquet(out).distinct()

@@ -63,3 +63,23 @@ def test_pages_get_the_only_driver_of_their_device(spark):
     rows = [("1", 1, 7, "A-b"), ("2", 2, None, "ab "), ("3", None, 8, "C"), ("4", 3, None, "c"), ("5", 3, 9, "D"), ("6", 3, 10, "d"), ("7", 4, None, "D"), ("8", 4, None, None), ("9", 4, None, " - ")]
     df = spark.createDataFrame(rows, "id string, created int, driver_id int, device_id string")
     assert {(r.id, r.driver) for r in checkout_pages(df).collect()} == {("1", 7), ("2", 7), ("4", 8), ("5", 9), ("6", 10)}
+
+
+def test_a_live_stream_emits_once_the_horizon_has_passed(spark):
+    from lodestream.llm.nearest import join_stream, side_rows
+    from lodestream.runtime import shared_path
+    from lodestream.streaming.runner import run_to_files, stateful_session
+
+    session, inbox, work = stateful_session(spark), shared_path(spark, "inbox"), shared_path(spark, "live")
+    base = 1_700_000_000 * SEC
+
+    def arrive(left, right):
+        sides = [side_rows(frame(spark, [(i, w, base + t * SEC) for i, w, t in rows]), "who", "t", "id", k, 10 * SEC, 60 * SEC) for k, rows in enumerate((left, right))]
+        sides[0].unionByName(sides[1]).coalesce(1).write.mode("append").parquet(inbox)
+        stream = session.readStream.schema("entity string, chunk bigint, at bigint, side int, id string").option("maxFilesPerTrigger", 1).parquet(inbox)
+        out = join_stream(stream, 10 * SEC, 60 * SEC, 4, lateness="5 seconds", keep_unmatched=True)
+        return {(r.left_id, r.right_id) for r in run_to_files(out, spark, out.schema, work).collect()}
+
+    assert arrive([("a", "x", 100)], [("r", "x", 95)]) == set()
+    assert arrive([("b", "x", 130)], [("s", "x", 103)]) == {("a", "s")}  # the watermark is at 125
+    assert arrive([("c", "y", 300)], []) == {("a", "s"), ("b", None)}
