@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,6 +92,13 @@ def micros(df: DataFrame, column: str) -> Column:
     return F.col(f"`{column}`").cast("bigint")
 
 
+def time_literal(df: DataFrame, column: str, us: int) -> Column:
+    """A time as a literal of a timestamp column's own type, so that comparisons with it reach the file scan."""
+    at = datetime(1970, 1, 1) + timedelta(microseconds=us)
+    text = at.isoformat(sep=" ", timespec="microseconds")
+    return F.expr(f"TIMESTAMP_NTZ '{text}'" if isinstance(df.schema[column].dataType, T.TimestampNTZType) else f"TIMESTAMP '{text}Z'")
+
+
 def utc(df: DataFrame) -> DataFrame:
     """Zone-less timestamp columns taken as UTC instants."""
     return df.select(

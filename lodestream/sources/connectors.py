@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from lodestream import types as t
 from lodestream.expr.ast import Expr
 from lodestream.plans.dataset import Dataset, environments
+from lodestream.runtime import time_literal
 
 
 class ConnectorError(ValueError):
@@ -606,13 +607,15 @@ def decode_messages(raw: DataFrame, d: Dataset, encoding: Any) -> DataFrame:
 
 
 def bounds(df: DataFrame, d: Dataset, s: Source) -> DataFrame:
-    """Rows at or after since and before until."""
+    """Rows at or after since and before until; a predicate on the column as it is, which file scans can use."""
+    ts = d.schema.ts
+    if ts not in df.columns or not isinstance(df.schema[ts].dataType, (T.TimestampType, T.TimestampNTZType)):
+        return df
     for limit, keep in ((s.since, ">="), (s.until, "<")):
         if limit is not None:
             at = limit if limit.tzinfo else limit.replace(tzinfo=dt.timezone.utc)
-            value = F.lit(at)
-            c = F.col(f"`{d.schema.ts}`")
-            df = df.where(c >= value if keep == ">=" else c < value)
+            value = time_literal(df, ts, (at - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)) // dt.timedelta(microseconds=1))
+            df = df.where(F.col(f"`{ts}`") >= value if keep == ">=" else F.col(f"`{ts}`") < value)
     return df
 
 
@@ -621,6 +624,8 @@ def ingest(df: DataFrame, d: Dataset, s: Source | None, on_error: str = "raise")
     if s is not None:
         if s.cdc == "debezium":
             df = debezium_rows(df, d)
+        if d.schema.ts not in s.preproc:
+            df = bounds(df, d, s)
         df = apply_where(apply_preproc(df, s), s)
         if s.sample is not None:
             from lodestream.operators.temporal import hash_sample

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.runtime import micros, shared_path
+from lodestream.runtime import micros, shared_path, time_literal
 from lodestream.streaming.files import delete, exists, stream_table
 
 STATE_CONF = {
@@ -100,6 +100,8 @@ def maintain_features(
     session.conf.set("spark.sql.streaming.unsupportedOperationCheck", "false")
     limit = {"maxFilesPerTrigger": str(max_files)} if max_files else {"maxBytesPerTrigger": str(max_bytes)}
     events = stream_table(session, path, **limit)
+    if as_of_us is not None:
+        events = events.where(F.col(f"`{time}`") < time_literal(events, time, as_of_us))
     counted = (
         events.select(
             F.col(f"`{entity}`").cast("string").alias("entity"),
@@ -107,7 +109,7 @@ def maintain_features(
             micros(events, time).alias("at"),
             (F.col(f"`{total}`").cast("double") if total else F.lit(None).cast("double")).alias("amount"),
         )
-        .where("entity IS NOT NULL AND at IS NOT NULL" + (f" AND at < {as_of_us}" if as_of_us is not None else ""))
+        .where("entity IS NOT NULL AND at IS NOT NULL")
         .dropDuplicates(["entity", "event_type", "at"])
         .groupBy("entity", "event_type")
         .agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("latest_us"), F.coalesce(F.sum("amount"), F.lit(0.0)).alias("total"))

@@ -222,3 +222,13 @@ def test_posting(spark):
     sinks.write(df, Plain, sinks.Sink(conn, cdc="debezium"))
     server.shutdown()
     assert [len(b) for b in got] == [2, 2, 1] and sorted(r["after"]["id"] for b in got for r in b) == [0, 1, 2, 3, 4]
+
+
+def test_time_bounds_reach_the_scan(spark):
+    path = shared_path(spark, "bounded")
+    spark.sql("SELECT id, TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_interval(0, 0, 0, int(id)) AS ts FROM range(10)").write.parquet(path)
+    s = cn.Source(hook.endpoint("e"), "1d", "append", since=datetime(2024, 1, 3), until=datetime(2024, 1, 5))
+    df = cn.ingest(spark.read.parquet(path), Plain, s)
+    assert sorted(r.id for r in df.collect()) == [2, 3]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts,2024-01-03" in plan and "LessThan(ts,2024-01-05" in plan
