@@ -562,7 +562,8 @@ def read(spark: SparkSession, d: Dataset, s: Source, stream: bool = False, secre
     if s.conn.system == "s3":
         if o["format"] in ("delta", "hudi"):
             return (spark.readStream if stream else spark.read).format(o["format"]).load(f"{o['base']}/{o['prefix'] or o['path']}")
-        paths = [f"{o['base']}/{p}" for p in (path_globs(o["path"], s.since, s.until) if o["path"] else [o["prefix"]])]
+        limits = (None, None) if stream else (s.since, s.until)  # a stream takes one path: all folders, and bounds() leaves the rows between
+        paths = [f"{o['base']}/{p}" for p in (path_globs(o["path"], *limits) if o["path"] else [o["prefix"]])]
         reader = (spark.readStream if stream else spark.read).format(o["format"]).schema(d.schema.spark())
         if o["format"] == "csv":
             reader = reader.option("header", "true").option("sep", o["delimiter"])

@@ -13,6 +13,7 @@ from lodestream.plans.dataset import dataset, field, inputs, pipeline
 from lodestream.runtime import shared_path
 from lodestream.sources import connectors as cn
 from lodestream.sources import sinks
+from lodestream.streaming.runner import run_to_files
 from lodestream.workspace import Workspace
 from tests.conftest import at
 
@@ -116,6 +117,27 @@ def test_files_by_batch_and_stream(spark):
     assert cn.read(spark, Filed, Filed.sources[0], stream=True).isStreaming
 
 
+def folders(spark, path, rows):
+    """Rows (id, time) as parquet files in folders: {folder: rows}."""
+    base = shared_path(spark, "dated")
+    for folder, inside in rows.items():
+        spark.createDataFrame([(i, at(x)) for i, x in inside], "id bigint, ts timestamp").coalesce(1).write.parquet(f"{base}/{folder}")
+    return s3.bucket(base, path=path, format="parquet", scheme="")
+
+
+def test_a_stream_of_dated_folders_reads_all_between_its_bounds(spark):
+    days = {"x/2023/12/31": [(0, "2023-12-31")], "x/2024/01/01": [(1, "2024-01-01")], "x/2024/01/03": [(2, "2024-01-03T05:00"), (3, "2024-01-03T23:00")], "x/2024/02/01": [(4, "2024-02-01")]}
+
+    @cn.source(folders(spark, "x/%Y/%m/%d/*", days), disorder="1d", cdc="append", since=datetime(2024, 1, 1), until=datetime(2024, 1, 3, 12))
+    @dataset
+    class Dated:
+        id: int
+        ts: datetime
+
+    stream = cn.ingest(cn.read(spark, Dated, Dated.sources[0], stream=True), Dated, Dated.sources[0])
+    assert sorted(r.id for r in run_to_files(stream, spark, stream.schema).collect()) == [1, 2]
+
+
 def test_change_records_in_and_out(spark):
     row = "struct<id: bigint, name: string, ts: timestamp>"
     a, b = (1, "x", at("2024-01-01")), (1, "y", at("2024-01-02"))
