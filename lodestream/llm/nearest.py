@@ -4,8 +4,8 @@ Both sides stream into one stateful operator that buffers them per entity. A lef
 has passed its tolerance horizon (its time plus the tolerance), when no nearer right row can come any more; right
 rows are evicted once no buffered or coming left row can reach them.
 
-Entities are cut into time chunks, and right rows near a border are given to both chunks, so an entity with a third
-of all rows is many small groups. Chunks are hashed into buckets, and each bucket's buffers are one state value that
+Entities are cut into time chunks, and right rows are given to every chunk within the tolerance of them, so an entity
+with a third of all rows is many small groups. Chunks are hashed into buckets, and each bucket's buffers are one state value that
 is matched with array operations; a state value per entity would spend its time on calls.
 
 A table at rest is replayed in order of event time: it is staged in time slices, each arriving as one micro-batch,
@@ -144,7 +144,7 @@ def side_rows(rows: DataFrame, entity: str, time: str, row_id: str, side: int, t
     """Rows in staged form; right rows (side 1) go to each chunk that a left row within the tolerance can be in."""
     at = micros(rows, time)
     chunk = lambda x: F.floor(x / F.lit(chunk_us))
-    chunks = F.array(chunk(at)) if side == 0 else F.array_distinct(F.array(chunk(at - tolerance_us), chunk(at), chunk(at + tolerance_us)))
+    chunks = F.array(chunk(at)) if side == 0 else F.sequence(chunk(at - tolerance_us), chunk(at + tolerance_us))
     return rows.select(
         F.col(f"`{entity}`").cast("string").alias("entity"), chunks.alias("_chunks"), at.alias("at"), F.lit(side).alias("side"), F.col(f"`{row_id}`").cast("string").alias("id")
     ).where("entity IS NOT NULL AND at IS NOT NULL AND id IS NOT NULL").select("entity", F.explode("_chunks").alias("chunk"), "at", "side", "id")
@@ -168,12 +168,13 @@ def nearest_in_time(
 
     At most tolerance_us apart, limit included; of equally near right rows the earlier, then the lower id (as
     text). The result is whole: the tables are replayed in event-time slices of about rows_per_slice rows, so no
-    row is late. Defined results: rows with null entity, time or id take no part; equal left rows give equal result
+    row is late. Chunks are at least the tolerance long, so a right row is in three at most. Defined results: rows with null entity, time or id take no part; equal left rows give equal result
     rows once each; left rows without partner give no row, or one with nulls if keep_unmatched; empty tables give an
     empty result (or the unmatched left rows); other columns are ignored, whatever their names.
     """
     if chunk_us < 1 or tolerance_us < 0:
         raise ValueError("chunk_us must be positive and tolerance_us not negative")
+    chunk_us = max(chunk_us, tolerance_us)
     spark = left.sparkSession
     session = spark.newSession()
     for key, value in STATE_CONF.items():

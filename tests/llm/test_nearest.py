@@ -42,6 +42,30 @@ def test_random_against_brute_force_in_any_chunks_and_slices(spark, how):
     assert found(spark, left, right, 20 * SEC, **how) == brute(left, right, 20 * SEC)
 
 
+def test_a_tolerance_longer_than_a_chunk(spark):
+    left, right = sample(1, 60)
+    assert found(spark, left, right[::9], 500 * SEC, chunk_us=60 * SEC) == brute(left, right[::9], 500 * SEC)
+    left, right = [("page", "x", 5400 * SEC)], [("login", "x", 1800 * SEC)]
+    assert found(spark, left, right, 7200 * SEC) == brute(left, right, 7200 * SEC) == {("page", "login", -3600 * SEC)}
+
+
+def test_a_live_stream_with_a_tolerance_longer_than_its_chunks(spark):
+    from lodestream.llm.nearest import join_stream, side_rows
+    from lodestream.runtime import shared_path
+    from lodestream.streaming.runner import run_to_files, stateful_session
+
+    left, right = sample(2, 60)
+    session, inbox = stateful_session(spark), shared_path(spark, "inbox")
+    base = 1_700_000_000 * SEC
+    far = [("end", "x", 10_000 * SEC)]  # lets all that waits go
+    for rows in ((left, right[::9]), (far, [])):
+        sides = [side_rows(frame(spark, [(i, w, base + t) for i, w, t in part]), "who", "t", "id", k, 500 * SEC, 60 * SEC) for k, part in enumerate(rows)]
+        sides[0].unionByName(sides[1]).coalesce(1).write.mode("append").parquet(inbox)
+    stream = session.readStream.schema("entity string, chunk bigint, at bigint, side int, id string").option("maxFilesPerTrigger", 1).parquet(inbox)
+    out = join_stream(stream, 500 * SEC, 60 * SEC, 4)
+    assert {(r.left_id, r.right_id, r.gap_us) for r in run_to_files(out, spark, out.schema).collect()} == brute(left, right[::9], 500 * SEC)
+
+
 def test_limits_ties_and_nulls(spark):
     left = [("a", "x", 100), ("b", "x", 1000), (None, "x", 5), ("c", None, 5), ("d", "x", None), ("e", "y", 100), ("a", "x", 100), ("f", "x", -7200 * SEC)]
     right = [("2", "x", 90), ("1", "x", 90), ("3", "x", 110), ("4", "x", 1010), ("5", "x", 989), (None, "x", 100), ("6", None, 100), ("7", "x", None), ("8", "x", -7200 * SEC)]
