@@ -128,21 +128,34 @@ def check_path(path: str) -> None:
                 raise ConnectorError(f"no directive %{m[1]} in paths")
 
 
-def path_globs(path: str, since: dt.datetime | None, until: dt.datetime | None) -> list[str]:
-    """The globs of a path: with directives and both bounds, one per period between them, else with wildcards."""
+def path_globs(path: str, since: dt.datetime | None, until: dt.datetime | None, spread: str | None = None) -> list[str]:
+    """The globs of a path: with directives and both bounds, one per period between them, else with wildcards.
+
+    Rows of a folder may lie up to spread before or after its period. Directives finer than a minute are wildcards.
+    """
     if "%" not in path:
         return [path]
-    step = next((dt.timedelta(**{unit: 1}) for d, unit in (("%M", "minutes"), ("%H", "hours"), ("%d", "days"), ("%j", "days")) if d in path), dt.timedelta(days=28))
     if since is None or until is None:
         return [re.sub(r"%.", "*", path)]
+    path = re.sub(r"%[Sf]", "*", path)
+    step = next((dt.timedelta(**{unit: 1}) for d, unit in (("%M", "minutes"), ("%H", "hours"), ("%d", "days"), ("%j", "days")) if d in path), dt.timedelta(days=28))
+    since, until = (x.astimezone(dt.timezone.utc).replace(tzinfo=None) if x.tzinfo else x for x in (since, until))
+    margin = step + dt.timedelta(microseconds=t.duration_us(spread) if spread else 0)
     found: dict[str, None] = {}
-    at = since - step
-    while at <= until + step:
+    at = since - margin
+    while at <= until + margin:
         found[at.strftime(path)] = None
         at += step
     return list(found)
 
 
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of the globs that match something; Spark fails for the others. All, if none does."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    system = hadoop(paths[0]).getFileSystem(spark._jsc.hadoopConfiguration())
+    return [p for p in paths if len(system.globStatus(hadoop(p)) or [])] or paths
+
+
 @dataclass(frozen=True)
 class Avro:
     registry: str
@@ -563,11 +576,11 @@ def read(spark: SparkSession, d: Dataset, s: Source, stream: bool = False, secre
         if o["format"] in ("delta", "hudi"):
             return (spark.readStream if stream else spark.read).format(o["format"]).load(f"{o['base']}/{o['prefix'] or o['path']}")
         limits = (None, None) if stream else (s.since, s.until)  # a stream takes one path: all folders, and bounds() leaves the rows between
-        paths = [f"{o['base']}/{p}" for p in (path_globs(o["path"], *limits) if o["path"] else [o["prefix"]])]
+        paths = [f"{o['base']}/{p}" for p in (path_globs(o["path"], *limits, o["spread"]) if o["path"] else [o["prefix"]])]
         reader = (spark.readStream if stream else spark.read).format(o["format"]).schema(d.schema.spark())
         if o["format"] == "csv":
             reader = reader.option("header", "true").option("sep", o["delimiter"])
-        return reader.load(paths if not stream else paths[0])
+        return reader.load((existing(spark, paths) if len(paths) > 1 else paths) if not stream else paths[0])
     if s.conn.system == "kafka":
         options = {"subscribe": o["topic"], **o["reader"]}
         raw = (spark.readStream if stream else spark.read).format("kafka").options(**{k: resolve_secret(v, secrets or {}) for k, v in options.items()}).load()

@@ -138,6 +138,26 @@ def test_a_stream_of_dated_folders_reads_all_between_its_bounds(spark):
     assert sorted(r.id for r in run_to_files(stream, spark, stream.schema).collect()) == [1, 2]
 
 
+def test_dated_folders_within_the_spread_and_finer_than_a_minute(spark):
+    hours = {"x/2023-12-29-10": [(0, "2024-01-01T00:30"), (1, "2023-12-29T10:30")], "x/2024-01-01-00": [(2, "2024-01-01T00:10")], "x/2024-01-03-20": [(3, "2024-01-01T01:30")]}
+    seconds = {"x/00-00-07": [(0, "2024-01-01T00:00:07")], "x/00-01-59": [(1, "2024-01-01T00:01:59")], "x/00-05-00": [(2, "2024-01-01T00:05:00")]}
+    far = dict(since=datetime(2024, 1, 1), until=datetime(2024, 1, 1, 2), disorder="1d", cdc="append")
+    near = {**far, "until": datetime(2024, 1, 1, 0, 2)}
+    spread = folders(spark, "x/%Y-%m-%d-%H/*", hours)
+    spread.options["spread"] = "3d"
+    for conn, how, ids in ((spread, far, [0, 2, 3]), (folders(spark, "x/%H-%M-%S/*", seconds), near, [0, 1])):
+
+        @cn.source(conn, **how)
+        @dataset
+        class Dated:
+            id: int
+            ts: datetime
+
+        assert sorted(r.id for r in cn.ingest(cn.read(spark, Dated, Dated.sources[0]), Dated, Dated.sources[0]).collect()) == ids
+    zoned = [datetime.fromisoformat(x) for x in ("2024-01-01T05:00+05:00", "2024-01-01T06:00+05:00")]
+    assert cn.path_globs("%d-%H", *zoned) == ["31-23", "01-00", "01-01", "01-02"]
+
+
 def test_change_records_in_and_out(spark):
     row = "struct<id: bigint, name: string, ts: timestamp>"
     a, b = (1, "x", at("2024-01-01")), (1, "y", at("2024-01-02"))
