@@ -10,7 +10,7 @@ from lodestream.operators.geo import last_positions, points_in_regions, points_n
 from lodestream.operators.known_at import known_at
 from lodestream.operators.rolling import daily_totals, trailing_totals
 from lodestream.operators.sessions import sessionize
-from lodestream.operators.shredding import assemble, nested, parse_json, shred
+from lodestream.operators.shredding import assemble, nested, parse_json, shred, tree
 from lodestream.runtime import table
 from lodestream.streaming.entity_features import code, feature_rows, maintain_features
 
@@ -156,9 +156,13 @@ def p4_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that is known of each transaction; of one repeated within its account the first position. Those without an id are told apart by position."""
     group = "report.items.accounts.transactions"
-    leaves = ["report.report_id", "report.items.item_id", *(f"{group}.{c}" for c in ("transaction_id", "account_id", "amount", "date", "merchant_name", "credit_category.primary", "location.city"))]
-    return assemble(_reports(spark, sf_dir), REPORT_SCHEMA, group, leaves).drop("report_no", "items_no", "transactions_no").distinct()
+    own = [leaf.path for leaf in tree(REPORT_SCHEMA).leaves() if leaf.path.startswith(f"{group}.")]
+    rows = assemble(_reports(spark, sf_dir), REPORT_SCHEMA, group, ["report.report_id", "report.items.item_id", *own]).drop("report_no")
+    known = [c for c in rows.columns if c != "transactions_no"]
+    unnamed = F.when(F.col("transactions_transaction_id").isNull(), F.col("transactions_no")).alias("_unnamed")
+    return rows.groupBy(*known, unnamed).agg(F.min("transactions_no").alias("transactions_no")).drop("_unnamed")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

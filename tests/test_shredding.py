@@ -68,3 +68,20 @@ def test_reports_of_deliveries():
     assert reports_of(r) == [{"report": [{"report_id": "a"}]}] == reports_of({"report": json.dumps(r["report"])}) == reports_of([r])
     assert reports_of(None) == reports_of({}) == reports_of({"report": None}) == reports_of({"report": "{"}) == reports_of(5) == []
     assert parse_json(json.dumps(json.dumps({"a": 1}))) == {"a": 1} and parse_json('{"a": 1') is None and parse_json(None) is None
+
+
+def test_transactions_with_all_their_leaves(spark):
+    import json
+
+    from lodestream.plans.problems import p4_transactions
+    from lodestream.runtime import shared_path
+
+    full = {"transaction_id": "t", "account_id": "a", "amount": 1.5, "date": "d", "date_posted": "p", "merchant_name": "m", "original_description": "o", "pending": True, "iso_currency_code": "USD"}
+    full |= {"credit_category": {"primary": "x", "detailed": "y"}, "location": {"city": "c", "store_number": "7", "lat": 1.25, "lon": 2.5}}
+    transactions = [full, {"amount": 2, "pending": True}, {"amount": 2, "pending": False}, {"amount": 2, "pending": False}, full]
+    report = {"report": {"report_id": "r", "items": [{"item_id": "i", "accounts": []}, {"item_id": "j", "accounts": [{"transactions": transactions}]}]}}
+    path = shared_path(spark, "mini")
+    spark.createDataFrame([(json.dumps(report),)] * 2, "payload string").write.parquet(f"{path}/mini.parquet")
+    rows = sorted(p4_transactions(spark, path).collect(), key=lambda r: r.transactions_no)
+    assert [(r.items_no, r.accounts_no, r.transactions_no, r.transactions_pending) for r in rows] == [(1, 0, 0, "true"), (1, 0, 1, "true"), (1, 0, 2, "false"), (1, 0, 3, "false")]
+    assert list(rows[0])[:17] == ["r", "j", "t", "a", "1.5", "d", "p", "m", "o", "true", "USD", "x", "y", "c", "7", "1.25", "2.5"]
