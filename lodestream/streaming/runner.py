@@ -29,6 +29,7 @@ from lodestream.streaming.files import delete, exists
 END = "2200-01-01 00:00:00"
 END_US = 7_258_118_400_000_000
 CENTURY_US = 3_155_760_000_000_000
+CLOSING = "_closing"
 
 
 def stateful_session(spark: SparkSession) -> SparkSession:
@@ -89,9 +90,10 @@ def run_to_files(stream: DataFrame, spark: SparkSession, schema: Any, work_dir:
 def replay(session: SparkSession, rows: DataFrame, ts: str, work_dir: str) -> DataFrame:
     """A stream of a table at rest, ended by a row at the end of time that lets all that waits go.
 
-    The rows come in one micro-batch, so none is late, however they lie.
+    The rows come in one micro-batch, so none is late, however they lie. The column _closing tells the last one from them.
     """
-    end = session.range(1).select(*(F.lit(END).cast("timestamp").alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields))
+    rows = rows.withColumn(CLOSING, F.lit(False))
+    end = session.range(1).select(*(F.lit(END).cast("timestamp").alias(f.name) if f.name == ts else F.lit(True if f.name == CLOSING else None).cast(f.dataType).alias(f.name) for f in rows.schema.fields))
     rows.write.parquet(f"{work_dir}/inbox")
     end.coalesce(1).write.mode("append").parquet(f"{work_dir}/inbox")
     return session.readStream.schema(rows.schema).parquet(f"{work_dir}/inbox")
@@ -142,14 +144,16 @@ def in_event_order(stream: DataFrame, keys: list[str], ts: str, disorder: str, s
 
     def over(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, memory = pickle.loads(state.get[0]) if state.exists else (None, None)
-        came = list(batches)
-        rows = pd.concat([x for x in [held, *came] if x is not None and len(x)], ignore_index=True) if held is not None or came else pd.DataFrame()
+        came = [x[~x[CLOSING].astype(bool)] if CLOSING in x else x for x in batches]
+        came = [x.assign(**{ts: x[ts].astype("datetime64[us]")}) for x in came]
+        parts = [x for x in [held, *came] if x is not None and len(x)]
+        rows = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame()
         now = state.getCurrentWatermarkMs()
         mark = 2**62 if now * 1000 >= END_US else now * 1000 - CENTURY_US
         if len(rows):
             at = rows[ts].astype("datetime64[us]").astype("int64")
-            ready = rows[(at < mark) & (at < END_US)].sort_values(ts, kind="stable", ignore_index=True)
-            held = rows[(at >= mark) & (at < END_US)]
+            ready = rows[at < mark].sort_values(ts, kind="stable", ignore_index=True)
+            held = rows[at >= mark]
         else:
             ready, held = rows, rows
         out, memory, wake = step(key, ready, memory, mark)
@@ -167,6 +171,7 @@ def in_event_order(stream: DataFrame, keys: list[str], ts: str, disorder: str, s
     us = F.unix_micros(F.col(ts))
     event_time = F.when(us >= END_US, F.lit(END_US)).otherwise(F.greatest(F.lit(1), F.least(us + CENTURY_US, F.lit(END_US - 1))))
     watermarked = stream.withColumn("_mark", F.timestamp_micros(event_time)).withWatermark("_mark", f"{t.duration_us(disorder)} microseconds")
+    watermarked = watermarked.withColumn(ts, F.coalesce(us, F.lit(-(2**63))))  # pandas' nanoseconds, which Spark would give, end in 2262
     return watermarked.groupBy(*keys).applyInPandasWithState(over, schema, "held binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -194,7 +199,7 @@ def continuous_stream(stream: DataFrame, key: str, ts: str, of: str, window: t.C
         return pd.DataFrame(out, columns=["key", "at_us", "n", "total"]), live or None, wake
 
     kind = stream.schema[key].dataType.simpleString()
-    return in_event_order(stream.select(key, ts, of), [key], ts, disorder, step, f"key {kind}, at_us bigint, n bigint, total double")
+    return in_event_order(stream.select(key, ts, of, *(c for c in stream.columns if c == CLOSING)), [key], ts, disorder, step, f"key {kind}, at_us bigint, n bigint, total double")
 
 
 def asof_stream(left: DataFrame, right: DataFrame, key: str, ts: str, left_id: str, value: str, disorder: str) -> DataFrame:

@@ -50,6 +50,20 @@ def test_continuous_windows_and_joins_in_event_order(spark):
     assert sorted((r.left_id, r.value) for r in run_to_files(out, spark, out.schema, work).collect()) == [(7, 1.5), (8, None), (9, None)]
 
 
+def test_rows_after_the_end_of_replays_count(spark):
+    session = stateful_session(spark)
+    times = ["2200-01-01 00:00:00", "2223-05-06 00:00:00", "9999-12-31 00:00:00"]
+    rows = session.createDataFrame([("a", x, float(i)) for i, x in enumerate(times)], "k string, t string, v double").select("k", F.col("t").cast("timestamp").alias("ts"), "v")
+    us = [r.us for r in rows.select(F.unix_micros("ts").alias("us")).collect()]
+    work = shared_path(spark, "far")
+    out = continuous_stream(replay(session, rows, "ts", work), "k", "ts", "v", Continuous("forever"), "0s")
+    assert sorted(tuple(r) for r in run_to_files(out, spark, out.schema, work).collect()) == [("a", us[0], 1, 0.0), ("a", us[1], 2, 1.0), ("a", us[2], 3, 3.0)]
+    both = rows.select("k", "ts", F.when(F.col("v") > 0, F.col("v").cast("long")).alias("_id"), F.when(F.col("v") == 0, 5.0).alias("_v"), (F.col("v") > 0).cast("int").alias("_side"))
+    work = shared_path(spark, "far-asof")
+    out = asof_of(replay(session, both, "ts", work), "k", "ts", "0s")
+    assert sorted(tuple(r) for r in run_to_files(out, spark, out.schema, work).collect()) == [(1, 5.0), (2, 5.0)]
+
+
 def test_expectations(spark):
     rows = [(1, "a1", "2024-01-02", '{"x": 1}', 1, 2), (2, None, "x", "{", 3, 3), (None, "bb", None, '{"x": "s"}', 5, 4), (4, "c", "2024-02-30", "[]", 2, 5)]
     df = spark.createDataFrame(rows, "n bigint, s string, d string, j string, p int, q int")
