@@ -135,6 +135,21 @@ def expect_column_values_to_be_json_parseable(column: str, mostly: float = 1.0)
     return _made("json_parseable", [column], lambda df: F.try_parse_json(_c(column)).isNotNull(), mostly)
 
 
+_JSON_KEYWORDS = {"type", "enum", "required", "properties", "items", "minimum", "maximum", "minLength", "maxLength"}
+_JSON_NOTES = {"$schema", "$id", "$comment", "title", "description", "default", "examples"}
+
+
+def check_json_schema(schema: Any) -> None:
+    """Raises for what fits_json_schema does not know."""
+    if not isinstance(schema, dict):
+        raise ValueError(f"no schema {schema!r}; schemas are objects")
+    unknown = set(schema) - _JSON_KEYWORDS - _JSON_NOTES
+    if unknown:
+        raise ValueError(f"no keywords {sorted(unknown)} in JSON schemas; there are {sorted(_JSON_KEYWORDS)}")
+    for inner in [*schema.get("properties", {}).values(), *([schema["items"]] if "items" in schema else [])]:
+        check_json_schema(inner)
+
+
 def fits_json_schema(value: Any, schema: dict) -> bool:
     """A JSON value against the common part of JSON Schema: type, enum, required, properties, items and limits."""
     kinds = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
@@ -165,6 +180,8 @@ def fits_json_schema(value: Any, schema: dict) -> bool:
 
 
 def expect_column_values_to_match_json_schema(column: str, json_schema: dict, mostly: float = 1.0) -> Expectation:
+    check_json_schema(json_schema)
+
     @F.pandas_udf("boolean")
     def fits(values: pd.Series) -> pd.Series:
         def ok(v) -> bool:

@@ -64,6 +64,17 @@ def test_rows_after_the_end_of_replays_count(spark):
     assert sorted(tuple(r) for r in run_to_files(out, spark, out.schema, work).collect()) == [(1, 5.0), (2, 5.0)]
 
 
+def test_json_schemas_with_unknown_keywords_are_refused(spark):
+    import pytest
+
+    from lodestream.quality.expectations import expect_column_values_to_match_json_schema as expect
+
+    expect("j", {"title": "t", "type": "object", "properties": {"pattern": {"type": "string"}}})
+    for schema in ({"pattern": "a"}, {"properties": {"x": {"const": 1}}}, {"items": {"anyOf": []}}, {"items": [{"type": "string"}]}, {"items": True}):
+        with pytest.raises(ValueError):
+            expect("j", schema)
+
+
 def test_expectations(spark):
     rows = [(1, "a1", "2024-01-02", '{"x": 1}', 1, 2), (2, None, "x", "{", 3, 3), (None, "bb", None, '{"x": "s"}', 5, 4), (4, "c", "2024-02-30", "[]", 2, 5)]
     df = spark.createDataFrame(rows, "n bigint, s string, d string, j string, p int, q int")
