@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestream.runtime import micros
 
@@ -90,7 +91,10 @@ def asof_join(
     rights = rights.withColumn("_b", F.floor(F.col("_t") / F.lit(bucket_us)))
     lefts = left.select(
         *(_q(le).alias(k) for (le, _), k in zip(on, keys, strict=True)), (micros(left, left_ts) + F.lit(high_us)).alias("_t"), F.struct(*map(_q, left.columns)).alias("_l")
-    ).withColumn("_b", F.floor(F.col("_t") / F.lit(bucket_us)))
+    )
+    # rows that can match nothing are spread over buckets of their own, whatever their number
+    able = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.col("_t").isNotNull())
+    lefts = lefts.withColumn("_b", F.when(able, F.floor(F.col("_t") / F.lit(bucket_us))).otherwise(F.xxhash64(*(F.col(f"_l.`{f.name}`") for f in left.schema.fields if isinstance(f.dataType, T.AtomicType)))))
     spots = (
         rights.groupBy(*keys, "_b").agg(F.max(F.struct("_o", "_r")).alias("_top"))
         .unionByName(lefts.select(*keys, "_b").dropna().distinct(), allowMissingColumns=True)
@@ -197,9 +201,42 @@ def history_join(
     )
 
 
+#: Time blocks of _overlap_join: days, and four times as long at each level, up to all of time.
+LEVELS = 12
+RADIX = 4
+LAST_US = 253_402_300_800_000_000  # the year 10000
+
+
+def _blocks(low: Column, high: Column) -> Column:
+    """The blocks (level, no) that exactly cover the days from low to high: at most 2 * (RADIX - 1) per level."""
+    none = F.array().cast("array<bigint>")
+    run = lambda a, b: F.when(a <= b, F.sequence(a, F.greatest(a, b))).otherwise(none)
+
+    def step(state: Column, level: Column) -> Column:
+        low, high = state["low"], state["high"]
+        up_low = F.when(level < LEVELS - 1, F.ceil(low / RADIX)).otherwise(F.lit(1))
+        up_high = F.when(level < LEVELS - 1, F.floor((high + 1) / RADIX) - 1).otherwise(F.lit(0))
+        numbers = F.when(up_low <= up_high, F.concat(run(low, up_low * RADIX - 1), run((up_high + 1) * RADIX, high))).otherwise(run(low, high))
+        made = F.transform(numbers, lambda b: F.struct(level.alias("level"), b.alias("no")))
+        return F.struct(
+            F.when(up_low <= up_high, up_low).otherwise(F.lit(1)).cast("bigint").alias("low"),
+            F.when(up_low <= up_high, up_high).otherwise(F.lit(0)).cast("bigint").alias("high"),
+            F.concat(state["made"], made).alias("made"),
+        )
+
+    start = F.struct(low.cast("bigint").alias("low"), high.cast("bigint").alias("high"), F.array().cast("array<struct<level: int, no: bigint>>").alias("made"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), start, step, lambda state: state["made"])
+
+
 def _overlap_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], left_ts: str, right_ts: str, fields: dict[str, str], how: str) -> DataFrame:
-    """history_join for left rows that are valid at once: an equi-join on the keys with a test for common time, the gaps
-    filled per left row."""
+    """history_join for left rows of one key that are valid at once.
+
+    A common part begins with the left row, where the right row valid at that time is found as of it, or with a right row
+    that begins while the left one is valid. For the latter, each left interval is cut into few blocks of days of growing
+    length, and a right row's beginning lies in one block of each length: an equi-join on (key, block), in which only
+    rows that belong together meet, and in which a crowded key is many groups. A right row brings along the gap
+    up to its key's next, so nothing is ordered per left row.
+    """
     keys = [f"_k{i}" for i in range(len(on))]
     lefts = left.select(
         *(_q(le).alias(k) for (le, _), k in zip(on, keys, strict=True)),
@@ -208,27 +245,37 @@ def _overlap_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]],
         F.coalesce(micros(left, VALID_TO), F.lit(FAR)).alias("_to"),
     ).where("_from < _to")
     rights = right.select(
-        *(_q(r).alias(f"{k}r") for (_, r), k in zip(on, keys, strict=True)),
+        *(_q(r).alias(k) for (_, r), k in zip(on, keys, strict=True)),
         F.struct(*(_q(c).alias(f"v{i}") for i, c in enumerate(fields))).alias("_r"),
         micros(right, right_ts).alias("_rfrom"),
         F.coalesce(micros(right, VALID_TO), F.lit(FAR)).alias("_rto"),
     ).where("_rfrom < _rto")
-    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"{k}r") for k in keys])
-    common = same & (F.col("_from") < F.col("_rto")) & (F.col("_rfrom") < F.col("_to"))
-    met = lefts.join(rights, common, "left" if how == "left" else "inner").select("_l", "_from", "_to", "_r", F.greatest("_from", "_rfrom").alias("s"), F.least("_to", "_rto").alias("e"))
-    out = met.where("_r IS NOT NULL").select("_l", "s", "e", "_r")
+    rights = next_time(rights, keys, "_rfrom", "_next").withColumn("_next", F.coalesce("_next", F.lit(FAR)))
+    # before a key's first right row stands one that is valid for no time
+    none = F.lit(None).cast(rights.schema["_r"].dataType)
+    ahead = rights.groupBy(*keys).agg(F.min("_rfrom").alias("_next")).select(*keys, none.alias("_r"), F.lit(-FAR).alias("_rfrom"), F.lit(-FAR).alias("_rto"), "_next")
+    entry = {"_r": "_r", "_rto": "_rto", "_next": "_next"}
+    begun = asof_join(lefts, rights.unionByName(ahead), [(k, k) for k in keys], "_from", "_rfrom", entry, found="_any").withColumn("_s", F.col("_from"))
+    day = lambda c: F.floor(c / F.lit(DAY_US))
+    cut = lefts.withColumn("_block", F.explode(_blocks(day(F.col("_from")), day(F.least(F.col("_to"), F.lit(LAST_US)) - 1)))).select(*keys, "_l", "_from", "_to", "_block.level", "_block.no")
+    spots = F.array(*(F.struct(F.lit(level).alias("level"), F.floor(day(F.col("_rfrom")) / RADIX**level).alias("no")) for level in range(LEVELS)))
+    spread = rights.withColumn("_block", F.explode(spots)).select(*keys, "_r", "_rfrom", "_rto", "_next", "_block.level", "_block.no")
+    later = cut.join(spread, [*keys, "level", "no"]).where("_from < _rfrom AND _rfrom < _to").withColumns({"_s": F.col("_rfrom"), "_any": F.lit(True)})
+    columns = ["_l", "_to", "_s", "_r", "_rto", "_next", "_any"]
+    met = begun.select(*columns).unionByName(later.select(*columns))
+    end = F.least("_to", "_rto")
+    both = F.col("_any") & (F.col("_rto") > F.col("_s"))
+    parts = [F.when(both, F.struct(F.col("_s").alias("s"), end.alias("e"), F.col("_r").alias("r")))]
     if how == "left":
-        per_left = Window.partitionBy("_l", "_from").orderBy("s")
-        pair = lambda a, b: F.struct(a.alias("s"), b.alias("e"))
-        ahead = pair(F.coalesce(F.lag("e").over(per_left), F.col("_from")), F.col("s"))
-        last = F.when(F.lead("s").over(per_left).isNull(), pair(F.col("e"), F.col("_to")))
-        gaps = met.select("_l", F.when(F.col("_r").isNull(), F.array(pair(F.col("_from"), F.col("_to")))).otherwise(F.array(ahead, last)).alias("_g"))
-        out = out.unionByName(gaps.select("_l", F.explode("_g").alias("_g")).where("_g.s < _g.e").select("_l", "_g.s", "_g.e"), allowMissingColumns=True)
+        start = F.when(both, end).otherwise(F.col("_s"))
+        stop = F.least("_to", F.coalesce("_next", F.lit(FAR)))
+        parts.append(F.when(start < stop, F.struct(start.alias("s"), stop.alias("e"), none.alias("r"))))
+    out = met.select("_l", F.explode(F.array(*parts)).alias("_x")).where("_x IS NOT NULL")
     return out.select(
         "_l.*",
-        F.timestamp_micros("s").alias(left_ts),
-        *(F.col(f"_r.v{i}").alias(name) for i, name in enumerate(fields.values())),
-        F.when(F.col("e") < FAR, F.timestamp_micros("e")).alias(VALID_TO),
+        F.timestamp_micros("_x.s").alias(left_ts),
+        *(F.col(f"_x.r.v{i}").alias(name) for i, name in enumerate(fields.values())),
+        F.when(F.col("_x.e") < FAR, F.timestamp_micros("_x.e")).alias(VALID_TO),
     )
 
 
@@ -256,6 +303,27 @@ def first_rows(df: DataFrame, keys: list[str], ts: str, order: list[str] | None
     return df.groupBy(*map(_q, keys)).agg(F.min_by(F.struct(*map(_q, columns)), rank).alias("_f")).select(*map(_q, keys), "_f.*").select(*map(_q, df.columns))
 
 
+def number_sessions(df: DataFrame, by: list[str], at: str, gap_us: int, inclusive: bool, into: str, order: list[str] | None = None, bucket_us: int = DAY_US) -> DataFrame:
+    """df with the number of its session per by in the column into; at is in microseconds and not null.
+
+    A session begins when more than gap_us have passed since the row before (inclusive: at least gap_us). Sessions are
+    numbered within time buckets and over the buckets, so no value of by is ordered as a whole.
+    """
+    rows = df.withColumn("_b", F.floor(_q(at) / F.lit(bucket_us)))
+    within = Window.partitionBy(*map(_q, by), "_b").orderBy(_q(at), *map(_q, order or []))
+    over = Window.partitionBy(*map(_q, by)).orderBy("_b")
+    lasts = rows.groupBy(*map(_q, by), "_b").agg(F.max(_q(at)).alias("_end")).withColumn("_before", F.lag("_end").over(over)).drop("_end")
+    met = _meet(rows, lasts, [*by, "_b"])
+    passed = _q(at) - F.coalesce(F.lag(_q(at)).over(within), F.col("_before"))
+    fresh = passed >= F.lit(gap_us) if inclusive else passed > F.lit(gap_us)
+    flagged = met.withColumn("_new", F.coalesce(fresh.cast("int"), F.lit(0)))
+    numbered = flagged.withColumn("_run", F.sum("_new").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    counts = numbered.groupBy(*map(_q, by), "_b").agg(F.sum("_new").alias("_n"))
+    counts = counts.withColumn("_base", F.coalesce(F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    met = _meet(numbered, counts, [*by, "_b"])
+    return met.select(*map(_q, df.columns), (F.col("_run") + F.col("_base")).alias(into))
+
+
 def dedup(
     df: DataFrame, by: list[str], ts: str, window_us: int | None = None, gap_us: int | None = None, order: list[str] | None = None, bucket_us: int = DAY_US
 ) -> DataFrame:
@@ -266,23 +334,10 @@ def dedup(
     rank = F.struct(_q(ts), *map(_q, order or []))
     everything = F.struct(*map(_q, df.columns))
     if gap_us is not None:
-        # sessions are numbered within time buckets and over the buckets, so no value of by is ordered as a whole
-        rows = df.withColumn("_at", micros(df, ts)).where("_at IS NOT NULL").withColumn("_b", F.floor(F.col("_at") / F.lit(bucket_us)))
-        within = Window.partitionBy(*map(_q, by), "_b").orderBy("_at", *map(_q, order or []))
-        over = Window.partitionBy(*map(_q, by)).orderBy("_b")
-        lasts = rows.groupBy(*map(_q, by), "_b").agg(F.max("_at").alias("_end")).withColumn("_before", F.lag("_end").over(over)).drop("_end")
-        met = _meet(rows, lasts, [*by, "_b"])
-        fresh = F.col("_at") - F.coalesce(F.lag("_at").over(within), F.col("_before")) >= F.lit(gap_us)
-        flagged = met.withColumn("_new", F.coalesce(fresh.cast("int"), F.lit(0)))
-        numbered = flagged.withColumn("_run", F.sum("_new").over(within.rowsBetween(Window.unboundedPreceding, 0)))
-        counts = numbered.groupBy(*map(_q, by), "_b").agg(F.sum("_new").alias("_n"))
-        counts = counts.withColumn("_base", F.coalesce(F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-        source = _meet(numbered, counts, [*by, "_b"]).withColumn("_no", F.col("_run") + F.col("_base"))
-        grouping = [*map(_q, by), F.col("_no")]
+        source = number_sessions(df.withColumn("_at", micros(df, ts)).where("_at IS NOT NULL"), by, "_at", gap_us, True, "_no", order, bucket_us)
     else:
         source = df.withColumn("_no", micros(df, ts) if window_us is None else F.floor(micros(df, ts) / F.lit(window_us)))
-        grouping = [*map(_q, by), F.col("_no")]
-    return source.groupBy(*grouping).agg(F.max_by(everything, rank).alias("_last")).select("_last.*")
+    return source.groupBy(*map(_q, by), "_no").agg(F.max_by(everything, rank).alias("_last")).select("_last.*")
 
 
 def explode_lists(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -302,8 +357,17 @@ def explode_lists(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+SAMPLE_BITS = 60
+
+
 def hash_sample(df: DataFrame, rate: float, using: list[str]) -> DataFrame:
-    """Rows whose hash of the columns falls below the rate: the same rows for the same values, everywhere."""
+    """Rows whose hash of the columns falls below the rate: the same rows for the same values, everywhere.
+
+    The hash is the first 60 bits of the MD5 of the columns' texts (null as an empty one after a mark), so any engine can
+    draw the same sample, and rates have steps of 2**-60.
+    """
     if not 0 <= rate <= 1:
         raise ValueError("a rate is between 0 and 1")
-    return df.where(F.pmod(F.xxhash64(*map(_q, using)), F.lit(1_000_000)) < F.lit(round(rate * 1_000_000)))
+    text = F.concat_ws("\x1f", *(F.coalesce(_q(c).cast("string"), F.lit("\x00")) for c in using))
+    drawn = F.conv(F.substring(F.md5(text), 1, SAMPLE_BITS // 4), 16, 10).cast("bigint")
+    return df.where(drawn < F.lit(round(rate * 2**SAMPLE_BITS)))

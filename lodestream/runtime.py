@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,27 +53,44 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _made: list[str] = []
+_exit_hook: list[bool] = []
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
     """A fresh path below the shared folder; clean() deletes what was written there."""
     path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
     _made.append(path)
+    if not _exit_hook:
+        _exit_hook.append(True)
+        atexit.register(_clean_at_exit, spark)
     return path
 
 
-def clean(spark: SparkSession) -> None:
-    """Delete all that this program has written below the shared folder. Frames made from it can't be read any more."""
-    for path in _made:
+def clean(spark: SparkSession, since: int = 0) -> None:
+    """Delete what this program has written below the shared folder, from its since-th path on. Frames made from it can't
+    be read any more."""
+    for path in _made[since:]:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-    _made.clear()
+    del _made[since:]
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage through the shared folder; survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager)
+def _clean_at_exit(spark: SparkSession) -> None:
+    try:
+        clean(spark)
+    except Exception:  # the JVM is gone already
+        pass
+
+
+@contextmanager
+def lifetime(spark: SparkSession) -> Iterator[None]:
+    """What is staged within it lives as long as it: results must be written or collected before its end. What is staged
+    outside of any lifetime is deleted when the program ends."""
+    since = len(_made)
+    try:
+        yield
+    finally:
+        clean(spark, since)
 
 
 def staged(df: DataFrame, what: str) -> DataFrame:

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream import types as t
@@ -188,10 +188,13 @@ class Workspace:
         if isinstance(df, pd.DataFrame):
             df = self._from_pandas(df, d, source)
         rows = ingest(df, d, source)
-        # the order of arrival: of the batch, then of the row within it
-        self._seq += 1
-        rows = rows.withColumn(SEQ, F.lit(self._seq << 44).cast("bigint") + F.monotonically_increasing_id() % (1 << 44))
+        # the order of arrival: of the batch, then of the row within it; the next batch starts behind this one's last number
+        seen = Observation()
+        rows = rows.withColumn(SEQ, F.lit(self._seq).cast("bigint") + F.monotonically_increasing_id()).observe(seen, F.max(SEQ).alias("last"))
         b.logged.setdefault(d._name, []).append(staged(rows, f"log-{d._name}"))
+        last = seen.get.get("last")
+        if last is not None:
+            self._seq = ((last >> 33) + 1) << 33  # ids count on from a multiple of 2**33 in each partition
         b.materialized.clear()
 
     def ingest_sources(self) -> None:

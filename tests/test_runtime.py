@@ -8,11 +8,16 @@ from lodestream import runtime as rt
 
 def test_staged_tables_and_cleaning(spark):
     df = rt.staged(spark.range(5), "x")
-    assert df.count() == 5 and rt.cut(df).count() == 5
+    assert df.count() == 5
     path = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
     assert path.startswith(rt.shared_dir(spark)) and os.path.exists(path)
     rt.clean(spark)
     assert not os.path.exists(path)
+    kept = rt.staged(spark.range(3), "kept")
+    with rt.lifetime(spark):
+        path = rt.staged(spark.range(5), "x").inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        assert os.path.exists(path)
+    assert not os.path.exists(path) and kept.count() == 3
 
 
 def test_times_without_zone_are_utc_whatever_the_session_says(spark):
