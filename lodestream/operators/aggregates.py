@@ -6,8 +6,11 @@ writing the history down. Rows live from their time on: for good in a "forever"
 second in a continuous one, and in tumbling and hopping windows from the end of their window for one stride.
 
 Counts and sums of continuous windows are sums of +1 at a row's start and -1 at its end, run up in two steps: within
-time buckets of a key, and over the buckets' totals. No key is run up as a whole in one task. The other aggregates use range
-frames over the key's rows. Tumbling, hopping and session windows are plain group-bys.
+time buckets of a key, and over the buckets' totals. No key is run up as a whole in one task. A unique count is such a
+sum too: a value counts from a row of it until its next row or the end of the window. Decaying sums are run up in the
+same way, with values brought to the end of a stretch of a hundred mean lives, and from stretch to stretch. The other aggregates
+use range frames, over buckets where their windows are bounded. Tumbling and hopping windows are aggregated per stride
+first, and windows are put together from strides; sessions are numbered in time buckets.
 """
 
 from __future__ import annotations
@@ -21,10 +24,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestream import types as t
-from lodestream.operators.temporal import VALID_TO
+from lodestream.operators.temporal import VALID_TO, next_time, number_sessions
 from lodestream.runtime import micros
 
 SECOND_US = 1_000_000
+#: A decayed sum of at most so much is none (a fixed value).
+NOTHING = math.exp(-25)
 BUCKET_US = 86_400_000_000
 
 
@@ -41,6 +46,8 @@ class Spec:
     into_field: str = ""
 
     invertible = False
+    #: How the parts of strides become those of a window: "sum", "min", "max", "lists" or "sets".
+    merges = ()
 
     def result(self, of: t.DType | None) -> t.DType:
         """The result's type; TypeError_ for columns the aggregate does not take."""
@@ -56,6 +63,14 @@ class Spec:
     def finish(self, parts: list[Column], at: Column) -> Column:
         return parts[0]
 
+    def pane(self, live: Column, rank: Column) -> list[Column]:
+        """The parts of a stride, one for each of merges."""
+        return self.parts(live, rank)
+
+    def merged(self, parts: list[Column], at: Column) -> Column:
+        """The result from merged parts."""
+        return self.finish(parts, at)
+
     def empty(self, of: t.DType | None) -> Column:
         return F.lit(None).cast(t.required(self.result(of)).spark())
 
@@ -80,6 +95,10 @@ class Count(Spec):
     def invertible(self):
         return not self.unique
 
+    @property
+    def merges(self):
+        return ("sets",) if self.unique else ("sum",)
+
     def result(self, of):
         if self.unique and not t.hashable(of):
             raise t.TypeError_(f"{of} can't be counted uniquely")
@@ -109,6 +128,7 @@ class Count(Spec):
 @dataclass(frozen=True)
 class Sum(Spec):
     invertible = True
+    merges = ("sum",)
 
     def result(self, of):
         if not t.numeric(of) and not isinstance(t.required(of), t.Decimal):
@@ -139,6 +159,7 @@ def _default(value: Any, of: t.DType) -> Column:
 class Average(Spec):
     default: float | None = 0.0
     invertible = True
+    merges = ("sum", "sum")
 
     def result(self, of):
         if not t.numeric(of) and not isinstance(t.required(of), t.Decimal):
@@ -152,6 +173,12 @@ class Average(Spec):
     def finish(self, parts, at):
         return parts[0] if self.default is None else F.coalesce(parts[0], F.lit(self.default))
 
+    def pane(self, live, rank):
+        return [F.sum(_when(live, _q(self.of))), F.count(_when(live, _q(self.of)))]
+
+    def merged(self, parts, at):
+        return self.run_up([F.coalesce(parts[0], F.lit(0)), parts[1]])
+
     def deltas(self):
         v = _q(self.of)
         return [F.coalesce(v, F.lit(0)), F.when(v.isNotNull(), 1).otherwise(0).cast("bigint")]
@@ -186,12 +213,12 @@ class _Extreme(Spec):
 
 @dataclass(frozen=True)
 class Min(_Extreme):
-    pass
+    merges = ("min",)
 
 
 @dataclass(frozen=True)
 class Max(_Extreme):
-    pass
+    merges = ("max",)
 
 
 @dataclass(frozen=True)
@@ -211,13 +238,29 @@ class Stddev(Spec):
     def finish(self, parts, at):
         return parts[0] if self.default is None else F.coalesce(parts[0], F.lit(float(self.default)))
 
+    merges = ("lists",)
+
+    def pane(self, live, rank):
+        v = _when(live, _q(self.of).cast("double"))
+        return [F.array(F.struct(F.count(v).alias("n"), F.avg(v).alias("m"), F.var_pop(v).alias("v")))]
+
+    def merged(self, parts, at):
+        known = F.filter(parts[0], lambda x: x["n"] > 0)
+        n = F.aggregate(known, F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+        mean = F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, x: a + x["n"] * x["m"]), n.cast("double"))
+        square = F.aggregate(known, F.lit(0.0), lambda a, x: a + x["n"] * (x["v"] + (x["m"] - mean) * (x["m"] - mean)))
+        return self.finish([F.sqrt(F.try_divide(square, n.cast("double")))], at)
+
     def empty(self, of):
         return _default(self.default, t.Float)
 
 
 @dataclass(frozen=True)
 class Quantile(Spec):
-    """The value at position floor(p * n) of the n sorted values; with sketch, an approximation of bounded memory."""
+    """The value at position floor(p * n) of the n sorted values; with sketch, an approximation of bounded memory, which
+    windows over all time always have (relative error of rank 1e-4, and none for up to 10,000 values)."""
+
+    merges = ("lists",)
 
     p: float = 0.5
     default: float | None = None
@@ -237,10 +280,23 @@ class Quantile(Spec):
 
     def parts(self, live, rank):
         v = _when(live, _q(self.of).cast("double"))
-        return [F.percentile_approx(v, self.p, 10_000) if self.sketch else F.collect_list(v)]
+        # the sketch gives the value of rank ceil(p * n), counted from 1: the least step more makes it floor(p * n) + 1
+        return [F.percentile_approx(v, min(1.0, self.p + 1e-12), 10_000) if self.sketched else F.collect_list(v)]
+
+    @property
+    def sketched(self) -> bool:
+        return self.sketch or (isinstance(self.window, t.Continuous) and self.window.us is None)
+
+    def pane(self, live, rank):
+        return [F.collect_list(_when(live, _q(self.of).cast("double")))]
+
+    def merged(self, parts, at):
+        from dataclasses import replace
+
+        return replace(self, window=t.Continuous("1d"), sketch=False).finish(parts, at)
 
     def finish(self, parts, at):
-        if self.sketch:
+        if self.sketched:
             found = parts[0]
         else:
             n = F.size(parts[0])
@@ -258,6 +314,7 @@ class Distinct(Spec):
 
     unordered: bool = False
     dropnull: bool = False
+    merges = ("sets",)
 
     def __post_init__(self):
         if not self.unordered:
@@ -285,6 +342,7 @@ class LastK(Spec):
     limit: int = 1
     dedup: bool = False
     dropnull: bool = False
+    merges = ("lists",)
 
     def result(self, of):
         if self.limit < 1:
@@ -302,6 +360,10 @@ class LastK(Spec):
         values = F.transform(self.ordered(parts[0]), lambda x: x["v"])
         return F.slice(F.array_distinct(values) if self.dedup else values, 1, self.limit)
 
+    def pane(self, live, rank):
+        rows = self.ordered(self.parts(live, rank)[0])
+        return [F.transform(rows if self.dedup else F.slice(rows, 1, self.limit), lambda x: F.struct(x["r"].alias("r"), x["v"].alias("v")))]
+
     def empty(self, of):
         return F.array().cast(self.result(of).spark())
 
@@ -329,10 +391,7 @@ class ExpDecaySum(Spec):
         """Per second."""
         return math.log(2) / (t.duration_us(self.half_life) / SECOND_US)
 
-    @property
-    def reach_us(self) -> int:
-        """Beyond this age, with a factor under exp(-25), a value counts as nothing."""
-        return int(25 / self.rate * SECOND_US)
+    merges = ("lists",)
 
     def result(self, of):
         if not t.numeric(of):
@@ -343,8 +402,13 @@ class ExpDecaySum(Spec):
         return [F.collect_list(F.when(live & _q(self.of).isNotNull(), F.struct(rank.getField("t").alias("t"), _q(self.of).cast("double").alias("v"))))]
 
     def finish(self, parts, at):
-        age = lambda x: (at - x["t"]).cast("double") / SECOND_US
-        return F.aggregate(parts[0], F.lit(0.0), lambda a, x: a + F.when(age(x) * self.rate < 25, x["v"] * F.exp(-age(x) * self.rate)).otherwise(0.0))
+        factor = lambda x: F.exp((x["t"] - at).cast("double") / SECOND_US * self.rate)
+        side = lambda keep: F.aggregate(F.filter(parts[0], keep), F.lit(0.0), lambda a, x: a + F.abs(x["v"]) * factor(x))
+        return self.told(side(lambda x: x["v"] > 0), side(lambda x: x["v"] < 0))
+
+    def told(self, gains: Column, losses: Column) -> Column:
+        """The sum from the decayed sums of the positive and of the negative values, each of which counts as nothing once it is at most NOTHING."""
+        return F.when(gains > NOTHING, gains).otherwise(0.0) - F.when(losses > NOTHING, losses).otherwise(0.0)
 
     def decay(self, value: Column, since_us: Column) -> Column:
         """The sum after so much time without a change."""
@@ -367,10 +431,7 @@ def _until(window: Any, start: Column, valid_to: Column | None) -> Column:
 
 def _reach(s: Spec) -> int | None:
     """How long after its time a row may still count; None for ever."""
-    reach = s.window.us + SECOND_US if s.window.us is not None else None
-    if isinstance(s, ExpDecaySum):
-        reach = min(reach, s.reach_us) if reach is not None else s.reach_us
-    return reach
+    return s.window.us + SECOND_US if s.window.us is not None else None
 
 
 def _bounded_list(s: Spec, both: DataFrame, keys: list[str], has_end: bool) -> tuple[DataFrame, Column] | None:
@@ -405,16 +466,60 @@ def run_up(deltas: DataFrame, keys: list[str], columns: list[str], bucket_us: in
     return deltas.join(carried, [*keys, "_b"]).select(*keys, "_t", *((F.sum(c).over(within) + F.col(f"{c}_c")).alias(c) for c in columns))
 
 
+def _decayed(rows: DataFrame, keys: list[str], s: ExpDecaySum, end: Column, asked: DataFrame, kind: Any) -> DataFrame:
+    """keys, _t and the decayed sum at the times asked for (distinct keys and _t).
+
+    Time is cut into stretches of a hundred mean lives. A row adds its value, brought to the end of the stretch it is in, and
+    its end takes it away again, brought to the end of that stretch; run up within the stretch, this gives the sum at any
+    time of it. What earlier stretches leave is summed over eight of them: beyond that, a factor of exp(-800) makes
+    nothing of any sum of doubles.
+    """
+    life_us = SECOND_US / s.rate
+    stretch = max(1, int(100 * life_us))
+    width = min(BUCKET_US, stretch)
+    no = lambda c: F.floor(c / F.lit(stretch))
+    value = _q(s.of).cast("double")
+    brought = lambda at: F.exp((F.col("_t") - (no(at) + 1) * F.lit(stretch)).cast("double") / F.lit(life_us))
+    side = lambda c, at, sign: F.when(c > 0, c * brought(at) * sign).otherwise(0.0)
+    moves = F.array(*(F.struct(at.alias("_t"), side(value, at, sign).alias("_gain"), side(-value, at, sign).alias("_loss")) for at, sign in ((F.col("_t"), 1.0), (end, -1.0))))
+    deltas = rows.where(value.isNotNull()).select(*keys, F.explode(moves).alias("_e")).select(*keys, "_e.*").where("_t IS NOT NULL")
+    columns = ["_gain", "_loss"]
+    deltas = deltas.unionByName(asked.withColumn("_asked", F.lit(True)), allowMissingColumns=True)
+    deltas = deltas.groupBy(*keys, "_t").agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in columns), F.max("_asked").alias("_asked")).withColumn("_n", no(F.col("_t")))
+    summed = run_up(deltas, [*keys, "_n"], columns, width)
+    totals = deltas.groupBy(*keys, "_n").agg(*(F.sum(c).alias(c) for c in columns))
+    before = Window.partitionBy(*keys).orderBy("_n").rangeBetween(-9, -1)
+    earlier = lambda c: F.collect_list(F.struct("_n", F.col(c).alias("s"))).over(before)
+    left = [F.aggregate(earlier(c), F.lit(0.0), lambda a, x: a + x["s"] * F.exp((x["_n"] + 1 - F.col("_n")).cast("double") * 100.0)) for c in columns]
+    carried = totals.select(*keys, "_n", *(x.alias(f"{c}_c") for x, c in zip(left, columns, strict=True)))
+    met = summed.join(carried, [*keys, "_n"]).join(asked, [*keys, "_t"], "left_semi")
+    start = F.col("_n") * F.lit(stretch)
+    since = lambda at: (at - F.col("_t")).cast("double") / F.lit(life_us)
+    now = [F.col(c) * F.exp(since(start + F.lit(stretch))) + F.col(f"{c}_c") * F.exp(since(start)) for c in columns]
+    return met.select(*keys, "_t", s.told(*now).cast(kind).alias(s.into_field))
+
+
+def _first_seen(rows: DataFrame, keys: list[str], s: Count, end: Column, column: str) -> DataFrame:
+    """Changes of a unique count: +1 at a row of a value, -1 at the value's next row or where the row's life ends."""
+    seen = rows.where(_q(s.of).isNotNull()) if s.dropnull else rows
+    seen = seen.select(*keys, F.struct(_q(s.of).alias("v")).alias("_v"), "_t").distinct()
+    ahead = next_time(seen, [*keys, "_v"], "_t", "_nx").withColumn("_until", F.least(F.col("_nx"), end))
+    moves = F.array(F.struct(F.col("_t").alias("_t"), F.lit(1).cast("bigint").alias(column)), F.struct(F.col("_until").alias("_t"), F.lit(-1).cast("bigint").alias(column)))
+    return ahead.select(*keys, F.explode(moves).alias("_e")).select(*keys, "_e.*").where("_t IS NOT NULL")
+
+
 def _continuous(rows: DataFrame, keys: list[str], specs: list[Spec], types: dict[str, t.DType], points: DataFrame | None) -> DataFrame:
     """Values of specs at each change (points None), or at points (keys, _t). rows has _t, _end, _o and columns."""
-    fast = [s for s in specs if s.invertible]
-    slow = [s for s in specs if not s.invertible]
     has_end = "_end" in rows.columns
+    fast = [s for s in specs if s.invertible]
+    uniques = [s for s in specs if isinstance(s, Count) and s.unique and not has_end]
+    decays = [s for s in specs if isinstance(s, ExpDecaySum)]
+    slow = [s for s in specs if s not in fast and s not in uniques and s not in decays]
     end_of = lambda s: _until(s.window, F.col("_t"), F.col("_end") if has_end else None)
     windows = list({s.window: None for s in specs})
     moments = F.array(F.col("_t"), *(end_of(s) for s in {w: next(x for x in specs if x.window == w) for w in windows}.values()))
     parts = []
-    if fast:
+    if fast or uniques:
         columns, made = [], []
         for i, s in enumerate(fast):
             for j, d in enumerate(s.deltas()):
@@ -427,11 +532,15 @@ def _continuous(rows: DataFrame, keys: list[str], specs: list[Spec], types: dict
                 events.append(
                     F.struct(at.alias("_t"), *((d if sign > 0 else -d).alias(c) if s.window == w else (d * 0).alias(c) for s, c, d in made))
                 )
-        deltas = rows.select(*keys, F.explode(F.array(*events)).alias("_e")).select(*keys, "_e.*").where("_t IS NOT NULL")
-        if points is None and slow:
-            deltas = deltas.unionByName(rows.select(*keys, F.explode(moments).alias("_t")).where("_t IS NOT NULL").distinct(), allowMissingColumns=True)
+        changes = [rows.select(*keys, F.explode(F.array(*events)).alias("_e")).select(*keys, "_e.*").where("_t IS NOT NULL")] if fast else []
+        for i, s in enumerate(uniques):
+            changes.append(_first_seen(rows, keys, s, end_of(s), f"_u{i}"))
+            columns.append(f"_u{i}")
+        if points is None and (slow or decays or uniques):
+            changes.append(rows.select(*keys, F.explode(moments).alias("_t")).where("_t IS NOT NULL").distinct())
         if points is not None:
-            deltas = deltas.unionByName(points.select(*keys, "_t").distinct().withColumn("_asked", F.lit(True)), allowMissingColumns=True)
+            changes.append(points.select(*keys, "_t").distinct().withColumn("_asked", F.lit(True)))
+        deltas = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), changes)
         asked = [F.max("_asked").alias("_asked")] if points is not None else []
         deltas = deltas.groupBy(*keys, "_t").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns), *asked)
         summed = run_up(deltas, keys, columns)
@@ -442,7 +551,11 @@ def _continuous(rows: DataFrame, keys: list[str], specs: list[Spec], types: dict
             n = len(s.deltas())
             kind = t.required(s.result(types.get(s.of))).spark()
             out.append(s.run_up([F.col(f"_s{i}_{j}") for j in range(n)]).cast(kind).alias(s.into_field))
+        out += [F.col(f"_u{i}").cast("bigint").alias(s.into_field) for i, s in enumerate(uniques)]
         parts.append(summed.select(*keys, "_t", *out))
+    if decays:
+        asked = points.select(*keys, "_t").distinct() if points is not None else rows.select(*keys, F.explode(moments).alias("_t")).where("_t IS NOT NULL").distinct()
+        parts += [_decayed(rows, keys, s, end_of(s), asked, t.Float.spark()) for s in decays]
     if slow:
         used = list(dict.fromkeys(s.of for s in slow))
         base = rows.select(*keys, "_t", "_o", *(["_end"] if has_end else []), *map(_q, used), F.lit(True).alias("_row"))
@@ -504,7 +617,7 @@ def _of_list(s: Spec, rows: Column) -> Column:
         square = F.aggregate(known, F.lit(0.0), lambda a, v: a + F.pow(v.cast("double") - mean, F.lit(2.0)))
         return s.finish([F.sqrt(F.try_divide(square, n.cast("double")))], F.col("_t"))
     if isinstance(s, Quantile):
-        return Quantile(s.of, s.window, s.into_field, s.p, s.default).finish([F.transform(known, lambda v: v.cast("double"))], F.col("_t"))
+        return Quantile(s.of, t.Continuous("1d"), s.into_field, s.p, s.default).finish([F.transform(known, lambda v: v.cast("double"))], F.col("_t"))
     if isinstance(s, Distinct):
         return F.sort_array(F.array_distinct(known if s.dropnull else values))
     if isinstance(s, LastK):
@@ -549,7 +662,8 @@ def _discrete(rows: DataFrame, keys: list[str], specs: list[Spec], types: dict[s
         return df.select(*keys, "_t", *out)
 
     if isinstance(window, t.Session):
-        sessions = rows.groupBy(*keys, F.session_window(F.timestamp_micros("_t"), f"{window.gap_us} microseconds")).agg(F.max("_t").alias("_last"), *aggregates)
+        numbered = number_sessions(rows, keys, "_t", window.gap_us, False, "_no")
+        sessions = numbered.groupBy(*keys, "_no").agg(F.max("_t").alias("_last"), *aggregates)
         return finished(sessions.withColumn("_t", F.col("_last") + 1))
     frontier = rows.agg(F.max("_t") - window.lookback_us).scalar()
     if window.us is None:
@@ -559,14 +673,35 @@ def _discrete(rows: DataFrame, keys: list[str], specs: list[Spec], types: dict[s
         moved = ends.select(*keys, F.col("_at").alias("_t"), "_o", *map(_q, used))
         values = _continuous(moved, keys, [_with_window(s, t.Continuous()) for s in specs], types, None)
         return values.where(F.col("_t") <= frontier)
-    ended = rows.withColumn("_at", F.explode(window_ends(F.col("_t"), window)))
-    values = finished(ended.groupBy(*keys, "_at").agg(*aggregates).withColumnRenamed("_at", "_t"))
+    if window.us == window.stride_us:
+        ended = rows.withColumn("_at", F.element_at(window_ends(F.col("_t"), window), 1))
+        values = finished(ended.groupBy(*keys, "_at").agg(*aggregates).withColumnRenamed("_at", "_t"))
+    else:
+        values = _from_panes(rows, keys, specs, types, window)
     values = values.where(F.col("_t") <= frontier)
     over = values.select(*keys, (F.col("_t") + window.stride_us).alias("_t")).where(F.col("_t") <= frontier).join(values.select(*keys, "_t"), [*keys, "_t"], "left_anti")
     empties = over.select(*keys, "_t", *(s.empty(types.get(s.of)).cast(t.required(s.result(types.get(s.of))).spark()).alias(s.into_field) for s in specs))
     return values.unionByName(empties)
 
 
+def _from_panes(rows: DataFrame, keys: list[str], specs: list[Spec], types: dict[str, t.DType], window: Any) -> DataFrame:
+    """Values of hopping windows. Rows are aggregated to panes between neighbouring borders of windows (ends and starts), so
+    not rows but panes, with what is left of their rows, are copied to the windows they are in."""
+    rank = F.struct(F.col("_t").alias("t"), F.col("_o").alias("o"))
+    names = [[f"_p{i}_{j}" for j in range(len(s.merges))] for i, s in enumerate(specs)]
+    # rows that agree in the earliest and in the latest window they are in agree in all
+    first = (F.floor((F.col("_t") - F.lit(window.us)) / F.lit(window.stride_us)) + 1).alias("_e1")
+    panes = rows.groupBy(*keys, first, F.floor(F.col("_t") / F.lit(window.stride_us)).alias("_e2")).agg(
+        F.min("_t").alias("_t"), *(p.alias(n) for s, ns in zip(specs, names, strict=True) for p, n in zip(s.pane(F.lit(True), rank), ns, strict=True))
+    )
+    spread = panes.withColumn("_at", F.explode(window_ends(F.col("_t"), window))).drop("_t", "_e1", "_e2")
+    how = {"sum": F.sum, "min": F.min, "max": F.max, "lists": lambda c: F.flatten(F.collect_list(c)), "sets": lambda c: F.array_distinct(F.flatten(F.collect_list(c)))}
+    merged = spread.groupBy(*keys, "_at").agg(*(how[m](n).alias(n) for s, ns in zip(specs, names, strict=True) for m, n in zip(s.merges, ns, strict=True)))
+    merged = merged.withColumnRenamed("_at", "_t")
+    out = [s.merged([F.col(n) for n in ns], F.col("_t")).cast(t.required(s.result(types.get(s.of))).spark()).alias(s.into_field) for s, ns in zip(specs, names, strict=True)]
+    return merged.select(*keys, "_t", *out)
+
+
 def _with_window(s: Spec, window: Any) -> Spec:
     from dataclasses import replace
 
@@ -615,9 +750,8 @@ def aggregate(
                     empty = s.empty(types.get(s.of)).cast(t.required(s.result(types.get(s.of))).spark())
                     columns.append(F.when(F.col(pack).isNotNull(), F.col(pack)[s.into_field]).otherwise(empty).alias(s.into_field))
             values = filled.select(*keys, "_t", *columns).select(*keys, "_t", *fields)
-    history = Window.partitionBy(*map(_q, keys)).orderBy("_t")
-    return values.select(
-        *map(_q, keys), F.timestamp_micros("_t").alias(ts), *(_q(s.into_field) for s in specs), F.timestamp_micros(F.lead("_t").over(history)).alias(VALID_TO)
+    return next_time(values, keys, "_t", "_nx", max(BUCKET_US, 8 * max(getattr(s.window, "stride_us", 0) or 0 for s in specs))).select(
+        *map(_q, keys), F.timestamp_micros("_t").alias(ts), *(_q(s.into_field) for s in specs), F.timestamp_micros("_nx").alias(VALID_TO)
     )
 
 
@@ -647,8 +781,7 @@ def aggregate_windows(
     if isinstance(window, t.Session):
         rank = F.struct(F.col("_t").alias("t"), F.col("_o").alias("o"))
         parts = [[p.alias(f"_p{i}_{j}") for j, p in enumerate(s.parts(F.lit(True), rank))] for i, s in enumerate(specs)]
-        sessions = F.session_window(F.timestamp_micros("_t"), f"{window.gap_us} microseconds").alias("_w")
-        values = rows.groupBy(*keys, sessions).agg(F.min("_t").alias("_a"), (F.max("_t") + 1).alias("_z"), *(p for ps in parts for p in ps))
+        values = number_sessions(rows, keys, "_t", window.gap_us, False, "_no").groupBy(*keys, "_no").agg(F.min("_t").alias("_a"), (F.max("_t") + 1).alias("_z"), *(p for ps in parts for p in ps))
         out = [
             s.finish([F.col(f"_p{i}_{j}") for j in range(len(parts[i]))], F.col("_z")).cast(t.required(s.result(types.get(s.of))).spark()).alias(s.into_field) for i, s in enumerate(specs)
         ]

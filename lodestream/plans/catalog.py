@@ -429,7 +429,7 @@ def agg_distinct_unique(spark, sf_dir):
     return _joined(node(n, spark, sf_dir).drop("_valid_to"), "kinds")
 
 
-@query(_live_sql("round(coalesce(sum(CASE WHEN (m.us - e.us) / 1e6 * ln(2) / 86400 < 25 THEN value * exp(-(m.us - e.us) / 1e6 * ln(2) / 86400) END), 0), 6) AS decayed", None))
+@query(_live_sql("round(coalesce(sum(value * exp(-(m.us - e.us) / 1e6 * ln(2) / 86400)), 0), 6) AS decayed", None))
 def agg_exp_decay(spark, sf_dir):
     n = Events.groupby("user_id").aggregate(decayed=agg.ExpDecaySum("value", half_life="1d"))
     return _rounded(node(n, spark, sf_dir).drop("_valid_to"), "decayed")
