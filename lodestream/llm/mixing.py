@@ -6,14 +6,14 @@ size. The whole part of that number is certain; the fractions are settled in pai
 drawn so that both keep their expectations. The mass moved is counted in tokens, so the source's total does not
 change at all until its very last open document is rounded: the shares come out exact to one document.
 
-Pairing goes on along a reduction tree: first within groups of documents, each of which leaves at most one document
-open, then among the documents left open, group by group of groups, until a source has a single one.
+Pairing goes on along a reduction tree: first within groups of about group_size documents, all pairs of a group at once,
+then the pairs of those left open, until at most one document of the group is; then among the documents left open, group
+by group of groups, until a source has a single one.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,57 +25,46 @@ from lodestream.runtime import staged
 _ROW = "source string, node bigint, doc_id bigint, n_tokens bigint, copies bigint, mass double"
 
 
-def pivot(size_a: int, mass_a: float, size_b: int, mass_b: float, draw: float) -> tuple[float, float]:
-    """Masses after one step: their sum is kept, their expectations too, and one of them is 0 or the size."""
-    up = min(size_a - mass_a, mass_b)  # a gains, b loses
-    down = min(mass_a, size_b - mass_b)
-    if draw * (up + down) < down:
-        return (float(size_a) if up == size_a - mass_a else mass_a + up, 0.0 if up == mass_b else mass_b - up)
-    return (0.0 if down == mass_a else mass_a - down, float(size_b) if down == size_b - mass_b else mass_b + down)
-
-
-def _rounds(seed: int, last: bool):
-    """Over rows sorted by (source, node, doc_id): settled documents with null mass, and one open one per node at most."""
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = held = rng = None
-
-        def closed(row: tuple) -> tuple:
-            source, node, doc, size, copies, mass = row
-            if last and 0 < mass < size:  # the source's last open document
-                mass = float(size) if rng.random() * size < mass else 0.0
-            return (source, node, doc, size, copies + (mass >= size), None) if mass <= 0 or mass >= size else (source, node, doc, size, copies, mass)
-
-        for batch in batches:
-            out = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:2] != key:
-                    if held is not None:
-                        out.append(closed(held))
-                    key, held = row[:2], None
-                    rng = np.random.default_rng([seed, zlib.crc32(row[0].encode()), row[1]])
-                if row[5] is None or not 0 < row[5] < row[3]:
-                    out.append(closed(row[:5] + (row[5] or 0.0,)))
-                elif held is None:
-                    held = row
-                else:
-                    a, b = pivot(held[3], held[5], row[3], row[5], rng.random())
-                    one, two = held[:5] + (a,), row[:5] + (b,)
-                    still = [r for r in (one, two) if 0 < r[5] < r[3]]
-                    out += [closed(r) for r in (one, two) if not 0 < r[5] < r[3]]
-                    held = still[0] if still else None
-            if out:
-                yield _batch(out)
-        if held is not None:
-            yield _batch([closed(held)])
+#: The target is read by the driver, a row per source; more rows than this are refused.
+MOST_SOURCES = 100_000
 
-    return over
+
+def pivot(size_a, mass_a, size_b, mass_b, draw):
+    """Masses after one step, of numbers or arrays: their sum is kept, their expectations too, and one of them is 0 or the size."""
+    up = np.minimum(size_a - mass_a, mass_b)  # a gains, b loses
+    down = np.minimum(mass_a, size_b - mass_b)
+    gains = draw * (up + down) < down
+    a = np.where(gains, np.where(up == size_a - mass_a, size_a, mass_a + up), np.where(down == mass_a, 0.0, mass_a - down))
+    b = np.where(gains, np.where(up == mass_b, 0.0, mass_b - up), np.where(down == size_b - mass_b, size_b, mass_b + down))
+    return a, b
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-    names = ["source", "node", "doc_id", "n_tokens", "copies", "mass"]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+def _settle(seed: int, last: bool):
+    """The documents of a node: settled ones with null mass, and at most one that is still open (none, if last).
+
+    Open documents are paired with their neighbours, all pairs at once; those left open are paired again, and so on.
+    """
+
+    def over(key: tuple, rows: pa.Table) -> pa.Table:
+        source, node = (k.as_py() for k in key)
+        rows = rows.sort_by([("doc_id", "ascending"), ("n_tokens", "ascending")])
+        size, copies, mass = (rows[c].to_numpy() for c in ("n_tokens", "copies", "mass"))
+        mass = mass.copy()
+        rng = np.random.default_rng([seed, zlib.crc32(source.encode()), node])
+        opened = np.flatnonzero((mass > 0) & (mass < size))
+        while len(opened) > 1:
+            pairs = len(opened) // 2
+            one, two, odd = opened[0 : 2 * pairs : 2], opened[1 : 2 * pairs : 2], opened[2 * pairs :]
+            mass[one], mass[two] = pivot(size[one], mass[one], size[two], mass[two], rng.random(pairs))
+            opened = np.concatenate([one, two, odd])
+            opened = np.sort(opened[(mass[opened] > 0) & (mass[opened] < size[opened])])
+        if last and len(opened):  # the source's last open document
+            mass[opened] = np.where(rng.random(1) * size[opened] < mass[opened], size[opened], 0.0)
+        done = (mass <= 0) | (mass >= size)
+        kept = rows.select(["source", "node", "doc_id", "n_tokens"])
+        return kept.append_column("copies", pa.array(copies + (mass >= size))).append_column("mass", pa.array(mass, mask=done))
+
+    return over
 
 
 def _targets(target: DataFrame) -> DataFrame:
@@ -93,7 +82,9 @@ def plan(sizes: DataFrame, target: DataFrame, total_tokens: int | None = None) -
     With it, each source gives its weight of it or all it may. One row per source of the target is collected.
     """
     have = sizes.where("n_tokens > 0").groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"))
-    rows = [r.asDict() for r in _targets(target).join(have, "source", "left").collect()]
+    rows = [r.asDict() for r in _targets(target).join(have, "source", "left").limit(MOST_SOURCES + 1).collect()]
+    if len(rows) > MOST_SOURCES:
+        raise ValueError(f"a target has at most {MOST_SOURCES} sources")
     for r in rows:
         r["tokens"], r["documents"] = r["tokens"] or 0, r["documents"] or 0
         r["most"] = r["tokens"] * r["max_repeats"]
@@ -116,14 +107,14 @@ def mix(sizes: DataFrame, target: DataFrame, total_tokens: int | None = None, se
     greatest weight and repeats count; null max_repeats is 1; empty tables give an empty mixture.
     """
     spark = sizes.sparkSession
-    sizes = staged(sizes.select("doc_id", "source", "n_tokens"), "sizes")  # what made them is not made again at each level
+    sizes = staged(sizes.select("doc_id", "source", "n_tokens"), "sizes")  # what made them is not made again for the plan and the levels
     plans = [p for p in plan(sizes, target, total_tokens) if p["rate"] > 0]
     rates = spark.createDataFrame([(p["source"], p["rate"], max(1, -(-p["documents"] // group_size))) for p in plans], "source string, rate double, nodes bigint")
     nodes = max((-(-p["documents"] // group_size) for p in plans), default=1)
     start = (
         sizes.where("n_tokens > 0")
         .select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", F.col("n_tokens").cast("bigint").alias("n_tokens"))
-        .join(F.broadcast(rates), "source")  # one row per target source
+        .join(F.broadcast(rates), "source")  # one row per target source, of which there are at most MOST_SOURCES
         .select(
             "source",
             F.pmod(F.xxhash64("doc_id"), "nodes").alias("node"),
@@ -136,7 +127,7 @@ def mix(sizes: DataFrame, target: DataFrame, total_tokens: int | None = None, se
     settled, level = [], 0
     while True:
         last = nodes == 1
-        rows = start.repartition("source", "node").sortWithinPartitions("source", "node", "doc_id").mapInArrow(_rounds(seed + level, last), _ROW)
+        rows = start.groupBy("source", "node").applyInArrow(_settle(seed + level, last), _ROW)
         done = staged(rows, f"mix-{level}")
         settled.append(done.where("mass IS NULL"))
         if last:

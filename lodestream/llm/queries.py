@@ -69,8 +69,7 @@ def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").where("source IS NOT NULL")
-    sizes = documents.select("doc_id", "source").join(bpe.count_tokens(documents), "doc_id")
-    return mixing.mix(sizes, table(spark, sf_dir, "mix_target"))
+    return mixing.mix(bpe.count_tokens(documents, keep=["source"]), table(spark, sf_dir, "mix_target"))
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
