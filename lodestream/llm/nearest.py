@@ -8,8 +8,9 @@ Entities are cut into time chunks, and right rows are given to every chunk withi
 with a third of all rows is many small groups. Chunks are hashed into buckets, and each bucket's buffers are one state value that
 is matched with array operations; a state value per entity would spend its time on calls.
 
-A table at rest is replayed in order of event time: it is staged in time slices, each arriving as one micro-batch,
-so disorder in the table costs neither lateness nor rows, and the state holds one slice and the tolerance.
+A table at rest is replayed in order of event time: it is staged once in time slices, a folder each, and these arrive one
+after the other, each as one micro-batch of one query. So disorder in the table costs neither lateness nor rows, rows come out
+while later slices still wait, and the state holds one slice and the tolerance. A table of any size has several slices.
 """
 
 from __future__ import annotations
@@ -25,11 +26,18 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestream.runtime import micros, shared_path
 from lodestream.streaming.entity_features import STATE_CONF
-from lodestream.streaming.files import delete
+from lodestream.streaming.files import delete, folders, move
+from lodestream.streaming.runner import CENTURY_US, END_US
 
 HOUR_US = 3_600_000_000
-DAY_MS = 86_400_000
-NEVER, ALWAYS = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+ALWAYS = np.iinfo(np.int64).max
+#: Slices of a replay: at least and at most.
+FEWEST, MOST = 4, 256
+#: Beyond so many rows the slices are gathered by a shuffle, since every task would write a file for each.
+GATHERED = 500_000_000
+#: The side of a row that closes a stream.
+CLOSING = 2
+_PAIRS = "left_id string, right_id string, gap_us bigint"
 _STAGED = "entity string, chunk bigint, at bigint, side int, id string"
 
 
@@ -75,8 +83,8 @@ def _unpack(held: bytes) -> tuple[pd.DataFrame, pd.DataFrame]:
     return both.loc[both["side"] == 0, names], both.loc[both["side"] == 1, names]
 
 
-def _join(tolerance: int, chunk_us: int, keep_unmatched: bool, cuts: list[int] | None):
-    """The stateful operator. The watermark is a time; or, if cuts are given, the number of slices that have come, in days."""
+def _join(tolerance: int, chunk_us: int, keep_unmatched: bool):
+    """The stateful operator. The watermark is a time, a century later than it is (see runner)."""
     names = ["entity", "chunk", "at", "id"]
 
     def over(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -86,11 +94,7 @@ def _join(tolerance: int, chunk_us: int, keep_unmatched: bool, cuts: list[int] |
         left = pd.concat([h[0] for h in held], ignore_index=True) if held else pd.DataFrame(columns=names)
         right = pd.concat([h[1] for h in held], ignore_index=True) if held else pd.DataFrame(columns=names)
         now = state.getCurrentWatermarkMs()
-        if cuts is None:
-            mark = now * 1000
-        else:
-            done = now // DAY_MS
-            mark = NEVER + tolerance if done == 0 else cuts[done - 1] if done <= len(cuts) else ALWAYS
+        mark = ALWAYS if now * 1000 >= END_US else now * 1000 - CENTURY_US
         ready = (left["at"] < mark - tolerance).to_numpy(bool)
         if ready.any():
             right = right.sort_values(["entity", "chunk", "at", "id"], ignore_index=True)
@@ -113,29 +117,24 @@ def _join(tolerance: int, chunk_us: int, keep_unmatched: bool, cuts: list[int] |
             return
         state.update((_pack(left, right),))
         wake = int(left["at"].min() if len(left) else right["at"].max()) + tolerance
-        state.setTimeoutTimestamp(max(wake // 1000 + 2, now + 1) if cuts is None else now + 1)
+        state.setTimeoutTimestamp(max(min((wake + CENTURY_US) // 1000 + 2, END_US // 1000), now + 1))
 
     return over
 
 
-def join_stream(
-    staged: DataFrame, tolerance_us: int, chunk_us: int, buckets: int, lateness: str = "0 seconds", keep_unmatched: bool = False, cuts: list[int] | None = None
-) -> DataFrame:
+def join_stream(staged: DataFrame, tolerance_us: int, chunk_us: int, buckets: int, lateness: str = "0 seconds", keep_unmatched: bool = False) -> DataFrame:
     """The streaming join over a stream of staged rows: left_id, right_id, gap_us (right minus left time).
 
-    Event time is the rows' own; or, if cuts are given, the number of the slice between cuts that a row is in.
+    A row of side CLOSING lets all that waits go.
     """
-    if cuts is None:
-        ts = F.timestamp_micros("at")
-    else:
-        ts = F.timestamp_seconds((F.lit(1) + sum((F.when(F.col("at") >= c, 1).otherwise(0) for c in cuts), F.lit(0))) * 86_400)
+    mark = F.when(F.col("side") == CLOSING, F.lit(END_US + HOUR_US)).otherwise(F.greatest(F.lit(1), F.least(F.col("at") + CENTURY_US, F.lit(END_US - 1))))
     return (
-        staged.withColumn("ts", ts)
+        staged.withColumn("ts", F.timestamp_micros(mark))
         .withWatermark("ts", lateness)
         .withColumn("bucket", F.pmod(F.xxhash64("entity", "chunk"), F.lit(buckets)).cast("int"))
         .groupBy("bucket")
         .applyInPandasWithState(
-            _join(tolerance_us, chunk_us, keep_unmatched, cuts), "left_id string, right_id string, gap_us bigint", "held binary", "append", GroupStateTimeout.EventTimeTimeout
+            _join(tolerance_us, chunk_us, keep_unmatched), _PAIRS, "held binary", "append", GroupStateTimeout.EventTimeTimeout
         )
     )
 
@@ -163,12 +162,14 @@ def nearest_in_time(
     rows_per_slice: int = 50_000_000,
     rows_per_bucket: int = 4_000,
     keep_unmatched: bool = False,
+    report: list[int] | None = None,
 ) -> DataFrame:
     """left_id, right_id and gap_us of each left row and its nearest right row of the same entity.
 
     At most tolerance_us apart, limit included; of equally near right rows the earlier, then the lower id (as
-    text). The result is whole: the tables are replayed in event-time slices of about rows_per_slice rows, so no
-    row is late. Chunks are at least the tolerance long, so a right row is in three at most. Defined results: rows with null entity, time or id take no part; equal left rows give equal result
+    text). The result is whole: the tables are replayed in event-time slices of about rows_per_slice rows (at least FEWEST
+    and at most MOST slices), so no row is late. Chunks are at least the tolerance long, so a right row is in three at most. report gets
+    the number of rows that have come out after each slice. Defined results: rows with null entity, time or id take no part; equal left rows give equal result
     rows once each; left rows without partner give no row, or one with nulls if keep_unmatched; empty tables give an
     empty result (or the unmatched left rows); other columns are ignored, whatever their names.
     """
@@ -181,33 +182,48 @@ def nearest_in_time(
         session.conf.set(key, value)
     session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     session.conf.set("spark.sql.session.timeZone", "UTC")
+    session.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # the next slice's batch lets go what is ready
     work = shared_path(spark, "nearest")
     both = side_rows(left, entity, left_time, left_id, 0, tolerance_us, chunk_us).unionByName(side_rows(right, entity, right_time, right_id, 1, tolerance_us, chunk_us))
-    both.write.option("compression", "zstd").parquet(f"{work}/rows")
-    rows = session.read.schema(_STAGED).parquet(f"{work}/rows")
-    n = rows.count()  # from the files' footers
-    slices = -(-n // rows_per_slice) or 1
-    inbox, out = f"{work}/rows", f"{work}/pairs"
-    cuts = rows.selectExpr(f"percentile_approx(at, array({', '.join(str(k / slices) for k in range(1, slices))}), 10000) c").first()["c"] if slices > 1 else []
-    if cuts:
-        inbox = f"{work}/inbox"
-    buckets = min(1 << 16, max(32, n // rows_per_bucket // slices))
-    cuts = sorted(set(cuts))
-    for k in range(len(cuts) + 1):
-        if cuts:
-            low, high = (cuts[k - 1] if k else None), (cuts[k] if k < len(cuts) else None)
-            part = rows.where(" AND ".join([*([f"at >= {low}"] if low is not None else []), *([f"at < {high}"] if high is not None else [])]))
-            part.write.mode("append").option("compression", "zstd").parquet(inbox)
-        query = (
-            join_stream(session.readStream.schema(_STAGED).parquet(inbox), tolerance_us, chunk_us, buckets, keep_unmatched=keep_unmatched, cuts=cuts)
-            .writeStream.format("parquet")
-            .outputMode("append")
-            .option("path", out)
-            .option("checkpointLocation", f"{work}/checkpoint")
-            .trigger(availableNow=True)
-            .start()
-        )
-        query.awaitTermination()
-    for part in {"rows", "inbox", "checkpoint"}:
+    cuts, n = _cuts([(left, left_time), (right, right_time)], rows_per_slice)
+    slice_no = sum((F.when(F.col("at") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+    sliced = both.withColumn("slice", slice_no)
+    if n > GATHERED:
+        sliced = sliced.repartition("slice", F.pmod(F.xxhash64("entity", "chunk"), F.lit(-(-n // (MOST * 1_000_000)))))
+    sliced.write.partitionBy("slice").option("compression", "zstd").parquet(f"{work}/rows")
+    inbox, out = f"{work}/inbox", f"{work}/pairs"
+    closing = session.createDataFrame([(None, None, None, CLOSING, None)], _STAGED)
+    for k in (1, 2):  # the first ends event time, and in the batch of the second all that waits goes
+        closing.write.parquet(f"{work}/closing{k}")
+    closing.limit(0).write.parquet(f"{inbox}/none")
+    buckets = min(1 << 16, max(32, n // rows_per_bucket // (len(cuts) + 1)))
+    stream = session.readStream.schema(_STAGED).option("recursiveFileLookup", "true").parquet(inbox)
+    query = (
+        join_stream(stream, tolerance_us, chunk_us, buckets, keep_unmatched=keep_unmatched)
+        .writeStream.format("parquet")
+        .outputMode("append")
+        .option("path", out)
+        .option("checkpointLocation", f"{work}/checkpoint")
+        .start()
+    )
+    try:
+        slices = sorted(folders(spark, f"{work}/rows"), key=lambda name: int(name.split("=")[1]))
+        for came in [*(f"rows/{name}" for name in slices), "closing1", "closing2"]:
+            move(spark, f"{work}/{came}", f"{inbox}/{came.split('=')[-1]}")
+            query.processAllAvailable()
+            if report is not None:
+                report.append(spark.read.schema(_PAIRS).parquet(out).count())
+    finally:
+        query.stop()
+    for part in ("rows", "inbox", "checkpoint"):
         delete(spark, f"{work}/{part}")  # the pairs are all that is needed from here
-    return spark.read.schema("left_id string, right_id string, gap_us bigint").parquet(out).distinct()
+    return spark.read.schema(_PAIRS).parquet(out).distinct()
+
+
+def _cuts(tables: list[tuple[DataFrame, str]], rows_per_slice: int) -> tuple[list[int], int]:
+    """Times between slices of about equal numbers of rows, from a sketch of both tables' times; and the number of rows."""
+    at = [rows.select(micros(rows, time).alias("at")) for rows, time in tables]
+    parts = ", ".join(str(k / MOST) for k in range(1, MOST))
+    found = at[0].unionByName(at[1]).where("at IS NOT NULL").selectExpr(f"percentile_approx(at, array({parts}), 10000) AS cuts", "count(*) AS n").first()
+    slices = min(MOST, max(FEWEST, -(-found["n"] // rows_per_slice)))
+    return sorted({found["cuts"][k * MOST // slices - 1] for k in range(1, slices)} if found["cuts"] else set()), found["n"]

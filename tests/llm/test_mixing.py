@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from lodestream.llm.mixing import mix, pivot, shares
+from lodestream.llm.mixing import _settle, mix, pivot, shares
 
 TARGET = [("a", 0.5, 1), ("b", 0.3, 4), ("c", 0.2, 3), ("none", 0.1, 2), (None, 0.5, 1), ("zero", 0.0, 1)]
 
@@ -40,13 +42,16 @@ def test_the_same_whatever_the_partitioning(spark):
     assert one != sorted(tuple(r) for r in mix(df, targets(spark), group_size=20, seed=2).collect())
 
 
-def test_expectations_are_kept(spark):
-    df = spark.createDataFrame([(i, "a", 1 + i) for i in range(20)], "doc_id bigint, source string, n_tokens bigint")
-    used = {}
-    for seed in range(60):
-        for r in mix(df, targets(spark, [("a", 1.0, 1)]), total_tokens=84, seed=seed).collect():
-            used[r.doc_id] = used.get(r.doc_id, 0) + r.copies
-    assert all(60 * 0.4 - 16 <= used.get(i, 0) <= 60 * 0.4 + 16 for i in range(20))
+def test_expectations_are_kept():
+    n = 20
+    rows = {"source": ["a"] * n, "node": [0] * n, "doc_id": list(range(n)), "n_tokens": list(range(1, n + 1)), "copies": [0] * n, "mass": [0.4 * i for i in range(1, n + 1)]}
+    used = np.zeros(n)
+    for seed in range(400):
+        out = _settle(seed, True)((pa.scalar("a"), pa.scalar(0)), pa.table(rows))
+        copies = out["copies"].to_numpy()
+        used += copies
+        assert out["mass"].null_count == n and abs((copies * out["n_tokens"].to_numpy()).sum() - 0.4 * 210) <= n
+    assert (abs(used / 400 - 0.4) < 0.12).all()
 
 
 def test_pivot_keeps_mass_and_settles_one():

@@ -42,6 +42,13 @@ def test_random_against_brute_force_in_any_chunks_and_slices(spark, how):
     assert found(spark, left, right, 20 * SEC, **how) == brute(left, right, 20 * SEC)
 
 
+def test_rows_come_out_while_later_slices_wait(spark):
+    left, right = sample(3, 100)
+    report = []
+    assert found(spark, left, right, 20 * SEC, report=report) == brute(left, right, 20 * SEC)
+    assert len(report) == 6 and 0 < report[1] < report[2] < report[3] < report[5], report  # four slices and two closing rows
+
+
 def test_a_tolerance_longer_than_a_chunk(spark):
     left, right = sample(1, 60)
     assert found(spark, left, right[::9], 500 * SEC, chunk_us=60 * SEC) == brute(left, right[::9], 500 * SEC)
