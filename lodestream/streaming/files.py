@@ -23,3 +23,15 @@ def exists(spark: SparkSession, path: str) -> bool:
 def delete(spark: SparkSession, path: str) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below a folder, without hidden ones."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop)
+    return [s.getPath().getName() for s in found if s.isDirectory() and s.getPath().getName()[0] not in "_."]
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration()).rename(hadoop(path), hadoop(to))
