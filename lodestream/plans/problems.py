@@ -213,9 +213,9 @@ vehicles AS (SELECT vehicle_id, p[2] AS lat, p[3] AS lon FROM v)
 
 
 def _cents(column: str) -> Column:
-    """Hundredths; null for NaN, infinities and what no amount can be."""
-    c = F.when(F.abs(column) < 1e15, F.col(column))
-    return F.round(c * 100).cast("long")
+    """Hundredths; null for NaN and infinities. Amounts beyond a bigint of hundredths raise."""
+    c = F.when(~F.isnan(column) & (F.abs(column) != F.lit(float("inf"))), F.col(column))
+    return F.when(F.abs(c * 100) >= F.lit(2.0**63), F.raise_error(F.lit(f"{column} is too large"))).otherwise(F.round(c * 100).cast("long"))
 
 
 def _trailing(spark: SparkSession, sf_dir: str) -> DataFrame:

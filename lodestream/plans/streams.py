@@ -55,12 +55,11 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last event of each user, upserted batch by batch."""
     out = UpsertTable(spark, f"{shared_path(spark, 'upsert')}/table", ["user_id"])
 
+    def latest(old: DataFrame | None, new: DataFrame) -> DataFrame:
+        return (new if old is None else old.unionByName(new)).groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("r")).select("user_id", "r.*")
+
     def batch(df: DataFrame, version: int) -> None:
-        columns = F.struct("ts", "event_id", "event_type")
-        new = df.groupBy("user_id").agg(F.max(columns).alias("r")).select("user_id", "r.*")
-        if version and out.last is not None:
-            new = new.unionByName(df.sparkSession.read.parquet(f"{out.path}/version={version - 1}")).groupBy("user_id").agg(F.max(columns).alias("r")).select("user_id", "r.*")
-        out.upsert(new, version)
+        out.merge(latest(None, df), version, latest)
 
     (
         _events(spark, sf_dir)

@@ -4,8 +4,7 @@ Two chained states, both checkpointed and both spread by hash over all tasks: th
 repeats count once, and per (entity, event type) the count, latest time and total. The counters are built with
 partial aggregation before their shuffle, so an entity with a third of all events is no burden to one task.
 After each micro-batch the counters that changed are folded into the entities' full rows, and these are upserted
-into a table in the shared folder, whose version n is batch n: a batch that is replayed after a failure writes the
-same version again.
+into a table in the shared folder, of which a batch reads and writes only the buckets its entities are in.
 """
 
 from __future__ import annotations
@@ -14,7 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.runtime import micros, shared_path, time_literal
-from lodestream.streaming.files import delete, exists, stream_table
+from lodestream.streaming.files import exists, read_text, stream_table, total_bytes, write_text
+from lodestream.streaming.tables import KeyedTable
+from lodestream.types import duration_us
 
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -33,39 +34,30 @@ def code(column: Column, missing: str = "NONE") -> Column:
 _FEATURE = "map<string, struct<n: bigint, latest_us: bigint, total: double>>"
 
 
-class FeatureTable:
-    """Versions of the feature table below a folder: entity string, features map by event type."""
+class FeatureTable(KeyedTable):
+    """Feature rows below a folder: entity string, features map by event type."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def at(self, version: int) -> str:
-        return f"{self.path}/version={version}"
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        super().__init__(spark, path, ["entity"], buckets)
 
     def upsert(self, changed: DataFrame, version: int) -> None:
         """Fold changed counters (entity, event_type, n, latest_us, total) into the table."""
-        session = changed.sparkSession
         new = changed.groupBy("entity").agg(
-            F.map_from_entries(F.collect_list(F.struct("event_type", F.struct("n", "latest_us", "total")))).alias("new")
+            F.map_from_entries(F.collect_list(F.struct("event_type", F.struct("n", "latest_us", "total")))).cast(_FEATURE).alias("new")
         )
-        rows = new.select("entity", F.col("new").cast(_FEATURE).alias("features"))
-        if version and exists(session, self.at(version - 1)):
-            old = session.read.parquet(self.at(version - 1))
-            rows = old.join(new, "entity", "full_outer").select(
-                "entity",
-                F.when(F.col("new").isNull(), F.col("features"))
-                .otherwise(F.map_concat(F.map_filter(F.coalesce("features", F.map_from_arrays(F.array(), F.array()).cast(_FEATURE)), lambda k, v: ~F.map_contains_key("new", k)), F.col("new")))
-                .cast(_FEATURE)
-                .alias("features"),
-            )
-        rows.write.mode("overwrite").parquet(self.at(version))
-        if version > 1:
-            delete(session, self.at(version - 2))
-
-    def read(self, version: int | None) -> DataFrame:
-        if version is None:
-            return self.spark.createDataFrame([], f"entity string, features {_FEATURE}")
-        return self.spark.read.parquet(self.at(version))
+        self.merge(new, version, self._folded)
+
+    @staticmethod
+    def _folded(old: DataFrame | None, new: DataFrame) -> DataFrame:
+        if old is None:
+            return new.select("entity", F.col("new").alias("features"))
+        kept = F.map_filter(F.coalesce("features", F.map_from_arrays(F.array(), F.array()).cast(_FEATURE)), lambda k, v: ~F.map_contains_key("new", k))
+        both = F.when(F.col("new").isNull(), F.col("features")).otherwise(F.map_concat(kept, F.col("new")))
+        return old.join(new, "entity", "full_outer").select("entity", both.cast(_FEATURE).alias("features"))
+
+    def now(self) -> DataFrame:
+        found = self.read()
+        return self.spark.createDataFrame([], f"entity string, features {_FEATURE}") if found is None else found
 
 
 def maintain_features(
@@ -77,20 +69,27 @@ def maintain_features(
     as_of_us: int | None = None,
     total: str | None = None,
     work_dir: str | None = None,
-    max_bytes: int = 2 << 30,
+    max_bytes: int = 64 << 30,
     max_files: int | None = None,
+    repeats_within: str | None = None,
+    buckets: int = 64,
 ) -> DataFrame:
     """entity and features, a map from event type to (n, latest_us, total), of the events in a parquet folder.
 
     Runs the stream over what has arrived and ends; called again with the same work_dir, it goes on from its
-    checkpoint with the files that are new. Only events before as_of_us count. max_bytes bounds a micro-batch
-    (or max_files, if given).
-
-    Defined results: rows with null entity or time take no part; a null type is a type of its own, as event_type
-    makes it; rows equal in entity, type and time are one event, of which the first received gives its total;
-    null totals add nothing; no events give an empty table.
+    checkpoint with the files that are new. Only events before as_of_us count; a work_dir is for one as_of_us, and another one
+    is refused, since events that were left out would be missing. A micro-batch takes max_bytes at most, and no
+    more than half of what there is (or max_files, if given). Every event ever seen is held in state, a key of some 50
+    bytes each on disk, unless repeats_within says how long after an event's time a repeat may come: then events are
+    forgotten after it, and later ones than that are dropped as late. The table lies in so many buckets.
+
+    Defined results: rows with null entity or time take no part; a null type is the type NONE; rows equal in entity, type and
+    time are one event, of which the first received gives its total; null totals add nothing; no events give an empty table.
     """
     work_dir = work_dir or shared_path(spark, "entity-features")
+    if exists(spark, f"{work_dir}/as_of") and read_text(spark, f"{work_dir}/as_of") != str(as_of_us):
+        raise ValueError(f"{work_dir} holds features as of {read_text(spark, f'{work_dir}/as_of')}, not {as_of_us}")
+    write_text(spark, f"{work_dir}/as_of", str(as_of_us))
     session = spark.newSession()
     for key, value in STATE_CONF.items():
         session.conf.set(key, value)
@@ -98,43 +97,26 @@ def maintain_features(
     session.conf.set("spark.sql.session.timeZone", "UTC")
     # The check refuses a second state in update mode because a watermark would not fit both; there is none here.
     session.conf.set("spark.sql.streaming.unsupportedOperationCheck", "false")
-    limit = {"maxFilesPerTrigger": str(max_files)} if max_files else {"maxBytesPerTrigger": str(max_bytes)}
+    most = min(max_bytes, max(1, total_bytes(spark, path) // 2 + 1))
+    limit = {"maxFilesPerTrigger": str(max_files)} if max_files else {"maxBytesPerTrigger": str(most)}
     events = stream_table(session, path, **limit)
     if as_of_us is not None:
         events = events.where(F.col(f"`{time}`") < time_literal(events, time, as_of_us))
-    counted = (
-        events.select(
-            F.col(f"`{entity}`").cast("string").alias("entity"),
-            event_type.alias("event_type"),
-            micros(events, time).alias("at"),
-            (F.col(f"`{total}`").cast("double") if total else F.lit(None).cast("double")).alias("amount"),
-        )
-        .where("entity IS NOT NULL AND at IS NOT NULL")
-        .dropDuplicates(["entity", "event_type", "at"])
-        .groupBy("entity", "event_type")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("latest_us"), F.coalesce(F.sum("amount"), F.lit(0.0)).alias("total"))
-    )
-    features = FeatureTable(spark, f"{work_dir}/features")
-    query = (
-        counted.writeStream.outputMode("update")
-        .foreachBatch(features.upsert)
-        .option("checkpointLocation", f"{work_dir}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    versions = [v for v in [_last_version(spark, features.path)] if v is not None]
-    return features.read(versions[0] if versions else None)
-
-
-def _last_version(spark: SparkSession, path: str) -> int | None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return None
-    names = [status.getPath().getName() for status in fs.listStatus(hadoop)]
-    found = [int(n.split("=")[1]) for n in names if n.startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    return max(found, default=None)
+    picked = events.select(
+        F.col(f"`{entity}`").cast("string").alias("entity"),
+        F.coalesce(event_type, F.lit("NONE")).alias("event_type"),
+        micros(events, time).alias("at"),
+        (F.col(f"`{total}`").cast("double") if total else F.lit(None).cast("double")).alias("amount"),
+    ).where("entity IS NOT NULL AND at IS NOT NULL")
+    if repeats_within is None:
+        once = picked.dropDuplicates(["entity", "event_type", "at"])
+    else:
+        watermarked = picked.withColumn("_mark", F.timestamp_micros("at")).withWatermark("_mark", f"{duration_us(repeats_within)} microseconds")
+        once = watermarked.dropDuplicatesWithinWatermark(["entity", "event_type", "at"])
+    counted = once.groupBy("entity", "event_type").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("latest_us"), F.coalesce(F.sum("amount"), F.lit(0.0)).alias("total"))
+    features = FeatureTable(spark, f"{work_dir}/features", buckets)
+    counted.writeStream.outputMode("update").foreachBatch(features.upsert).option("checkpointLocation", f"{work_dir}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return features.now()
 
 
 def feature_rows(features: DataFrame) -> DataFrame:

@@ -35,3 +35,26 @@ def folders(spark: SparkSession, path: str) -> list[str]:
 def move(spark: SparkSession, path: str, to: str) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration()).rename(hadoop(path), hadoop(to))
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).open(hadoop)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).create(hadoop, True)
+    try:
+        stream.write(text.encode())
+    finally:
+        stream.close()
+
+
+def total_bytes(spark: SparkSession, path: str) -> int:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return int(hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength())

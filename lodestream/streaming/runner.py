@@ -22,7 +22,7 @@ from lodestream import types as t
 from lodestream.operators.aggregates import SECOND_US, Spec
 from lodestream.runtime import micros, shared_path
 from lodestream.streaming.entity_features import STATE_CONF
-from lodestream.streaming.files import delete, exists
+from lodestream.streaming.tables import KeyedTable
 
 #: The end of time, for replays. Event time is taken a century later than it is, since Spark's watermark starts at
 #: 1970 and rows before it would be late; times count as no earlier than 1870 and no later than END for the watermark only.
@@ -42,26 +42,11 @@ def stateful_session(spark: SparkSession) -> SparkSession:
     return session
 
 
-class UpsertTable:
-    """A table by key below a folder; version n holds what batches up to n have left. Replayed batches are harmless."""
-
-    def __init__(self, spark: SparkSession, path: str, keys: list[str]):
-        self.spark, self.path, self.keys = spark, path, keys
-        self.last: int | None = None
+class UpsertTable(KeyedTable):
+    """A table by key of the rows that came last."""
 
     def upsert(self, batch: DataFrame, version: int) -> None:
-        session = batch.sparkSession
-        rows = batch
-        if version and exists(session, f"{self.path}/version={version - 1}"):
-            old = session.read.parquet(f"{self.path}/version={version - 1}")
-            rows = old.join(batch.select(*self.keys).distinct(), self.keys, "left_anti").unionByName(batch)
-        rows.write.mode("overwrite").parquet(f"{self.path}/version={version}")
-        if version > 1:
-            delete(session, f"{self.path}/version={version - 2}")
-        self.last = version
-
-    def read(self) -> DataFrame | None:
-        return None if self.last is None else self.spark.read.parquet(f"{self.path}/version={self.last}")
+        self.merge(batch, version, lambda old, new: new if old is None else old.join(new.select(*self.keys).distinct(), self.keys, "left_anti").unionByName(new))
 
 
 def run_to_table(stream: DataFrame, spark: SparkSession, keys: list[str], mode: str = "update", work_dir: str | None = None) -> DataFrame | None:

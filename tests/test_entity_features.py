@@ -1,7 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from lodestream.runtime import shared_path
-from lodestream.streaming.entity_features import code, feature_rows, maintain_features, wide
+from lodestream.streaming.entity_features import FeatureTable, code, feature_rows, maintain_features, wide
 
 ROWS = [("a", "X", 1, 2.0), ("a", "X", 1, 2.0), ("a", "x ", 5, 1.0), ("a", None, 7, None), (None, "X", 1, 1.0), ("b", "X", None, 1.0), ("b", "Y-z", 3, 4.0), ("b", "y z", 9, 1.0), ("b", "Y_Z", 50, 1.0)]
 
@@ -39,6 +40,29 @@ def test_many_batches_and_a_second_run_give_the_same(spark):
     assert features(spark, path, work, as_of_us=50)[1] == WANT
 
 
+def test_a_folder_is_for_one_time_and_batches_touch_their_buckets_only(spark):
+    path, work = shared_path(spark, "in"), shared_path(spark, "work")
+    rows = [(f"e{i}", "X", i, 1.0) for i in range(40)]
+    write(spark, path, rows)
+    features(spark, path, work, buckets=16)
+    write(spark, path, [("e3", "X", 99, 1.0), ("e3", "X", 3, 1.0)])
+    got = features(spark, path, work, buckets=16)[1]
+    assert len(got) == 40 and ("e3", "X", 2, 99, 2.0) in got
+    table = FeatureTable(spark, f"{work}/features", 16)
+    versions = list(table.listed(table.last()).values())
+    assert len(versions) > 8 and versions.count(max(versions)) == 1
+    with pytest.raises(ValueError, match="as of"):
+        features(spark, path, work, as_of_us=50)
+
+
+def test_repeats_within_a_horizon(spark):
+    path = shared_path(spark, "in")
+    day = 86_400_000_000
+    write(spark, path, [("a", "X", 100 * day, 1.0), ("a", "X", 100 * day, 1.0), ("a", "X", 101 * day, 1.0)])
+    write(spark, path, [("a", "X", 100 * day, 1.0), ("a", "X", 102 * day, 2.0)])
+    assert features(spark, path, repeats_within="5d", max_files=1)[1] == [("a", "X", 3, 102 * day, 4.0)]
+
+
 def test_no_events(spark):
     path = shared_path(spark, "in")
     write(spark, path, [(None, "X", 1, 1.0)])
