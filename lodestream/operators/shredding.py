@@ -127,17 +127,34 @@ class Shredder:
         values.append(None if value is None else text_of(value))
 
 
+def _no_number(name: str):
+    raise ValueError(f"{name} is not JSON")
+
+
+_PARSER = json.JSONDecoder(parse_constant=_no_number)
+
+
 def parse_json(text: str | None):
-    """The value of a complete JSON text, also where it stands in a JSON string; None for anything else."""
+    """The value of a complete JSON text, also where it stands in a JSON string; None for anything else, also for texts with
+    NaN or Infinity."""
     value = text
     while isinstance(value, str):
         try:
-            value = json.loads(value)
+            value = _PARSER.decode(value)
         except (ValueError, RecursionError):
             return None
     return value
 
 
+def _texts(values: list[str | None]) -> pa.Array:
+    """values as an Arrow column; halves of characters that stand alone, which JSON can escape, become the replacement character."""
+    try:
+        return pa.array(values, pa.string())
+    except (UnicodeEncodeError, pa.ArrowInvalid):
+        whole = [v if v is None else v.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace") for v in values]
+        return pa.array(whole, pa.string())
+
+
 def _level_type(schema: T.StructType) -> str:
     return "struct<" + ", ".join(f"`{leaf.path}`: struct<r: array<smallint>, d: array<smallint>, v: array<string>>" for leaf in tree(schema).leaves()) + ">"
 
@@ -150,7 +167,9 @@ def shred(
     records_of: gives the records of a parsed payload (by default the payload itself, if an object, or the objects
     of a list). Payloads that are null, empty, damaged or hold no record give no row. Unknown fields, whatever their
     names, are ignored; a value of another shape than the schema's counts as absent; a lone object where a list
-    belongs counts as a list of one; JSON given as a string within JSON is parsed by records_of.
+    belongs counts as a list of one; JSON given as a string within JSON is parsed by records_of; an escaped half of a
+    character that stands alone becomes the replacement character. To take several tables from one parse, write what
+    shred() gives once (staged()) and assemble() each from it.
     """
     keep = keep or []
     picked = records.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{payload}`").cast("string").alias("_payload")).where("_payload IS NOT NULL")
@@ -172,7 +191,8 @@ def shred(
                 for p in leaves:
                     reps, defs, values = shredder.columns[p]
                     ends_p = pa.array(ends[p], pa.int32())
-                    parts = [pa.ListArray.from_arrays(ends_p, pa.array(x, kind)) for x, kind in ((reps, pa.int16()), (defs, pa.int16()), (values, pa.string()))]
+                    columns = (pa.array(reps, pa.int16()), pa.array(defs, pa.int16()), _texts(values))
+                    parts = [pa.ListArray.from_arrays(ends_p, x) for x in columns]
                     structs.append(pa.StructArray.from_arrays(parts, ["r", "d", "v"]))
                 kept = batch.take(pa.array(rows, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(kept.column(k) for k in range(len(keep))), pa.StructArray.from_arrays(structs, leaves)], names=[*keep, "levels"])

@@ -124,51 +124,51 @@ LINK_SCHEMA = nested({"report": [{"report_id": None, "items": [{"item_id": None,
 
 
 def reports_of(payload: object) -> list[dict]:
-    """The reports a delivery holds: an object with a report, or a list of such; the report may be JSON in a string."""
-    found = []
+    """The reports a delivery holds, as one record: an object with a report, or a list of such; the report may be JSON in a string."""
+    reports = []
     for part in payload if isinstance(payload, list) else [payload]:
         part = parse_json(part) if isinstance(part, str) else part
         if isinstance(part, dict):
             report = parse_json(part["report"]) if isinstance(part.get("report"), str) else part.get("report")
-            reports = [r for r in (report if isinstance(report, list) else [report]) if isinstance(r, dict)]
-            if reports:
-                found.append({"report": reports})
-    return found
+            reports += [r for r in (report if isinstance(report, list) else [report]) if isinstance(r, dict)]
+    return [{"report": reports}] if reports else []
 
 
 def _reports(spark: SparkSession, sf_dir: str, schema: StructType = REPORT_SCHEMA) -> DataFrame:
-    return shred(table(spark, sf_dir, "mini"), "payload", schema, reports_of)
+    return shred(table(spark, sf_dir, "mini"), "payload", schema, reports_of, ["request_id"])
+
+
+def _table(spark: SparkSession, sf_dir: str, group: str, links: list[str], own: list[str]) -> DataFrame:
+    """A row per element of a group: the delivery it came in, its position within each group above it, from the report's within the
+    delivery on (links that hold for elements without id), the ids above it and its own leaves."""
+    return assemble(_reports(spark, sf_dir), REPORT_SCHEMA, group, [*links, *own], ["request_id"])
+
+
+_ITEM_LEAVES = ("item_id", "institution_id", "institution_name", "date_last_updated")
 
 
 def p4_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leaves = ["report.report_id", "report.date_generated", "report.days_requested"]
-    return assemble(_reports(spark, sf_dir), REPORT_SCHEMA, "report", leaves).drop("report_no").distinct()
+    return _table(spark, sf_dir, "report", [], [f"report.{c}" for c in ("report_id", "date_generated", "days_requested")])
 
 
 def p4_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leaves = ["report.report_id", *(f"report.items.{c}" for c in ("item_id", "institution_id", "institution_name", "date_last_updated"))]
-    return assemble(_reports(spark, sf_dir), REPORT_SCHEMA, "report.items", leaves).drop("report_no").distinct()
+    return _table(spark, sf_dir, "report.items", ["report.report_id"], [f"report.items.{c}" for c in _ITEM_LEAVES])
 
 
 def p4_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leaves = ["report.report_id", "report.items.item_id", "report.items.accounts.type"]
-    return assemble(_reports(spark, sf_dir), REPORT_SCHEMA, "report.items.accounts", leaves).drop("report_no", "items_no").distinct()
+    return _table(spark, sf_dir, "report.items.accounts", ["report.report_id", "report.items.item_id"], ["report.items.accounts.type"])
 
 
 def p4_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All that is known of each transaction; of one repeated within its account the first position. Those without an id are told apart by position."""
     group = "report.items.accounts.transactions"
     own = [leaf.path for leaf in tree(REPORT_SCHEMA).leaves() if leaf.path.startswith(f"{group}.")]
-    rows = assemble(_reports(spark, sf_dir), REPORT_SCHEMA, group, ["report.report_id", "report.items.item_id", *own]).drop("report_no")
-    known = [c for c in rows.columns if c != "transactions_no"]
-    unnamed = F.when(F.col("transactions_transaction_id").isNull(), F.col("transactions_no")).alias("_unnamed")
-    return rows.groupBy(*known, unnamed).agg(F.min("transactions_no").alias("transactions_no")).drop("_unnamed")
+    return _table(spark, sf_dir, group, ["report.report_id", "report.items.item_id"], own)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     group = "report.items.accounts.transactions"
     rows = assemble(
-        _reports(spark, sf_dir, LINK_SCHEMA), LINK_SCHEMA, group, ["report.report_id", "report.items.item_id", f"{group}.transaction_id"], outer=True
+        _reports(spark, sf_dir, LINK_SCHEMA).drop("request_id"), LINK_SCHEMA, group, ["report.report_id", "report.items.item_id", f"{group}.transaction_id"], outer=True
     )
     return (
         rows.where("items_no >= 0 AND report_report_id IS NOT NULL AND items_item_id IS NOT NULL AND (transactions_no < 0 OR transactions_transaction_id IS NOT NULL)")
@@ -182,6 +182,46 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_ELEMENTS = "CASE json_type({0}) WHEN 'ARRAY' THEN list_filter(CAST({0} AS JSON[]), lambda x: json_type(x) = 'OBJECT') WHEN 'OBJECT' THEN [{0}] ELSE [] END"
+_INNER = "CASE WHEN json_type({0}) = 'VARCHAR' THEN CASE WHEN json_valid({0} ->> '$') THEN ({0} ->> '$')::JSON END ELSE {0} END"
+
+
+def _leaf_sql(at: str, path: str) -> str:
+    j = f"json_extract({at}, '$.{path}')"
+    return f"CASE WHEN json_type({j}) = 'VARCHAR' THEN {j} ->> '$' WHEN json_type({j}) <> 'NULL' THEN {j}::VARCHAR END"
+
+
+def _children_sql(table: str, parent: str, up: str, name: str, group: str, links: str, outer: bool = False) -> str:
+    inner = _ELEMENTS.format(f"json_extract({up}, '$.{group}')")
+    source = f"CASE WHEN len({inner}) > 0 THEN {inner} ELSE [NULL] END" if outer else inner
+    return f"""{table} AS (SELECT {links}, unnest({source}) AS {name},
+  {f"CASE WHEN len({inner}) > 0 THEN" if outer else ""} unnest(range(greatest(len({inner}), {1 if outer else 0}))) {"ELSE -1 END" if outer else ""} AS {group}_no FROM {parent})"""
+
+
+def _nested_sql(outer: bool = False) -> str:
+    keep = "request_id, report_no, r"
+    return f"""
+WITH texts AS (SELECT request_id, payload::JSON AS j FROM mini WHERE json_valid(payload)),
+whole AS (SELECT request_id, {_INNER.format("j")} AS j FROM texts),
+parts AS (SELECT request_id, unnest(CASE WHEN json_type(j) = 'ARRAY' THEN CAST(j AS JSON[]) ELSE [j] END) AS p, unnest(range(CASE WHEN json_type(j) = 'ARRAY' THEN len(CAST(j AS JSON[])) ELSE 1 END)) AS k FROM whole),
+objects AS (SELECT request_id, k, {_INNER.format("p")} AS p FROM parts),
+bodies AS (SELECT request_id, k, {_INNER.format("json_extract(p, '$.report')")} AS b FROM objects WHERE json_type(p) = 'OBJECT'),
+numbered AS (SELECT request_id, k, unnest({_ELEMENTS.format("b")}) AS r, unnest(range(len({_ELEMENTS.format("b")}))) AS n FROM bodies),
+reports AS (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY k, n) - 1 AS report_no, r FROM numbered),
+{_children_sql("items_in", "reports", "r", "i", "items", keep, outer)},
+{_children_sql("accounts_in", "items_in", "i", "a", "accounts", keep + ", i, items_no", outer)},
+{_children_sql("transactions_in", "accounts_in", "a", "t", "transactions", keep + ", i, items_no, a, accounts_no", outer)}
+"""
+
+
+def _leaves_sql(at: str, parent: str, paths: list[str]) -> str:
+    return ", ".join(f"{_leaf_sql(at, p)} AS {'_'.join(f'{parent}.{p}'.split('.')[-2:])}" for p in paths)
+
+
+_REPORT_ID = f"{_leaf_sql('r', 'report_id')} AS report_report_id"
+_ITEM_ID = f"{_leaf_sql('i', 'item_id')} AS items_item_id"
+_TRANSACTION_LEAVES = [leaf.path for leaf in tree(nested(_TRANSACTION)).leaves()]
+
 # -- 6: near points and regions --------------------------------------------------------------------------------
 
 
@@ -278,6 +318,15 @@ ORACLE_SQL = {
     "p2_features": _FEATURES_SQL + "SELECT * FROM features",
     "p3_found": _KNOWN_SQL + "SELECT DISTINCT charge_id, change_id FROM ranked WHERE no = 1",
     "p3_known": _KNOWN_SQL + "SELECT DISTINCT charge_id, change_id, a[1] AS driver_id, a[2] AS current_status, a[3] AS vehicle_id FROM ranked WHERE no = 1",
+    "p4_found": _nested_sql(True)
+    + f"""SELECT DISTINCT report_id, item_id, accounts_no AS account_no, coalesce(transaction_id, '') AS transaction_id FROM
+(SELECT {_leaf_sql("r", "report_id")} AS report_id, {_leaf_sql("i", "item_id")} AS item_id, accounts_no, transactions_no, {_leaf_sql("t", "transaction_id")} AS transaction_id, items_no FROM transactions_in)
+WHERE items_no >= 0 AND report_id IS NOT NULL AND item_id IS NOT NULL AND (transactions_no < 0 OR transaction_id IS NOT NULL)""",
+    "p4_reports": _nested_sql() + f"SELECT request_id, report_no, {_leaves_sql('r', 'report', ['report_id', 'date_generated', 'days_requested'])} FROM reports",
+    "p4_items": _nested_sql() + f"SELECT request_id, report_no, items_no, {_REPORT_ID}, {_leaves_sql('i', 'items', list(_ITEM_LEAVES))} FROM items_in",
+    "p4_accounts": _nested_sql() + f"SELECT request_id, report_no, items_no, accounts_no, {_REPORT_ID}, {_ITEM_ID}, {_leaves_sql('a', 'accounts', ['type'])} FROM accounts_in",
+    "p4_transactions": _nested_sql()
+    + f"SELECT request_id, report_no, items_no, accounts_no, transactions_no, {_REPORT_ID}, {_ITEM_ID}, {_leaves_sql('t', 'transactions', _TRANSACTION_LEAVES)} FROM transactions_in",
     "p6_found": _VEHICLES_SQL
     + """SELECT DISTINCT vehicle_id, id AS location_id FROM vehicles JOIN rental_location r ON abs(r.latitude - lat) < 0.0046 AND
 2 * 6371008.8 * asin(sqrt(pow(sin(radians(r.latitude - lat) / 2), 2) + cos(radians(lat)) * cos(radians(r.latitude)) * pow(sin(radians(r.longitude - lon) / 2), 2))) <= 500""",

@@ -81,7 +81,17 @@ def test_transactions_with_all_their_leaves(spark):
     transactions = [full, {"amount": 2, "pending": True}, {"amount": 2, "pending": False}, {"amount": 2, "pending": False}, full]
     report = {"report": {"report_id": "r", "items": [{"item_id": "i", "accounts": []}, {"item_id": "j", "accounts": [{"transactions": transactions}]}]}}
     path = shared_path(spark, "mini")
-    spark.createDataFrame([(json.dumps(report),)] * 2, "payload string").write.parquet(f"{path}/mini.parquet")
-    rows = sorted(p4_transactions(spark, path).collect(), key=lambda r: r.transactions_no)
-    assert [(r.items_no, r.accounts_no, r.transactions_no, r.transactions_pending) for r in rows] == [(1, 0, 0, "true"), (1, 0, 1, "true"), (1, 0, 2, "false"), (1, 0, 3, "false")]
-    assert list(rows[0])[:17] == ["r", "j", "t", "a", "1.5", "d", "p", "m", "o", "true", "USD", "x", "y", "c", "7", "1.25", "2.5"]
+    spark.createDataFrame([("d1", json.dumps(report)), ("d2", json.dumps([report, report]))], "request_id string, payload string").write.parquet(f"{path}/mini.parquet")
+    rows = sorted(p4_transactions(spark, path).collect(), key=lambda r: (r.request_id, r.report_no, r.transactions_no))
+    # a row for each, linked by delivery and positions, whether it has an id or not
+    places = [(d, n, 1, 0, k) for d, n in (("d1", 0), ("d2", 0), ("d2", 1)) for k in range(5)]
+    assert [(r.request_id, r.report_no, r.items_no, r.accounts_no, r.transactions_no) for r in rows] == places
+    assert [r.transactions_pending for r in rows[:5]] == ["true", "true", "false", "false", "true"]
+    assert list(rows[0])[1:18] == ["r", "j", "t", "a", "1.5", "d", "p", "m", "o", "true", "USD", "x", "y", "c", "7", "1.25", "2.5"]
+
+
+def test_halves_of_characters_and_numbers_that_are_not_json(spark):
+    schema = nested({"a": [{"b": None}]})
+    payloads = ['{"a": [{"b": "x\\ud800y"}, {"b": "\\ud83d\\ude00"}]}', '{"a": [{"b": NaN}]}', '{"a": [{"b": -Infinity}]}', '{"a": [{"b": 1}]} x']
+    levels = shred(spark.createDataFrame([(p,) for p in payloads], "payload string"), "payload", schema)
+    assert [(r.a_no, r.a_b) for r in assemble(levels, schema, "a", ["a.b"]).collect()] == [(0, "x\ufffdy"), (1, "\U0001f600")]
