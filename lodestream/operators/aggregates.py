@@ -646,7 +646,11 @@ def window_ends(at: Column, window: Any) -> Column:
     return F.transform(F.sequence(earliest, last_start, stride), lambda s: s + F.lit(window.us))
 
 
-def _discrete(rows: DataFrame, keys: list[str], specs: list[Spec], types: dict[str, t.DType], window: Any) -> DataFrame:
+def _frontier(rows: DataFrame, window: Any, until_us: int | None) -> Column:
+    return rows.agg(F.max("_t") - window.lookback_us).scalar() if until_us is None else F.lit(until_us)
+
+
+def _discrete(rows: DataFrame, keys: list[str], specs: list[Spec], types: dict[str, t.DType], window: Any, until_us: int | None = None) -> DataFrame:
     """(keys, _t, fields): values published at window ends, and the defaults once a window is over."""
     rank = F.struct(F.col("_t").alias("t"), F.col("_o").alias("o"))
     live = F.lit(True)
@@ -665,7 +669,7 @@ def _discrete(rows: DataFrame, keys: list[str], specs: list[Spec], types: dict[s
         numbered = number_sessions(rows, keys, "_t", window.gap_us, False, "_no")
         sessions = numbered.groupBy(*keys, "_no").agg(F.max("_t").alias("_last"), *aggregates)
         return finished(sessions.withColumn("_t", F.col("_last") + 1))
-    frontier = rows.agg(F.max("_t") - window.lookback_us).scalar()
+    frontier = _frontier(rows, window, until_us)
     if window.us is None:
         # never over: visible from the next stride on, running up over the strides
         ends = rows.withColumn("_at", F.element_at(window_ends(F.col("_t"), window), 1))
@@ -717,7 +721,7 @@ def _prepared(df: DataFrame, keys: list[str], ts: str, specs: list[Spec], order:
 
 
 def aggregate(
-    df: DataFrame, keys: list[str], ts: str, specs: list[Spec], types: dict[str, t.DType], order: list[str] | None = None, along: str | None = None
+    df: DataFrame, keys: list[str], ts: str, specs: list[Spec], types: dict[str, t.DType], order: list[str] | None = None, along: str | None = None, until_us: int | None = None
 ) -> DataFrame:
     """The history of the aggregates: keys, ts, the fields, and _valid_to.
 
@@ -731,7 +735,7 @@ def aggregate(
         groups: dict[Any, list[Spec]] = {}
         for s in specs:
             groups.setdefault(s.window, []).append(s)
-        made = [_discrete(rows, keys, group, types, w) for w, group in groups.items()]
+        made = [_discrete(rows, keys, group, types, w, until_us) for w, group in groups.items()]
         values = made[0]
         if len(made) > 1:
             # on all their times, each field as it was last published
@@ -770,7 +774,7 @@ def aggregate_asof(
 
 
 def aggregate_windows(
-    df: DataFrame, keys: list[str], ts: str, window: Any, specs: list[Spec], types: dict[str, t.DType], order: list[str] | None = None, field: str = "window"
+    df: DataFrame, keys: list[str], ts: str, window: Any, specs: list[Spec], types: dict[str, t.DType], order: list[str] | None = None, field: str = "window", until_us: int | None = None
 ) -> DataFrame:
     """One row per key and window: keys, the window as a struct (begin, end), ts (its end), and the fields.
 
@@ -789,9 +793,9 @@ def aggregate_windows(
         if window.us is None:
             raise ValueError("a window that is a key can't be forever")
         if specs:
-            values = _discrete(rows, keys, specs, types, window)
+            values = _discrete(rows, keys, specs, types, window, until_us)
         else:
-            frontier = rows.agg(F.max("_t") - window.lookback_us).scalar()
+            frontier = _frontier(rows, window, until_us)
             values = rows.select(*keys, F.explode(window_ends(F.col("_t"), window)).alias("_t")).distinct().where(F.col("_t") <= frontier)
         values = values.select("*", (F.col("_t") - window.us).alias("_a"), F.col("_t").alias("_z"))
         out = [_q(s.into_field) for s in specs]

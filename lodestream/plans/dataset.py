@@ -447,6 +447,9 @@ class GroupBy:
 
 
 class Aggregate(Node):
+    #: Windows that end later are left out; None for the latest time of the rows, less the lookback.
+    until_us: int | None = None
+
     def __init__(self, group: GroupBy, specs: list[agg.Spec], along: str | None, emit: str):
         self.group, self.along, self.emit = group, along, emit
         before = group.source.schema
@@ -499,11 +502,11 @@ class Aggregate(Node):
         df = self.group.source.frame(frames)
         ts, keys = self.schema.ts, self.group.keys
         if self.group.window is not None:
-            made = agg.aggregate_windows(df, keys, ts, self.group.window, self.specs, self.types, [SEQ])
+            made = agg.aggregate_windows(df, keys, ts, self.group.window, self.specs, self.types, [SEQ], until_us=self.until_us)
             return temporal.validity(made.withColumn(SEQ, F.lit(0).cast("bigint")), [*keys, "window"], ts)
         if self.along is not None:
             df = df.drop(VALID_TO)
-        return agg.aggregate(df, keys, ts, self.specs, self.types, [SEQ], self.along).withColumn(SEQ, F.lit(0).cast("bigint"))
+        return agg.aggregate(df, keys, ts, self.specs, self.types, [SEQ], self.along, self.until_us).withColumn(SEQ, F.lit(0).cast("bigint"))
 
 
 def _needs(s: agg.Spec):

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+from typing import Optional
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.expr import col
 from lodestream.operators import aggregates as agg
-from lodestream.plans.catalog import _PURCHASES, _SESSIONS, DAY, Events, _live_sql, shown
-from lodestream.plans.dataset import SEQ
+from lodestream.operators.temporal import VALID_TO
+from lodestream.plans.catalog import _PURCHASES, _SESSIONS, DAY, Events, LastPurchase, _live_sql, shown
+from lodestream.plans.dataset import SEQ, Dataset, dataset, field, inputs, pipeline
 from lodestream.runtime import shared_path, utc
 from lodestream.streaming.files import stream_table
+from lodestream.streaming.pipelines import Maintained, maintain
 from lodestream.streaming.runner import UpsertTable, asof_of, continuous_stream, dedup_stream, replay, run_to_files, run_to_table, stateful_session, windowed
 from lodestream.types import Continuous, Hopping, Session, Tumbling
 
@@ -94,7 +99,137 @@ def stream_asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_files(out, spark, out.schema, work).select(F.col("left_id").alias("event_id"), F.col("value").alias("paid"))
 
 
+# -- pipelines over several micro-batches ----------------------------------------------------------------------
+
+
+def _maintained(spark: SparkSession, sf_dir: str, d: Dataset, in_time: bool = False, disorder: str = "14d") -> Maintained:
+    """d over the events, which come in three files: in order of time, or (in_time False) all mixed."""
+    session, inbox = stateful_session(spark), shared_path(spark, "inbox")
+    events = utc(session.read.parquet(f"{sf_dir}/events.parquet"))
+    if in_time:
+        cuts = events.select(F.expr("percentile_approx(unix_micros(ts), array(0.3, 0.6), 10000)")).first()[0]
+        part = sum((F.when(F.unix_micros("ts") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+    else:
+        part = F.pmod(F.xxhash64("event_id"), F.lit(3))
+    for k in range(3):
+        events.where(part == k).coalesce(1).write.mode("append").parquet(inbox)
+    stream = session.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(inbox).withColumn(SEQ, F.col("event_id"))
+    return maintain(spark, d, {Events: stream}, disorder=disorder, buckets=8)
+
+
+@dataset
+class DailySpend:
+    user_id: int = field(key=True)
+    n: int
+    total: float
+    ts: datetime = field(timestamp=True)
+
+    @pipeline
+    @inputs(Events)
+    def made(cls, events):
+        w = {"window": Tumbling("1d")}
+        return events.groupby("user_id").aggregate(n=agg.Count(**w), total=agg.Sum("value", **w), emit="final")
+
+
+@dataset
+class Live:
+    user_id: int = field(key=True)
+    n: int
+    high: float
+    kinds: int
+    ts: datetime = field(timestamp=True)
+
+    @pipeline
+    @inputs(Events)
+    def made(cls, events):
+        w = {"window": Continuous("1d")}
+        return events.groupby("user_id").aggregate(n=agg.Count(**w), high=agg.Max("value", default=-1.0, **w), kinds=agg.Count("event_type", unique=True, approx=True, **w))
+
+
+@dataset
+class LastEvents:
+    event_id: int
+    ts: datetime = field(timestamp=True)
+    user_id: int
+    event_type: str
+    value: float
+    props: str
+
+    @pipeline
+    @inputs(Events)
+    def made(cls, events):
+        return events.dedup("user_id", window=Tumbling("1d"))
+
+
+@dataset
+class PaidClicks:
+    event_id: int
+    user_id: int
+    value: float
+    paid: Optional[float]
+    purchase_id: Optional[int]
+    ts: datetime = field(timestamp=True)
+
+    @pipeline
+    @inputs(Events, LastPurchase)
+    def made(cls, events, purchases):
+        clicks = events.filter(col("event_type") == "click").select("event_id", "user_id", "value")
+        return clicks.join(purchases, how="left", on=["user_id"])
+
+
+@dataset
+class LastByUser:
+    user_id: int = field(key=True)
+    event_type: str
+    ts: datetime = field(timestamp=True)
+
+    @pipeline
+    @inputs(Events)
+    def made(cls, events):
+        return events.select("user_id", "event_type").groupby("user_id").latest()
+
+
+@dataset
+class Customers:
+    event_type: str = field(key=True)
+    n: int
+    ts: datetime = field(timestamp=True)
+
+    @pipeline
+    @inputs(LastByUser)
+    def made(cls, last):
+        return last.groupby("event_type").aggregate(n=agg.Count())
+
+
+def stream_pipeline_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily windows that the watermark, two days behind, has passed."""
+    return shown(_maintained(spark, sf_dir, DailySpend, True, "2d").table()).drop(VALID_TO).withColumn("total", F.round("total", 6))
+
+
+def stream_pipeline_continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(_maintained(spark, sf_dir, Live).table()).drop(VALID_TO)
+
+
+def stream_pipeline_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(_maintained(spark, sf_dir, LastEvents).table())
+
+
+def stream_pipeline_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks joined with purchases, both streaming: a purchase that comes late corrects the clicks after it."""
+    return shown(_maintained(spark, sf_dir, PaidClicks).table())
+
+
+def stream_pipeline_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users by the kind of their last event: corrections of the history go on into the counts over it."""
+    return shown(_maintained(spark, sf_dir, Customers).table()).drop(VALID_TO)
+
+
 QUERIES = {
+    "stream_pipeline_final": stream_pipeline_final,
+    "stream_pipeline_continuous": stream_pipeline_continuous,
+    "stream_pipeline_dedup": stream_pipeline_dedup,
+    "stream_pipeline_join": stream_pipeline_join,
+    "stream_pipeline_changes": stream_pipeline_changes,
     "stream_stateless": stream_stateless,
     "stream_tumbling": stream_tumbling,
     "stream_hopping": stream_hopping,
@@ -107,6 +242,17 @@ QUERIES = {
 
 _Q = 6 * 3_600_000_000
 ORACLE_SQL = {
+    "stream_pipeline_final": f"""WITH e AS (SELECT user_id, epoch_us(ts) AS us, value FROM events), m AS (SELECT max(us) - {2 * DAY} AS m FROM e),
+pub AS (SELECT user_id, (us // {DAY}) * {DAY} + {DAY} AS ts, count(*) AS n, round(sum(value), 6) AS total FROM e, m GROUP BY user_id, us // {DAY}),
+ended AS (SELECT pub.* FROM pub, m WHERE ts <= m)
+SELECT * FROM ended UNION ALL SELECT user_id, ts + {DAY}, 0, 0 FROM ended, m WHERE ts + {DAY} <= m AND (user_id, ts + {DAY}) NOT IN (SELECT (user_id, ts) FROM ended)""",
+    "stream_pipeline_continuous": _live_sql("count(e.us) AS n, coalesce(max(value), -1) AS high, count(DISTINCT event_type) AS kinds", DAY),
+    "stream_pipeline_dedup": "SELECT event_id, epoch_us(ts) AS ts, user_id, event_type, value, props FROM (SELECT *, row_number() OVER (PARTITION BY user_id, epoch_us(ts) // 86400000000 ORDER BY ts DESC, event_id DESC) AS no FROM events) WHERE no = 1",
+    "stream_pipeline_join": f"SELECT e.event_id, e.user_id, e.value, p.paid, p.purchase_id, epoch_us(e.ts) AS ts FROM (SELECT * FROM events WHERE event_type = 'click') e ASOF LEFT JOIN {_PURCHASES} p ON e.user_id = p.user_id AND e.ts >= p.bought",
+    "stream_pipeline_changes": """WITH h AS (SELECT event_type, epoch_us(ts) AS f, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS z FROM
+(SELECT *, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) AS no FROM events) WHERE no = 1),
+d AS (SELECT event_type, us, sum(n) AS n FROM (SELECT event_type, f AS us, 1 AS n FROM h UNION ALL SELECT event_type, z, -1 FROM h WHERE z IS NOT NULL) GROUP BY ALL)
+SELECT event_type, CAST(sum(n) OVER (PARTITION BY event_type ORDER BY us) AS BIGINT) AS n, us AS ts FROM d""",
     "stream_stateless": "SELECT event_id AS id, value * 2 AS twice, epoch_us(ts) AS ts FROM events WHERE value > 50",
     "stream_tumbling": f'SELECT user_id, us // {DAY} * {DAY} AS "begin", us // {DAY} * {DAY} + {DAY} AS "end", count(*) AS n, round(sum(value), 6) AS total FROM (SELECT *, epoch_us(ts) AS us FROM events) GROUP BY ALL',
     "stream_hopping": f'SELECT user_id, z - {DAY} AS "begin", z AS "end", count(*) AS n, round(sum(value), 6) AS total FROM (SELECT user_id, value, unnest(range(us // {_Q} * {_Q} + {_Q}, us // {_Q} * {_Q} + {_Q} + {DAY}, {_Q})) AS z FROM (SELECT *, epoch_us(ts) AS us FROM events)) GROUP BY ALL',
