@@ -7,12 +7,17 @@ bigram score, each script change costing a penalty, so "раypal" comes out in L
 Cyrillic. The lattice depends only on how the token looks, and the output only on the lattice: tokens that look alike
 get the same form, and tokens that don't can't.
 
-Bigrams are counted over all documents, in each partition first; their table is bounded by the square of the four
+Which letters look alike: a fixed list for Latin, Cyrillic, Greek and Armenian, and for all other scripts Unicode's confusables
+data, which Spark's jars bring along (see from_unicode). Of these a class takes no second letter of a script: letters that an alphabet
+tells apart are read apart. Upper and lower case stay apart, and so do digits and signs.
+
+Bigrams are counted over all documents, in each partition first; their table is bounded by the square of the
 alphabets and is the only thing collected.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import unicodedata
@@ -21,10 +26,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.runtime import staged
+from lodestream.runtime import salted_join, staged
 
 #: Letters that look the same in common fonts, by class.
 LOOK_ALIKES = [
@@ -40,14 +45,74 @@ PLAIN_TAGS = {"<wide>", "<narrow>", "<noBreak>", "<font>", "<compat>", "<initial
 OWN_LOOK = set("№℀℁℅℆℡℻㏂㏇㏘")
 JOINERS = "\u200c\u200d"
 
-CLASS = {c: group for group in LOOK_ALIKES for c in group}
 #: What a script change within a token costs, in nats: more than any bigram can win back.
 SWITCH = 25.0
 
 
+@functools.lru_cache(1 << 16)
 def script(c: str) -> str:
     o = ord(c)
-    return "greek" if 0x370 <= o < 0x400 else "cyrillic" if 0x400 <= o < 0x530 else "armenian" if 0x530 <= o < 0x590 else "latin" if o < 0x300 else ""
+    if 0x370 <= o < 0x400 or 0x400 <= o < 0x530 or 0x530 <= o < 0x590 or o < 0x300:
+        return "greek" if 0x370 <= o < 0x400 else "cyrillic" if 0x400 <= o < 0x530 else "armenian" if o >= 0x530 else "latin"
+    return unicodedata.name(c, "").split(" ")[0].lower() if c.isalpha() else ""
+
+
+def from_unicode(spark: SparkSession) -> tuple[str, ...]:
+    """Classes of the letters that Unicode's confusables data (of the ICU in Spark's jars) shows as one ASCII letter: the ASCII letter
+    first. Letters of right-to-left scripts, which join, and second letters of a script are left out."""
+    checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    letters = [c for c in map(chr, range(0x80, 0x30000)) if unicodedata.category(c) in ("Lu", "Ll", "Lo", "Lt") and not unicodedata.decomposition(c)]
+    looks = checker.getSkeleton("\n".join(letters)).split("\n")
+    listed = {c: group for group in LOOK_ALIKES for c in group}
+    found: dict[str, list[str]] = defaultdict(list)
+    for c, look in zip(letters, looks, strict=True):
+        if c in listed or len(look) != 1 or not (look.isascii() and look.isalpha()) or unicodedata.bidirectional(c) in ("R", "AL"):
+            continue
+        upper = unicodedata.category(c) in ("Lu", "Lt")
+        look = "I" if upper and look == "l" else look
+        if look.isupper() != upper and unicodedata.category(c) != "Lo":
+            continue
+        if script(c) not in {script(x) for x in [*listed.get(look, look), *found[look]]}:
+            found[look].append(c)
+    return tuple(look + "".join(more) for look, more in sorted(found.items()) if more)
+
+
+def _ranges(points: list[int]) -> str:
+    """A regular expression's class of code points."""
+    out: list[list[int]] = []
+    for o in points:
+        if out and out[-1][1] == o - 1:
+            out[-1][1] = o
+        else:
+            out.append([o, o])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
+_MARKS = _ranges([o for o in range(0x20000) if unicodedata.combining(chr(o))])
+_MARK = re.compile(f"[{_MARKS}]")
+
+
+class Alphabet:
+    """Letters by class: the fixed list, and more classes that go into those of their first letters."""
+
+    def __init__(self, more: tuple[str, ...] = ()):
+        groups = {group[0]: group for group in LOOK_ALIKES}
+        listed = {c: group[0] for group in LOOK_ALIKES for c in group}
+        for group in more:
+            first = listed.get(group[0], group[0])
+            groups[first] = groups.get(first, group[0]) + group[1:]
+        self.classes = {c: group for group in groups.values() for c in group}
+        letters = {o for o in range(0x590) if chr(o).isalpha() and script(chr(o))} | {ord(c) for c in self.classes}
+        known = _ranges(sorted(letters))
+        #: A token: letters of the scripts of the list, and those that look like them, with their marks.
+        self.token = re.compile(f"[{known}][{known}{_MARKS}]*")
+        #: All spellings of a look have one key: the first letter of each class stands for the class.
+        self.look = {ord(c): group[0] for c, group in self.classes.items()}
+
+
+@functools.lru_cache(4)
+def alphabet(more: tuple[str, ...] = ()) -> Alphabet:
+    return Alphabet(more)
 
 
 class _Plain(dict):
@@ -99,49 +164,31 @@ def visible(text: str) -> str:
     return unicodedata.normalize("NFD", plain)
 
 
-def _ranges(points: list[int]) -> str:
-    """A regular expression's class of code points."""
-    out: list[list[int]] = []
-    for o in points:
-        if out and out[-1][1] == o - 1:
-            out[-1][1] = o
-        else:
-            out.append([o, o])
-    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
-
-
-_LETTERS = _ranges([o for o in range(0x590) if chr(o).isalpha() and script(chr(o))])
-_MARKS = _ranges([o for o in range(0x20000) if unicodedata.combining(chr(o))])
-#: A token: letters of the four scripts with their marks.
-TOKEN = re.compile(f"[{_LETTERS}][{_LETTERS}{_MARKS}]*")
-_MARK = re.compile(f"[{_MARKS}]")
-#: All spellings of a look have one key: the first letter of each class stands for the class.
-_LOOK = {ord(c): group[0] for c, group in CLASS.items()}
-
-
-def bigrams_of(token: str) -> Iterator[tuple[str, str]]:
+def bigrams_of(token: str, letters_of: Alphabet) -> Iterator[tuple[str, str]]:
     """Bigrams of the base letters of a token that is in one script beyond doubt, with "" for both ends."""
     letters = _MARK.sub("", token)
-    if len({script(c) for c in letters}) == 1 and any(c not in CLASS for c in letters):
+    if len({script(c) for c in letters}) == 1 and any(c not in letters_of.classes for c in letters):
         yield from zip(["", *letters], [*letters, ""], strict=True)
 
 
-def count_bigrams(documents: DataFrame, text: str = "text") -> dict[tuple[str, str], int]:
-    """Bigram counts over all texts, bounded by the square of the alphabets of the four scripts."""
+def count_bigrams(documents: DataFrame, text: str = "text", more: tuple[str, ...] = ()) -> dict[tuple[str, str], int]:
+    """Bigram counts over all texts, bounded by the square of the alphabets. Counts that are kept and handed to consistent()
+    make the forms of several corpora, or of batches of one, comparable."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = alphabet(more)
         tokens: Counter = Counter()
         counts: Counter = Counter()
 
         def settle() -> None:
             for token, n in tokens.items():
-                for pair in bigrams_of(token):
+                for pair in bigrams_of(token, known):
                     counts[pair] += n
             tokens.clear()
 
         for batch in batches:
             for value in batch.column(0).to_pylist():
-                tokens.update(TOKEN.findall(visible(value)))
+                tokens.update(known.token.findall(visible(value)))
                 if len(tokens) > 200_000:
                     settle()
         settle()
@@ -155,7 +202,8 @@ def count_bigrams(documents: DataFrame, text: str = "text") -> dict[tuple[str, s
 class Speller:
     """Picks the letters of tokens; made from bigram counts."""
 
-    def __init__(self, counts: dict[tuple[str, str], int]):
+    def __init__(self, counts: dict[tuple[str, str], int], more: tuple[str, ...] = ()):
+        self.letters = alphabet(more)
         starts: defaultdict = defaultdict(int)
         for (a, _), n in counts.items():
             starts[a] += n
@@ -173,7 +221,7 @@ class Speller:
     def token(self, token: str) -> str:
         """The best path through the token's lattice; of equal paths that of the first letters in their classes."""
         letters = [i for i, c in enumerate(token) if not _MARK.match(c)]
-        choices = [CLASS.get(token[i], token[i]) for i in letters]
+        choices = [self.letters.classes.get(token[i], token[i]) for i in letters]
         step = self.step
         scores, back = {"": 0.0}, []
         for choice in [*choices, ("",)]:
@@ -198,12 +246,12 @@ class Speller:
         if (found := self.known.get(token)) is None:
             if len(self.known) > 200_000:
                 self.known.clear()
-            look = token.translate(_LOOK)
+            look = token.translate(self.letters.look)
             found = self.known[token] = self.known[look] = self.known.get(look) or self.token(look)
         return found
 
     def text(self, text: str) -> str:
-        plain = TOKEN.sub(self.spell, visible(text))
+        plain = self.letters.token.sub(self.spell, visible(text))
         return plain if plain.isascii() else unicodedata.normalize("NFC", plain)
 
 
@@ -215,38 +263,50 @@ def consistent(documents: DataFrame, text: str = "text", into: str = "consistent
     between pictures and between letters of joining scripts, where they are seen; texts of any length are taken
     whole. The choice of letters (not which texts are equal) depends on the bigrams of the documents at hand.
     """
-    counts = count_bigrams(documents, text) if counts is None else counts
+    more = from_unicode(documents.sparkSession)
+    counts = count_bigrams(documents, text, more) if counts is None else counts
     shared = documents.sparkSession.sparkContext.broadcast(counts)  # bounded by the alphabets
 
     @F.pandas_udf("string")
     def spell(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        speller = Speller(shared.value)
+        speller = Speller(shared.value, more)
         for batch in batches:
             yield pd.Series([None if t is None else speller.text(t) for t in batch.to_numpy(object)], dtype=object)
 
     return documents.withColumn(into, spell(F.col(f"`{text}`").cast("string")))
 
 
+def _forms(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Written once: _doc and digests of its text and form; without null ids and texts, and texts showing nothing."""
+    picked = documents.select(F.col(f"`{doc_id}`").alias("_doc"), F.col(f"`{text}`").cast("string").alias("_text")).dropna()
+    key = lambda c: F.unhex(F.md5(F.encode(c, "UTF-8")))
+    return staged(consistent(picked, "_text", "_form").where("trim(_form) != ''").select("_doc", key("_text").alias("_text"), key("_form").alias("_form")).distinct(), "forms")
+
+
+def alike_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row per document: doc_id, class_id (the least doc_id of those that look alike) and n_texts, the number of different texts in
+    the class. Null ids and texts, and texts showing nothing, take no part; repeated rows count once."""
+    forms = _forms(documents, doc_id, text)
+    classes = forms.groupBy("_form", "_text").agg(F.min("_doc").alias("_least")).groupBy("_form").agg(F.min("_least").alias("class_id"), F.count(F.lit(1)).alias("n_texts"))
+    return salted_join(forms.select("_doc", "_form").distinct(), classes, ["_form"]).select(F.col("_doc").alias(doc_id), "class_id", "n_texts")
+
+
 def alike_pairs(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id_a < doc_id_b of documents with different texts that look alike.
+    """doc_id_a < doc_id_b of documents with different texts that look alike; alike_classes() gives classes instead.
 
     Texts with the same form are paired text by text first, so copies of a text are never compared with each other;
-    only texts with a look-alike are expanded to their documents. Null ids and texts, and texts showing nothing, take
-    no part; repeated rows count once.
+    only texts with a look-alike are expanded to their documents, of which crowded texts are spread. Null ids and texts, and texts
+    showing nothing, take no part; repeated rows count once.
     """
-    picked = documents.select(F.col(f"`{doc_id}`").alias("_doc"), F.col(f"`{text}`").cast("string").alias("_text")).dropna()
-    key = lambda c: F.unhex(F.md5(F.encode(c, "UTF-8")))
-    forms = staged(
-        consistent(picked, "_text", "_form").where("trim(_form) != ''").select("_doc", key("_text").alias("_text"), key("_form").alias("_form")).distinct(), "forms"
-    )
+    forms = _forms(documents, doc_id, text)
     texts = forms.select("_form", "_text").distinct()
     several = texts.groupBy("_form").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     texts = texts.join(several, "_form")
     pairs = texts.withColumnRenamed("_text", "_a").join(texts.withColumnRenamed("_text", "_b"), "_form").where("_a < _b").select("_a", "_b")
     members = forms.join(several, "_form", "left_semi").select("_text", "_doc")
+    first = salted_join(members.withColumnsRenamed({"_text": "_a", "_doc": "_doc_a"}), pairs, ["_a"])
     return (
-        pairs.join(members.withColumnsRenamed({"_text": "_a", "_doc": "_doc_a"}), "_a")
-        .join(members.withColumnsRenamed({"_text": "_b", "_doc": "_doc_b"}), "_b")
+        first.join(members.withColumnsRenamed({"_text": "_b", "_doc": "_doc_b"}), "_b")
         .select(F.least("_doc_a", "_doc_b").alias("doc_id_a"), F.greatest("_doc_a", "_doc_b").alias("doc_id_b"))
         .where("doc_id_a < doc_id_b")
         .distinct()

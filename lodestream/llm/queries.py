@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestream.llm import bpe, lookalike, mixing
 from lodestream.llm.nearest import nearest_in_time
-from lodestream.runtime import salted_join, table
+from lodestream.runtime import salted_join, staged, table
 
 # -- 5: nearest in time ----------------------------------------------------------------------------------------
 
@@ -80,6 +80,22 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(_mixture(spark, sf_dir), table(spark, sf_dir, "mix_target"))
 
 
+def p9_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each target source is used at all, within one document of its budget, and no document too often."""
+    target = table(spark, sf_dir, "mix_target")
+    sizes = staged(bpe.count_tokens(table(spark, sf_dir, "documents").where("source IS NOT NULL"), keep=["source"]), "sizes")
+    plans = [(p["source"], float(p["budget"])) for p in mixing.plan(sizes, target)]  # one row per target source
+    budgets = spark.createDataFrame(plans, "source string, budget double")
+    largest = sizes.groupBy("source").agg(F.max("n_tokens").alias("largest"))
+    reached = mixing.shares(mixing.mix(sizes, target), target).join(budgets, "source").join(largest, "source", "left")
+    return reached.select(
+        "source",
+        (F.col("tokens") > 0).alias("used"),
+        (F.abs(F.col("tokens") - F.col("budget")) <= F.coalesce("largest", F.lit(0))).alias("within_budget"),
+        (F.col("most_copies") <= F.col("max_repeats")).alias("within_repeats"),
+    )
+
+
 # -- 10: look-alike texts --------------------------------------------------------------------------------------
 
 
@@ -87,6 +103,10 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.alike_pairs(table(spark, sf_dir, "documents"))
 
 
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.alike_classes(table(spark, sf_dir, "documents"))
+
+
 def p10_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.consistent(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "consistent")
 
@@ -98,12 +118,15 @@ QUERIES = {
     "p8_decoded": p8_decoded,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p9_bounds": p9_bounds,
     "p10_found": p10_found,
+    "p10_classes": p10_classes,
     "p10_consistent": p10_consistent,
 }
 
 ORACLE_SQL = {
     "p5_found": _NEAREST_SQL + "SELECT DISTINCT checkout_id, login_id FROM pairs WHERE no = 1",
     "p5_nearest": _NEAREST_SQL + "SELECT DISTINCT checkout_id, login_id, gap_us FROM pairs WHERE no = 1",
+    "p9_bounds": "SELECT source, source IN (SELECT source FROM documents WHERE length(text) > 0) AS used, true AS within_budget, true AS within_repeats FROM mix_target",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestream.llm.lookalike import CLASS, LOOK_ALIKES, TOKEN, Speller, alike_pairs, bigrams_of, consistent, count_bigrams, visible
+from lodestream.llm.lookalike import LOOK_ALIKES, Speller, alike_classes, alike_pairs, alphabet, bigrams_of, consistent, count_bigrams, from_unicode, script, visible
 
 #: Each line looks the same throughout.
 SAME = [
@@ -16,18 +16,25 @@ SAME = [
 DIFFERENT = [["cap", "Cap", "càp", "cap.", "cap ;", "c ap", "pac"], ["12", "13", "1²"], ["й", "и"], ["№ 5", "No 5"], ["👩‍🔧", "👩🔧"], ["l1", "I1", "11"], ["a-b", "a–b", "a—b"]]
 
 
-def speller(texts):
-    counts = {}
+#: Letters of scripts beyond the fixed list.
+MORE_SAME = [["vat AO Ag u", "νat ꓮⲞ Ꭺց ս", "νat AO Ag u"]]
+
+
+def speller(texts, more=()):
+    counts, letters = {}, alphabet(more)
     for text in texts:
-        for token in TOKEN.findall(visible(text)):
-            for pair in bigrams_of(token):
+        for token in letters.token.findall(visible(text)):
+            for pair in bigrams_of(token, letters):
                 counts[pair] = counts.get(pair, 0) + 1
-    return Speller(counts)
+    return Speller(counts, more)
 
 
+@pytest.mark.parametrize("unicode", [False, True])
 @pytest.mark.parametrize("texts", [[], [t for line in SAME for t in line], ["the quick brown fox jumps over a lazy dog"]])
-def test_equal_exactly_for_texts_that_look_alike(texts):
-    s = speller(texts)
+def test_equal_exactly_for_texts_that_look_alike(spark, texts, unicode):
+    s = speller(texts, from_unicode(spark) if unicode else ())
+    if unicode:
+        assert all(len({s.text(t) for t in line}) == 1 for line in MORE_SAME)
     forms = [{s.text(t) for t in line} for line in SAME]
     assert all(len(f) == 1 for f in forms) and len(set.union(*forms)) == len(SAME)
     for line in DIFFERENT:
@@ -44,7 +51,29 @@ def test_the_script_that_fits_is_chosen():
 
 def test_classes_are_apart():
     letters = [c for group in LOOK_ALIKES for c in group]
-    assert len(letters) == len(set(letters)) == len(CLASS)
+    assert len(letters) == len(set(letters)) == len(alphabet().classes)
+
+
+def test_classes_from_unicode(spark):
+    more = from_unicode(spark)
+    known = alphabet(more).classes
+    assert len(known) > len(alphabet().classes) + 80
+    assert known["ν"] == known["v"] and known["Ꭺ"] == known["A"] == known["А"] and "ס" not in known and known.get("σ") != known["o"]
+    for group in more:  # no two letters of a script, and each case on its own
+        added = group[1:]
+        assert len({script(c) for c in added}) == len(added) and not any(c.isupper() != group[0].isupper() for c in added if c.isupper() or c.islower())
+
+
+def test_plain_texts_of_many_scripts_keep_apart(spark):
+    words = ["αυτός", "αυτοσ", "νους", "ουρα", "σοφος", "սա", "ցա", "ꓮꓰ", "ꓰꓮ", "ᎪᎵ", "ᎵᎪ", "под", "пол", "ποδ", "ⲞⲚ", "ⲚⲞ", "Ⅽat", "ɑcte", "aсte"]
+    s = speller(words, from_unicode(spark))
+    assert len({s.text(w) for w in words}) == len(words)
+
+
+def test_classes_of_documents(spark):
+    rows = [(5, "The cap"), (2, "Тһе сар"), (3, "The cap"), (7, "other"), (8, None), (9, " "), (7, "other")]
+    got = sorted(tuple(r) for r in alike_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == [(2, 2, 2), (3, 2, 2), (5, 2, 2), (7, 7, 1)]
 
 
 def test_pairs(spark):
