@@ -127,6 +127,6 @@ QUERIES = {
 ORACLE_SQL = {
     "p5_found": _NEAREST_SQL + "SELECT DISTINCT checkout_id, login_id FROM pairs WHERE no = 1",
     "p5_nearest": _NEAREST_SQL + "SELECT DISTINCT checkout_id, login_id, gap_us FROM pairs WHERE no = 1",
-    "p9_bounds": "SELECT source, source IN (SELECT source FROM documents WHERE length(text) > 0) AS used, true AS within_budget, true AS within_repeats FROM mix_target",
+    "p9_bounds": "SELECT source, source IN (SELECT source FROM documents WHERE length(text) > 0 AND source IS NOT NULL) AS used, true AS within_budget, true AS within_repeats FROM mix_target",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
