@@ -20,6 +20,7 @@ from lodestream.features.featureset import NO_DEFAULT, Extractor, FeatureError,
 from lodestream.operators import aggregates as agg
 from lodestream.operators.temporal import asof_join
 from lodestream.plans.dataset import Dataset, selected
+from lodestream.runtime import staged
 
 AT = "_at"
 ROW = "_row"
@@ -157,7 +158,8 @@ def _list_lookup(df: DataFrame, e: Extractor, history: Callable[[Dataset], DataF
     for s in sizes[1:]:
         uneven = uneven | (s != sizes[0])
     zipped = F.arrays_zip(*(F.col(f"`{i}`").alias(f"k{n}") for n, i in enumerate(e.inputs)))
-    numbered = df.withColumn(ROW, F.monotonically_increasing_id()) if ROW not in df.columns else df
+    # numbered once and written: the numbers must be the same in both branches below, also after a task is run again
+    numbered = staged(df.withColumn(ROW, F.monotonically_increasing_id()), "requests") if ROW not in df.columns else df
     checked = F.when(uneven, F.raise_error(F.lit(f"{e.outputs[0]}: key lists of unequal length")).cast("int")).otherwise(F.lit(0))
     one = numbered.select(ROW, AT, checked.alias("_c"), F.posexplode(zipped).alias("_pos", "_k")).where("_c = 0").select(ROW, AT, "_pos", *(F.col(f"_k.k{n}").alias(f"_k{n}") for n in range(len(keys))))
     met = lookup_join(one, history(d), d, [f"_k{n}" for n in range(len(keys))], AT, {e.source.name: "_v"}, env)

@@ -90,7 +90,7 @@ class S3:
     secret_key: Any = None
     role_arn: str | None = None
 
-    def bucket(self, bucket_name: str, prefix: str | None = None, path: str | None = None, format: str = "csv", presorted: bool = False, spread: str | None = None, scheme: str = "s3a://") -> Connector:
+    def bucket(self, bucket_name: str, prefix: str | None = None, path: str | None = None, format: str = "csv", presorted: bool = False, spread: str | None = None, scheme: str = "s3a://", headers: list[str] | None = None) -> Connector:
         if (prefix is None) == (path is None):
             raise ConnectorError("give one of prefix and path")
         delimiter = ","
@@ -99,6 +99,8 @@ class S3:
             if not m:
                 raise ConnectorError(f"no format {format!r}")
             format, delimiter = "csv", m[1] or ","
+        if headers is not None and format != "csv":
+            raise ConnectorError("headers are named for csv files without a line of them")
         if format.lower() not in _FILE_FORMATS:
             raise ConnectorError(f"no format {format!r}; there are {sorted(_FILE_FORMATS)}")
         if path is not None:
@@ -107,7 +109,7 @@ class S3:
             t.duration_us(spread)
         if presorted and path is None:
             raise ConnectorError("presorted files need a path")
-        return Connector("s3", {"base": f"{scheme}{bucket_name}", "prefix": prefix, "path": path, "format": format.lower(), "delimiter": delimiter, "presorted": presorted, "spread": spread})
+        return Connector("s3", {"base": f"{scheme}{bucket_name}", "prefix": prefix, "path": path, "format": format.lower(), "delimiter": delimiter, "presorted": presorted, "spread": spread, "headers": headers})
 
 
 _STRFTIME = set("YymdHMSjf")
@@ -220,6 +222,20 @@ class PubSub:
         return Connector("pubsub", {"topic_id": topic_id, "encoding": "json"})
 
 
+@dataclass(frozen=True)
+class Partitions:
+    """A database's table read in parallel: count stretches of a number, date or time column between two bounds. Rows outside of the
+    bounds are read too, with the first and the last stretch."""
+
+    column: str
+    low: Any
+    high: Any
+    count: int
+
+    def options(self) -> dict[str, str]:
+        return {"partitionColumn": self.column, "lowerBound": str(self.low), "upperBound": str(self.high), "numPartitions": str(self.count)}
+
+
 @dataclass(frozen=True)
 class _Tables:
     name: str
@@ -234,9 +250,10 @@ class _Tables:
     scheme = ""
     default_port = 0
 
-    def table(self, table_name: str, cursor: str | None = None) -> Connector:
+    def table(self, table_name: str, cursor: str | None = None, partitions: Partitions | None = None) -> Connector:
+        """A table; partitions tells how to read it in parallel (a table without is read by one task)."""
         url = f"jdbc:{self.scheme}://{self.host}:{self.port or self.default_port}/{self.db_name}" + (f"?{self.jdbc_params}" if self.jdbc_params else "")
-        return Connector(self.system, {"table": table_name, "cursor": cursor, "reader": {"url": url, "user": self.username, "password": self.password}})
+        return Connector(self.system, {"table": table_name, "cursor": cursor, "partitions": partitions, "reader": {"url": url, "user": self.username, "password": self.password}})
 
 
 class Postgres(_Tables):
@@ -570,33 +587,69 @@ def read(spark: SparkSession, d: Dataset, s: Source, stream: bool = False, secre
     if s.conn.system == "files":
         reader = (spark.readStream.schema(spark.read.format(o["format"]).load(o["path"]).schema) if stream else spark.read).format(o["format"])
         if o["format"] == "csv":
-            reader = reader.option("header", "true").schema(d.schema.spark())
+            reader = reader.option("header", "true").schema(raw_schema(d, s))
         return reader.load(o["path"])
     if s.conn.system == "s3":
         if o["format"] in ("delta", "hudi"):
             return (spark.readStream if stream else spark.read).format(o["format"]).load(f"{o['base']}/{o['prefix'] or o['path']}")
         limits = (None, None) if stream else (s.since, s.until)  # a stream takes one path: all folders, and bounds() leaves the rows between
         paths = [f"{o['base']}/{p}" for p in (path_globs(o["path"], *limits, o["spread"]) if o["path"] else [o["prefix"]])]
-        reader = (spark.readStream if stream else spark.read).format(o["format"]).schema(d.schema.spark())
+        reader = (spark.readStream if stream else spark.read).format(o["format"]).schema(raw_schema(d, s, o.get("headers")))
         if o["format"] == "csv":
-            reader = reader.option("header", "true").option("sep", o["delimiter"])
+            reader = reader.option("header", str(o.get("headers") is None).lower()).option("sep", o["delimiter"]).option("enforceSchema", str(o.get("headers") is not None).lower())
         return reader.load((existing(spark, paths) if len(paths) > 1 else paths) if not stream else paths[0])
     if s.conn.system == "kafka":
         options = {"subscribe": o["topic"], **o["reader"]}
         raw = (spark.readStream if stream else spark.read).format("kafka").options(**{k: resolve_secret(v, secrets or {}) for k, v in options.items()}).load()
-        return decode_messages(raw, d, o["encoding"])
+        return decode_messages(raw, d, o["encoding"], raw_schema(d, s))
     if s.conn.format is None or s.conn.system == "webhook":
         raise ConnectorError(f"{s.conn.system} is filled by log(), not read")
     reader = spark.read.format(s.conn.format).options(**{k: str(resolve_secret(v, secrets or {})) for k, v in o.get("reader", {}).items() if v is not None})
     if s.conn.format == "jdbc":
-        reader = reader.option("query", cursor_query(o["table"], o.get("cursor"), since_cursor, s.disorder))
-        return reader.load()
+        asked = cursor_query(o["table"], o.get("cursor"), since_cursor, s.disorder)
+        if o.get("partitions") is not None:  # which Spark takes with a table only, be it a query in brackets
+            return reader.option("dbtable", f"({asked}) asked").options(**o["partitions"].options()).load()
+        return reader.option("query", asked).load()
     rows = reader.option("dbtable", o["table"]).load()
     if o.get("cursor") and since_cursor is not None:
+        if isinstance(since_cursor, dt.datetime):
+            since_cursor = since_cursor - dt.timedelta(microseconds=t.duration_us(s.disorder))
         rows = rows.where(F.col(o["cursor"]) > F.lit(since_cursor))
     return rows
 
 
+def raw_schema(d: Dataset, s: Source, order: list[str] | None = None) -> T.StructType:
+    """What is read of a source's rows: the dataset's fields that preproc does not make, and all that preproc and where ask for.
+
+    A path like a[b][c] asks for a struct with the type of the field it makes; an expression for what its schema says. order: the
+    columns of files without names, of which those that nobody asks for are text.
+    """
+    wanted: dict[str, T.DataType] = {n: k.spark() for n, k in d.schema.fields.items() if n not in s.preproc}
+
+    def asked(name: str, kind: T.DataType) -> None:
+        have = wanted.get(name)
+        if isinstance(have, T.StructType) and isinstance(kind, T.StructType):
+            kind = T.StructType([*have.fields, *(f for f in kind.fields if f.name not in have.names)])
+        wanted[name] = kind if have is None or isinstance(kind, T.StructType) else have
+
+    for name, p in s.preproc.items():
+        if isinstance(p, RefPath):
+            first, *rest = re.findall(r"[^\[\]]+", p.path)
+            kind = d.schema.fields[name].spark()
+            for part in reversed(rest):
+                kind = T.StructType([T.StructField(part, kind)])
+            asked(first, kind)
+    for p, made in [*((p, ()) for p in s.preproc.values()), (s.where, s.preproc)]:
+        if isinstance(p, Eval):
+            for name, kind in (p.schema or {}).items():
+                if name not in made:
+                    asked(name, t.dtype(kind).spark())
+    if s.cdc == "debezium":
+        row = T.StructType([T.StructField(n, k, True) for n, k in wanted.items()])
+        return T.StructType([T.StructField("before", row), T.StructField("after", row), T.StructField("op", T.StringType()), T.StructField("ts_ms", T.LongType())])
+    return T.StructType([T.StructField(n, wanted.get(n, T.StringType()), True) for n in (order or wanted)])
+
+
 def cursor_query(table: str, cursor: str | None, last: Any, disorder: str) -> str:
     """What to ask a database for: rows whose cursor is beyond the last seen, less the disorder."""
     if cursor is None or last is None:
@@ -607,10 +660,10 @@ def cursor_query(table: str, cursor: str | None, last: Any, disorder: str) -> st
     return f"SELECT * FROM {table} WHERE {cursor} > {last!r}"
 
 
-def decode_messages(raw: DataFrame, d: Dataset, encoding: Any) -> DataFrame:
-    """The rows in the values of messages."""
+def decode_messages(raw: DataFrame, d: Dataset, encoding: Any, schema: T.StructType | None = None) -> DataFrame:
+    """The rows in the values of messages; JSON with the schema, or the dataset's."""
     if encoding == "json":
-        return raw.select(F.from_json(F.col("value").cast("string"), d.schema.spark()).alias("_v")).select("_v.*")
+        return raw.select(F.from_json(F.col("value").cast("string"), schema or d.schema.spark()).alias("_v")).select("_v.*")
     from pyspark.sql.avro.functions import from_avro
     from pyspark.sql.protobuf.functions import from_protobuf
 

@@ -155,23 +155,43 @@ def snapshot(df: DataFrame, path: str, format: str, how: SnapshotData) -> str:
     return f"{path}/version={version}"
 
 
-def post(records: DataFrame, url: str, headers: dict[str, str], limit: int | None) -> None:
-    """Post records in batches of at most limit, from the tasks that hold them."""
+def post(records: DataFrame, url: str, headers: dict[str, str], limit: int | None, tries: int = 4, wait: float = 0.5) -> None:
+    """Post records in batches of at most limit, from the tasks that hold them.
+
+    A batch that fails (no answer, or one of 429 and 5xx) is sent again, up to so many tries with growing waits; other
+    answers fail at once. Each batch has an Idempotency-Key, a digest of its records, so a receiver knows one that comes again, also from a
+    task that was run again.
+    """
     size = limit or 100
 
     def send(rows) -> None:
+        import hashlib
+        import time
+        import urllib.error
         import urllib.request
 
-        batch: list[dict] = []
+        batch: list[str] = []
 
         def flush() -> None:
-            if batch:
-                body = json.dumps(batch).encode()
-                urllib.request.urlopen(urllib.request.Request(url, body, {"Content-Type": "application/json", **headers}), timeout=60).close()
-                batch.clear()
+            if not batch:
+                return
+            body = f"[{', '.join(batch)}]".encode()
+            marks = {"Content-Type": "application/json", "Idempotency-Key": hashlib.sha256(body).hexdigest(), **headers}
+            for k in range(tries):
+                try:
+                    urllib.request.urlopen(urllib.request.Request(url, body, marks), timeout=60).close()
+                    break
+                except urllib.error.HTTPError as e:
+                    if k == tries - 1 or (e.code != 429 and e.code < 500):
+                        raise
+                except urllib.error.URLError:
+                    if k == tries - 1:
+                        raise
+                time.sleep(wait * 2**k)
+            batch.clear()
 
         for row in rows:
-            batch.append(json.loads(row["value"]))
+            batch.append(row["value"])
             if len(batch) >= size:
                 flush()
         flush()
