@@ -72,7 +72,7 @@ def maintain_features(
     max_bytes: int = 64 << 30,
     max_files: int | None = None,
     repeats_within: str | None = None,
-    buckets: int = 64,
+    buckets: int | None = None,
 ) -> DataFrame:
     """entity and features, a map from event type to (n, latest_us, total), of the events in a parquet folder.
 
@@ -81,7 +81,8 @@ def maintain_features(
     is refused, since events that were left out would be missing. A micro-batch takes max_bytes at most, and no
     more than half of what there is (or max_files, if given). Every event ever seen is held in state, a key of some 50
     bytes each on disk, unless repeats_within says how long after an event's time a repeat may come: then events are
-    forgotten after it, and later ones than that are dropped as late. The table lies in so many buckets.
+    forgotten after it, and later ones than that are dropped as late. The table lies in so many buckets, by default one for
+    each 256 MiB of events that the first run finds, and at least 8; later runs go on with as many.
 
     Defined results: rows with null entity or time take no part; a null type is the type NONE; rows equal in entity, type and
     time are one event, of which the first received gives its total; null totals add nothing; no events give an empty table.
@@ -114,6 +115,10 @@ def maintain_features(
         watermarked = picked.withColumn("_mark", F.timestamp_micros("at")).withWatermark("_mark", f"{duration_us(repeats_within)} microseconds")
         once = watermarked.dropDuplicatesWithinWatermark(["entity", "event_type", "at"])
     counted = once.groupBy("entity", "event_type").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("latest_us"), F.coalesce(F.sum("amount"), F.lit(0.0)).alias("total"))
+    if exists(spark, f"{work_dir}/buckets"):
+        buckets = int(read_text(spark, f"{work_dir}/buckets"))
+    buckets = buckets or max(8, total_bytes(spark, path) // (256 << 20))
+    write_text(spark, f"{work_dir}/buckets", str(buckets))
     features = FeatureTable(spark, f"{work_dir}/features", buckets)
     counted.writeStream.outputMode("update").foreachBatch(features.upsert).option("checkpointLocation", f"{work_dir}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return features.now()
