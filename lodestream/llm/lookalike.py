@@ -59,9 +59,10 @@ def script(c: str) -> str:
 
 def from_unicode(spark: SparkSession) -> tuple[str, ...]:
     """Classes of the letters that Unicode's confusables data (of the ICU in Spark's jars) shows as one ASCII letter: the ASCII letter
-    first. Letters of right-to-left scripts, which join, and second letters of a script are left out."""
+    first. Letters of right-to-left scripts, which join, second letters of a script, and the scripts beyond U+FFFF, all of them
+    historic or of very few users, are left out."""
     checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
-    letters = [c for c in map(chr, range(0x80, 0x30000)) if unicodedata.category(c) in ("Lu", "Ll", "Lo", "Lt") and not unicodedata.decomposition(c)]
+    letters = [c for c in map(chr, range(0x80, 0x10000)) if unicodedata.category(c) in ("Lu", "Ll", "Lo", "Lt") and not unicodedata.decomposition(c)]
     looks = checker.getSkeleton("\n".join(letters)).split("\n")
     listed = {c: group for group in LOOK_ALIKES for c in group}
     found: dict[str, list[str]] = defaultdict(list)
@@ -106,10 +107,14 @@ class Alphabet:
         known = _ranges(sorted(letters))
         #: A token: letters of the scripts of the list, and those that look like them, with their marks.
         self.token = re.compile(f"[{known}][{known}{_MARKS}]*")
+        self.parts = re.compile(f"({self.token.pattern})")
         #: All spellings of a look have one key: the first letter of each class stands for the class.
         self.look = {ord(c): group[0] for c, group in self.classes.items()}
 
 
+_LISTED = {c for group in LOOK_ALIKES for c in group}
+
+
 @functools.lru_cache(4)
 def alphabet(more: tuple[str, ...] = ()) -> Alphabet:
     return Alphabet(more)
@@ -151,6 +156,8 @@ def _joins(c: str) -> bool:
 
 def visible(text: str) -> str:
     """The text in canonical decomposition, without what cannot be seen."""
+    if text.isascii() and text.isprintable():
+        return text
     plain = text.translate(_PLAIN)
     if plain.isascii():
         return plain
@@ -204,6 +211,9 @@ class Speller:
 
     def __init__(self, counts: dict[tuple[str, str], int], more: tuple[str, ...] = ()):
         self.letters = alphabet(more)
+        seen = {b for _, b in counts}
+        # letters beyond the fixed list are spelled as they are only where the texts have their script
+        self.options = {group[0]: "".join(c for c in group if c in _LISTED or c in seen) or group[0] for group in self.letters.classes.values()}
         starts: defaultdict = defaultdict(int)
         for (a, _), n in counts.items():
             starts[a] += n
@@ -221,7 +231,7 @@ class Speller:
     def token(self, token: str) -> str:
         """The best path through the token's lattice; of equal paths that of the first letters in their classes."""
         letters = [i for i, c in enumerate(token) if not _MARK.match(c)]
-        choices = [self.letters.classes.get(token[i], token[i]) for i in letters]
+        choices = [self.options.get(token[i], token[i]) for i in letters]
         step = self.step
         scores, back = {"": 0.0}, []
         for choice in [*choices, ("",)]:
@@ -241,17 +251,18 @@ class Speller:
             at = came[at]
         return "".join(out)
 
-    def spell(self, match: re.Match) -> str:
-        token = match[0]
-        if (found := self.known.get(token)) is None:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            look = token.translate(self.letters.look)
-            found = self.known[token] = self.known[look] = self.known.get(look) or self.token(look)
+    def spell(self, token: str) -> str:
+        if len(self.known) > 200_000:
+            self.known.clear()
+        look = token.translate(self.letters.look)
+        found = self.known[token] = self.known[look] = self.known.get(look) or self.token(look)
         return found
 
     def text(self, text: str) -> str:
-        plain = self.letters.token.sub(self.spell, visible(text))
+        parts = self.letters.parts.split(visible(text))  # every second one is a token
+        known = self.known
+        parts[1::2] = [known.get(token) or self.spell(token) for token in parts[1::2]]
+        plain = "".join(parts)
         return plain if plain.isascii() else unicodedata.normalize("NFC", plain)
 
 
