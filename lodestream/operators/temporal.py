@@ -304,24 +304,25 @@ def first_rows(df: DataFrame, keys: list[str], ts: str, order: list[str] | None
 
 
 def number_sessions(df: DataFrame, by: list[str], at: str, gap_us: int, inclusive: bool, into: str, order: list[str] | None = None, bucket_us: int = DAY_US) -> DataFrame:
-    """df with the number of its session per by in the column into; at is in microseconds and not null.
+    """df with the start of its session per by in the column into; at is in microseconds and not null.
 
-    A session begins when more than gap_us have passed since the row before (inclusive: at least gap_us). Sessions are
-    numbered within time buckets and over the buckets, so no value of by is ordered as a whole.
+    A session begins when more than gap_us have passed since the row before (inclusive: at least gap_us). Starts are
+    found within time buckets, and carried over one row per (by, bucket), so no value of by is ordered as a whole.
     """
+    wide = lambda passed: passed >= F.lit(gap_us) if inclusive else passed > F.lit(gap_us)
     rows = df.withColumn("_b", F.floor(_q(at) / F.lit(bucket_us)))
     within = Window.partitionBy(*map(_q, by), "_b").orderBy(_q(at), *map(_q, order or []))
     over = Window.partitionBy(*map(_q, by)).orderBy("_b")
-    lasts = rows.groupBy(*map(_q, by), "_b").agg(F.max(_q(at)).alias("_end")).withColumn("_before", F.lag("_end").over(over)).drop("_end")
-    met = _meet(rows, lasts, [*by, "_b"])
-    passed = _q(at) - F.coalesce(F.lag(_q(at)).over(within), F.col("_before"))
-    fresh = passed >= F.lit(gap_us) if inclusive else passed > F.lit(gap_us)
-    flagged = met.withColumn("_new", F.coalesce(fresh.cast("int"), F.lit(0)))
-    numbered = flagged.withColumn("_run", F.sum("_new").over(within.rowsBetween(Window.unboundedPreceding, 0)))
-    counts = numbered.groupBy(*map(_q, by), "_b").agg(F.sum("_new").alias("_n"))
-    counts = counts.withColumn("_base", F.coalesce(F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    met = _meet(numbered, counts, [*by, "_b"])
-    return met.select(*map(_q, df.columns), (F.col("_run") + F.col("_base")).alias(into))
+    flagged = rows.withColumn("_start", F.when(wide(_q(at) - F.lag(_q(at)).over(within)), _q(at)))
+    buckets = flagged.groupBy(*map(_q, by), "_b").agg(F.min(_q(at)).alias("_first"), F.max(_q(at)).alias("_end"), F.max("_start").alias("_last"))
+    # whether a bucket's first row begins a session, and the last start of the buckets before
+    met = buckets.withColumn("_before", F.lag("_end").over(over))
+    fresh = F.col("_before").isNull() | wide(F.col("_first") - F.col("_before"))
+    met = met.withColumn("_open", F.when(fresh, F.col("_first"))).withColumn("_last", F.coalesce("_last", "_open"))
+    carried = F.coalesce("_open", F.last("_last", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)))
+    met = met.select(*map(_q, by), "_b", carried.alias("_carried"))
+    started = flagged.withColumn("_start", F.last("_start", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    return _meet(started, met, [*by, "_b"]).select(*map(_q, df.columns), F.coalesce("_start", "_carried").alias(into))
 
 
 def dedup(
