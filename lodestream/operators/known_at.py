@@ -99,7 +99,6 @@ def known_at(
     )
     taken = set(event_columns)
     names = [change_id, *(c for c in attributes if c != change_id)]
-    on = ["_entity", "_bucket"]
     matched = (
         asked.alias("e").join(
             speaks.alias("s"),
@@ -110,7 +109,6 @@ def known_at(
             how,
         )
     )
-    del on
     return matched.select(
         "_event.*", *(F.col(f"_attr.`{c}`").alias(f"{c}_known" if c in taken else c) for c in names)
     )
